@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": quality_rules.op8_quality_rules}
+    return {"op4_best_fit_packing": packing.op4_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
