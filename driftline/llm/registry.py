@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, quality_rules, toxicity
+from . import decontamination, near_dedup, packing, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_fit_packing": packing.op4_best_fit_packing, "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination, "op6_toxicity": toxicity.op6_toxicity, "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup, "op8_quality_rules": quality_rules.op8_quality_rules}
+    return {"op3_secret_scans": secret_scan.op3_secret_scans, "op4_best_fit_packing": packing.op4_best_fit_packing, "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination, "op6_toxicity": toxicity.op6_toxicity, "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup, "op8_quality_rules": quality_rules.op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
