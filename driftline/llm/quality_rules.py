@@ -143,11 +143,11 @@ g as (
   select *, len(words) as n,
          case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' ')) else [] end as grams
   from w),
-e as (select doc_id, unnest(grams) as gram, unnest(range(0, len(grams))) as at from g),
-t as (select doc_id, at from (select doc_id, at, count(*) over (partition by doc_id, gram) as c from e) where c >= 2),
+e as (select doc_id, unnest(grams) as gram, unnest(range(0, len(grams))) as p from g),
+t as (select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, gram) as c from e) where c >= 2),
 r as (
-  select doc_id, sum(least(5, coalesce(nxt - at, 5))) as n_repeat_words
-  from (select doc_id, at, lead(at) over (partition by doc_id order by at) as nxt from t) group by doc_id),
+  select doc_id, sum(least(5, coalesce(nxt - p, 5))) as n_repeat_words
+  from (select doc_id, p, lead(p) over (partition by doc_id order by p) as nxt from t) group by doc_id),
 m as (
   select g.doc_id, cast(n as bigint) as n_words,
          cast(length(coalesce(list_aggregate(words, 'string_agg', ''), '')) as bigint) as word_chars,
