@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, decontamination, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, toxicity
+from . import chat_tree, decontamination, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scans": license_scan.op1_license_scans, "op3_secret_scans": secret_scan.op3_secret_scans, "op4_best_fit_packing": packing.op4_best_fit_packing, "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination, "op6_toxicity": toxicity.op6_toxicity, "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup, "op8_quality_rules": quality_rules.op8_quality_rules, "op9_pii": pii.op9_pii, "op10_chat_formatting": chat_tree.op10_chat_formatting}
+    return {"op1_license_scans": license_scan.op1_license_scans, "op2_token_counts": token_counts.op2_token_counts, "op3_secret_scans": secret_scan.op3_secret_scans, "op4_best_fit_packing": packing.op4_best_fit_packing, "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination, "op6_toxicity": toxicity.op6_toxicity, "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup, "op8_quality_rules": quality_rules.op8_quality_rules, "op9_pii": pii.op9_pii, "op10_chat_formatting": chat_tree.op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
