@@ -4,12 +4,642 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftline.functions.geodesic import with_direct, with_inverse
+from driftline.functions.vectors import norm, normalised
+from driftline.operators import clustering as C
+from driftline.operators import evaluation as E
+from driftline.operators import features as P
+from driftline.operators import ingest as I
+from driftline.operators import outliers as O
+from driftline.operators import voyages as V
+from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, SPEED_MAX
+from driftline.sources import ais
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from .oracles import on
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, more: str = "") -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is its oracle's last part."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = on(sql, more)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    return I.in_range(ais.from_events(spark, d))
+
+
+def long_voyages(spark: SparkSession, d: str) -> DataFrame:
+    return V.long_voyages(V.split(messages(spark, d)))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6, *names: str) -> DataFrame:
+    """Doubles rounded for comparison."""
+    chosen = names or [n for n, t in df.dtypes if t == "double"]
+    return df.withColumns({n: F.round(n, places) for n in chosen})
+
+
+def _r(*names: str, places: int = 6) -> str:
+    return ", ".join(f"round({n}, {places}) as {n}" for n in names)
+
+
+MESSAGE = ("mmsi", "ts_s", "seq", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status", "vessel_type")
+
+# Ingest
+
+
+@query("ais_scan", "select mmsi, ts_s, seq, lat, lon, sog, cog, heading, rot, nav_text, ship_text from raw")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ais.from_events(s, d).select("mmsi", "ts_s", "seq", "lat", "lon", "sog", "cog", "heading", "rot", "nav_text", "ship_text")
+
+
+@query("parse_ts", "select event_id, cast(floor(epoch(ts)) as bigint) as ts_s from events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    text = F.date_format(F.col("ts").cast("timestamp"), "dd/MM/yyyy HH:mm:ss").alias("# Timestamp")
+    raw = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id"), text)
+    return raw.select("event_id", F.unix_timestamp(F.try_to_timestamp("# Timestamp", F.lit("dd/MM/yyyy HH:mm:ss"))).alias("ts_s"))
+
+
+@query("nav_code", "select seq, nav_text, nav_status from ais")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ais.from_events(s, d).select("seq", "nav_text", "nav_status")
+
+
+@query("ship_code", "select seq, ship_text, vessel_type from ais")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ais.from_events(s, d).select("seq", "ship_text", "vessel_type")
+
+
+@query("range_filter", f"select {', '.join(MESSAGE)} from msg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return messages(s, d).select(*MESSAGE)
+
+
+@query("day_filter", "select seq, mmsi, ts_s, file_date from msg where ts_s >= epoch(file_date) and ts_s < epoch(file_date) + 86400")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return I.in_range(ais.from_events(s, d), own_day=True).select("seq", "mmsi", "ts_s", "file_date")
+
+
+@query("project", "select lat, lon, sog, cog, heading, rot, nav_status, ts_s, mmsi from msg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return messages(s, d).select("lat", "lon", "sog", "cog", "heading", "rot", "nav_status", "ts_s", "mmsi")
+
+
+@query("vessel_type_daily", "select file_date, mmsi, vessel_type from typed")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return I.vessel_type_daily(messages(s, d))
+
+
+@query("vessel_type_combined", "select mmsi, vessel_type from types")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return I.vessel_type_combined(I.vessel_type_daily(messages(s, d)))
+
+
+@query(
+    "ingest_stats",
+    """select file_date, count(*) as n_raw, count(*) filter (lat between 54 and 59 and lon between 5 and 17 and sog between 0 and 30 and cog between 0 and 360) as n_in_range,
+    count(distinct mmsi) as n_vessels, count(distinct case when vessel_type <> 0 then mmsi end) as n_typed_vessels from ais group by file_date""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return I.ingest_stats(ais.from_events(s, d))
+
+
+@query("vessel_union", "select distinct mmsi from ais where vessel_type <> 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = ais.from_events(s, d).filter("vessel_type <> 0")
+    return rows.filter("seq % 2 = 0").select("mmsi").union(rows.filter("seq % 2 <> 0").select("mmsi")).distinct()
+
+
+@query("tracks", "select mmsi, count(*) as n, list(seq order by ts_s, seq) as seqs from msg group by mmsi")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("ts_s", "seq")))
+    return messages(s, d).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), rows.alias("r")).select("mmsi", "n", F.col("r.seq").alias("seqs"))
+
+
+@query("track_merge", "select mmsi, seq, cast(row_number() over (partition by mmsi order by ts_s, seq) as bigint) as place from msg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = messages(s, d)
+    both = rows.filter("ts_s % 2 = 0").unionByName(rows.filter("ts_s % 2 <> 0"))
+    return both.select("mmsi", "seq", F.row_number().over(V.BY_VESSEL).cast("long").alias("place"))
+
+
+@query(
+    "refilter_stats",
+    "select mmsi, count(*) as num_messages, count(*) filter (not (lat between 54 and 59 and lon between 5 and 17 and sog <= 30)) as num_discarded from ais group by mmsi",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    ok = F.col("lat").between(LAT_MIN, LAT_MAX) & F.col("lon").between(LON_MIN, LON_MAX) & (F.col("sog") <= SPEED_MAX)
+    return ais.from_events(s, d).groupBy("mmsi").agg(F.count(F.lit(1)).alias("num_messages"), F.count(F.when(~ok, 1)).alias("num_discarded"))
+
+
+# Voyages
+
+
+@query("gaps", "select mmsi, seq, gap_s from gapped")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.gaps(messages(s, d)).select("mmsi", "seq", "gap_s")
+
+
+@query("voyage_split", "select mmsi, seq, voyage from voy")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.split(messages(s, d)).select("mmsi", "seq", "voyage")
+
+
+@query("voyages_long", "select mmsi, voyage, n, t0, tn from longstat")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.long_stats(V.split(messages(s, d)))
+
+
+@query("speed_edges", "select mmsi, voyage, a, b from edges")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.speed_edges(long_voyages(s, d))
+
+
+@query("koyak")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return O.flagged(long_voyages(s, d))
+
+
+@query("outlier_clean")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return O.clean(long_voyages(s, d)).select("mmsi", "voyage", "ts_s", "seq", "lat", "lon", "sog", "cog")
+
+
+@query("ticks", "select mmsi, voyage, t from tick")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.ticks(V.sampled(long_voyages(s, d))).select("mmsi", "voyage", "t")
+
+
+@query("resample", f"select mmsi, voyage, tick, t, {_r('sog', 'cog', 'heading', 'rot', places=9)}, nav_status from tick")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    return rounded(rows.select("mmsi", "voyage", "tick", "t", "sog", "cog", "heading", "rot", "nav_status"), 9)
+
+
+@query("resample_positions")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.resample(long_voyages(s, d))
+
+
+@query("resplit", "select mmsi, voyage, chunk, n_ticks, k from chstat")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    return V.chunk_stats(V.chunks(rows)).select("mmsi", "voyage", "chunk", "n_ticks", "k")
+
+
+@query("low_speed", "select mmsi, voyage, chunk, k, round(slow_share, 6) as slow_share from chstat where slow_share > 8e-1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    return rounded(V.chunk_stats(V.chunks(rows)).filter("slow_share > 0.8").select("mmsi", "voyage", "chunk", "k", "slow_share"))
+
+
+@query("normalize", f"select seq, {_r('lat', 'lon', 'sog', 'cog', places=9)} from (select seq, (lat - 54) / 5e0 as lat, (lon - 5) / 12e0 as lon, least(sog, 30) / 30e0 as sog, cog / 360e0 as cog from msg)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(V.normalise(messages(s, d)).select("seq", "lat", "lon", "sog", "cog"), 9)
+
+
+@query("denormalize", f"select seq, {_r('lat', 'lon', 'sog', 'cog', places=9)} from msg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(V.denormalise(V.normalise(messages(s, d))).select("seq", "lat", "lon", "sog", "cog"), 9)
+
+
+@query("processed_voyages")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return V.final_steps(V.resample(O.clean(long_voyages(s, d))))
+
+
+@query(
+    "reduce_stats",
+    """select cast((select count(*) from ais) as bigint) as num_raw, cast((select count(*) from msg) as bigint) as num_messages, cast((select count(distinct mmsi) from msg) as bigint) as num_vessels,
+    cast((select count(*) from vstat) as bigint) as num_initial_voyages, cast((select count(*) from longstat) as bigint) as num_voyages_after_duration_filter""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    raw = ais.from_events(s, d)
+    kept = V.split(I.in_range(raw))
+    by_voyage = V.stats(kept)
+    long = (F.col("n") >= 20) & (F.col("tn") - F.col("t0") >= 14400)
+    counts = by_voyage.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_messages"), F.count_distinct("mmsi").alias("num_vessels"), F.count(F.lit(1)).alias("num_initial_voyages"), F.count(F.when(long, 1)).alias("num_voyages_after_duration_filter"))
+    return raw.agg(F.count(F.lit(1)).alias("num_raw")).crossJoin(F.broadcast(counts))  # one row each
+
+
+@query("reduce_stages")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The counters behind the steps that SQL can't express, one row for each."""
+    long = long_voyages(s, d)
+    cleaned = O.clean(long)
+    fine = V.sampled(cleaned)
+    stepped = V.chunks(V.linear(V.ticks(fine)))
+    found = V.chunk_stats(stepped)
+    of = lambda df, *k: df.select(*k).distinct().agg(F.count(F.lit(1)).alias("value"))
+    rows = {
+        "num_voyages_after_duration_filter": of(long, "mmsi", "voyage"),
+        "num_messages_removed": O.flagged(long).agg(F.count(F.lit(1)).alias("value")),
+        "num_voyages_after_outlier_removal": of(cleaned, "mmsi", "voyage"),
+        "num_voyages_after_sampling": of(fine, "mmsi", "voyage"),
+        "num_resampled_rows": stepped.agg(F.count(F.lit(1)).alias("value")),
+        "num_final_voyages": found.filter("slow_share <= 0.8").agg(F.count(F.lit(1)).alias("value")),
+        "num_final_rows": found.filter("slow_share <= 0.8").agg(F.coalesce(F.sum("n_ticks"), F.lit(0)).alias("value")),
+    }
+    out = None
+    for name, df in rows.items():
+        part = df.select(F.lit(name).alias("counter"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Geodesics
+
+
+@query("geodesic_inverse", "select mmsi, voyage, round(d, 3) as distance from disp")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return P.displacement(long_voyages(s, d)).select("mmsi", "voyage", F.round("displacement", 3).alias("distance"))
+
+
+@query("geodesic_direct", "select seq, round(1234.5e0, 3) as distance from msg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The distance to a point reached by the direct formula is the distance gone."""
+    rows = messages(s, d).select("seq", "lat", "lon", F.radians(F.col("cog")).alias("az"), F.lit(1234.5).alias("gone"))
+    there = with_direct(rows, "lat", "lon", "az", "gone", "lat2", "lon2")
+    return with_inverse(there, "lat", "lon", "lat2", "lon2", "distance").select("seq", F.round("distance", 3).alias("distance"))
+
+
+# Features and the dataset view
+
+_FEATURES = ("speed_avg", "speed_max", "speed_std", "duration", "lat_max", "lat_min", "lon_max", "lon_min", "lat_mean", "lon_mean", "lat_median", "lon_median", "cog_std")
+
+
+@query("features", f"select mmsi, voyage, nav_status, hour_start, month, {_r(*_FEATURES)}, {_r('length', 'displacement', places=3)}, round(length_over_displacement, 6) as length_over_displacement from feat join pathl using (mmsi, voyage)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = P.features(long_voyages(s, d))
+    return rounded(rounded(rows, 6, *_FEATURES, "length_over_displacement"), 3, "length", "displacement")
+
+
+@query("displacement", "select mmsi, voyage, round(d, 3) as displacement from disp")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(P.displacement(long_voyages(s, d)), 3)
+
+
+@query("path_length", f"select mmsi, voyage, {_r('length', 'displacement', places=3)}, round(length_over_displacement, 6) as length_over_displacement from pathl")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(rounded(P.path_length(long_voyages(s, d)), 3, "length", "displacement"), 6, "length_over_displacement")
+
+
+@query("sample_index", "select mmsi, k, mmsi || '_' || k || '_processed.pkl' as file_name, cast(row_number() over (order by mmsi || '_' || k || '_processed.pkl') - 1 as bigint) as sample_idx from (select mmsi, cast(voyage as integer) as k from vstat)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return P.sample_index(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
+
+
+_ITEMS = """select cast(mmsi as integer) as mmsi, voyage, cast(count(*) as integer) as seqlen, cast(arg_min(ts_s, (ts_s, seq)) as integer) as time_start,
+ round(sum(cast(cast(least((lat - 54) / 5e0, 0.9999e0) as float) as double)), 4) as lat_sum from longv group by mmsi, voyage"""
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return P.sample_items(V.normalise(long_voyages(s, d)))
+
+
+@query("sample_items", _ITEMS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x[0].cast("double"))
+    return _items(s, d).select("mmsi", "voyage", "seqlen", "time_start", F.round(total, 4).alias("lat_sum"))
+
+
+@query("sample_lookup", "select mmsi, voyage, seqlen, time_start from (" + _ITEMS + ") order by mmsi, voyage limit 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    items = _items(s, d)
+    first = items.select("mmsi", "voyage", "time_start").orderBy("mmsi", "voyage").first()
+    return P.sample_lookup(items, first["mmsi"], first["time_start"]).select("mmsi", "voyage", "seqlen", "time_start")
+
+
+@query("token_seq", "select mmsi, voyage, cast(least(seqlen, 30) + 2 as integer) as n_tokens, -1e0 as first_value, -2e0 as last_value from (" + _ITEMS + ")")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = P.token_sequences(_items(s, d), 32)
+    return rows.select("mmsi", "voyage", F.size("tokens").alias("n_tokens"), F.get(F.get("tokens", F.lit(0)), F.lit(0)).cast("double").alias("first_value"), F.element_at("tokens", -1)[0].cast("double").alias("last_value"))
+
+
+@query("pad_mask", "select mmsi, voyage, cast(max(least(seqlen, 30) + 2) over (partition by voyage % 3) as integer) as padded, cast(least(seqlen, 30) + 2 as integer) as attended from (" + _ITEMS + ")")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = P.padded(P.token_sequences(_items(s, d), 32).withColumn("batch", F.col("voyage") % 3), "batch")
+    return rows.select("mmsi", "voyage", F.size("input_features").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
+
+
+@query(
+    "mtm_mask",
+    "select mmsi, voyage, cast(len(list_filter(range(1, least(seqlen, 30) + 1), lambda i: (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15)) as integer) as n_masked from (" + _ITEMS + ")",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    items = P.token_sequences(_items(s, d), 32).withColumn("mmsi", F.col("mmsi").cast("long"))
+    rows = P.masked_tokens(items)
+    return rows.select(F.col("mmsi").cast("int").alias("mmsi"), "voyage", F.size(F.filter("labels", lambda x: x[0] != -100.0)).alias("n_masked"))
+
+
+@query("subset")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The reports of 50 vessels in hash order: a sampling operator."""
+    rows = messages(s, d)
+    chosen = rows.select("mmsi").distinct().orderBy(F.xxhash64("mmsi", F.lit(42)), "mmsi").limit(50)
+    return rows.join(F.broadcast(chosen), "mmsi", "left_semi").select(*MESSAGE)
+
+
+@query("split")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return P.split_vessels(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
+
+
+# Evaluation
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    """Features of the long voyages under a fixed labelling, with vessel types and classes."""
+    rows = P.speed_and_status(long_voyages(s, d))
+    label = F.when((F.col("mmsi") + F.col("voyage")) % 9 == 0, -1).otherwise((F.col("mmsi") % 5).cast("int"))
+    return E.with_types(rows.withColumn("label", label), I.vessel_type_combined(I.vessel_type_daily(messages(s, d))))
+
+
+@query("type_lookup", "select mmsi, voyage, vessel_type from lab")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return labelled(s, d).select("mmsi", "voyage", "vessel_type")
+
+
+@query("vessel_class", "select mmsi, voyage, vessel_class from labc")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return labelled(s, d).select("mmsi", "voyage", "vessel_class")
+
+
+@query("labelled_features", f"select mmsi, voyage, label, vessel_type, {_r('speed_avg', 'lat_mean', 'lon_mean', 'cog_std')} from lab")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(labelled(s, d).select("mmsi", "voyage", "label", "vessel_type", "speed_avg", "lat_mean", "lon_mean", "cog_std"))
+
+
+@query("noise_anti", "select mmsi, voyage from lab where label <> -1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = labelled(s, d).select("mmsi", "voyage", "label")
+    return rows.join(rows.filter("label = -1"), ["mmsi", "voyage"], "left_anti").select("mmsi", "voyage")
+
+
+@query("relabel", "select mmsi, voyage, cast(dense_rank() over (order by label) - 1 as integer) as label from lab where label in (1, 3, 4)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = labelled(s, d).filter(F.col("label").isin(1, 3, 4)).select("mmsi", "voyage", F.col("label").alias("old"))
+    # a row for each cluster
+    names = rows.select("old").distinct().withColumn("label", (F.dense_rank().over(V.Window.orderBy("old")) - 1).cast("int"))
+    return rows.join(F.broadcast(names), "old").select("mmsi", "voyage", "label")
+
+
+@query("zscore_profile", "select label, " + ", ".join(f"round(max(z) filter (feature = '{f}'), 6) as {f}" for f in E.PROFILE) + " from prof group by label")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.profile(labelled(s, d)))
+
+
+@query("feature_importance", "select feature, round(stddev_samp(z), 6) as importance from prof group by feature")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.importance(labelled(s, d)))
+
+
+_SHARES = """sh as (
+  select label, classes.vessel_class, avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) as share from labc, classes where label <> -1 group by all),
+ov as (select classes.vessel_class, avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) as overall from labc, classes where label <> -1 group by all)"""
+
+
+@query("share_diff", "select label, vessel_class, round(share - overall, 6) as difference from sh join ov using (vessel_class)", _SHARES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.share_difference(labelled(s, d)))
+
+
+@query("pmi_cluster", "select label, vessel_class, round(log2(case when share > 0 then share else 1e-6 end / case when overall > 0 then overall else 1e-6 end), 6) as pmi from sh join ov using (vessel_class)", _SHARES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.pointwise_information(labelled(s, d)))
+
+
+@query("noise_pct", "select round(100e0 * count(*) filter (label = -1) / count(*), 6) as noise_pct from lab")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.noise_percent(labelled(s, d)))
+
+
+@query(
+    "noise_zscore",
+    """select feature, round((avg(v) filter (label = -1) - avg(v) filter (label <> -1)) / stddev_samp(v) filter (label <> -1), 6) as z
+    from (unpivot labc on speed_avg, speed_std, speed_max, duration, lat_mean, lon_mean, cog_std into name feature value v) group by feature""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.noise_scores(labelled(s, d)))
+
+
+@query(
+    "noise_pmi",
+    """select vessel_class, round(log2(case when n > 0 then n else 1e-6 end / case when k > 0 then k else 1e-6 end), 6) as pmi from (
+    select classes.vessel_class, avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) filter (label = -1) as n,
+      avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) filter (label <> -1) as k from labc, classes group by all)""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.noise_information(labelled(s, d)))
+
+
+def _losses(s: SparkSession, d: str) -> DataFrame:
+    return labelled(s, d).select("label", F.col("speed_std").alias("loss"), (F.col("mmsi") % 32 + 1).alias("n"))
+
+
+@query("group_loss", "select label, round(sum(speed_std * (mmsi % 32 + 1)) / sum(mmsi % 32 + 1), 6) as loss from lab group by label")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.group_loss(_losses(s, d), "label"))
+
+
+@query(
+    "rcr",
+    """select round((sum(speed_std * (mmsi % 32 + 1)) filter (label = -1) / sum(mmsi % 32 + 1) filter (label = -1))
+    / (sum(speed_std * (mmsi % 32 + 1)) filter (label <> -1) / sum(mmsi % 32 + 1) filter (label <> -1) + 1e-9), 6) as rcr from lab""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(E.reconstruction_ratio(_losses(s, d)))
+
+
+@query("masked_mse", "select round(avg((pow((lat - 54) / 5e0 - 5e-1, 2) + pow((lon - 5) / 12e0 - 5e-1, 2)) / 2), 6) as mse from longv where seq % 7 = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = V.normalise(long_voyages(s, d))
+    hidden = F.col("seq") % 7 == 0
+    label = lambda c: F.when(hidden, F.col(c)).otherwise(F.lit(-100.0))
+    return rounded(E.masked_mse(rows.select(F.array(F.lit(0.5), F.lit(0.5)).alias("prediction"), F.array(label("lat"), label("lon")).alias("labels"))))
+
+
+# Vectors and clusters
+
+
+@query("embeddings_scan", "select vec_id, label, cast(len(embedding) as integer) as size, round(cast(embedding[1] as double), 6) as first_value from embeddings")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(vectors(s, d).select("vec_id", "label", F.size("embedding").alias("size"), F.get("embedding", F.lit(0)).cast("double").alias("first_value")))
+
+
+@query("l2_normalize", "select vec_id, round(sqrt(sum(pow(cast(v as double), 2))), 6) as length, 1e0 as new_length from vec group by vec_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = vectors(s, d).withColumn("length", norm("embedding")).withColumn("u", normalised("embedding", "length"))
+    return rows.select("vec_id", F.round("length", 6).alias("length"), F.round(norm("u"), 6).alias("new_length"))
+
+
+@query("centroids", "select label, cast(pos as integer) as pos, round(mean, 6) as mean, n from cen")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.parts(vectors(s, d)))
+
+
+@query("radii", "select label, round(radius, 6) as radius from rad")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.radii(vectors(s, d)))
+
+
+@query("davies_bouldin", "select round(avg(w), 6) as davies_bouldin from (select i, max((x.radius + y.radius) / d) as w from cgap join rad x on x.label = i join rad y on y.label = j group by i)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.davies_bouldin(vectors(s, d)))
+
+
+_WARD = "select i, j, round(d * d * ni * nj / (ni + nj), 6) as ward from cgap where i < j"
+
+
+@query("linkage_ward", _WARD)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.ward(vectors(s, d)))
+
+
+@query("closest_pair", f"select i, j, ward from ({_WARD}) order by ward, i, j limit 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.ward(vectors(s, d))).orderBy("ward", "i", "j").limit(1)
+
+
+_PAIRS = """paird as (select x.label as i, y.label as j, sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: pow(z[1]::double - z[2]::double, 2)))) as d
+  from embeddings x join embeddings y on x.label < y.label)"""
+
+
+@query("linkage_single", "select i, j, round(min(d), 6) as single from paird group by all", _PAIRS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.pair_linkages(vectors(s, d)).select("i", "j", "single"))
+
+
+@query("linkage_average", "select i, j, round(avg(d), 6) as average from paird group by all", _PAIRS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(C.pair_linkages(vectors(s, d)).select("i", "j", "average"))
+
+
+@query("exemplars", "select label, rank, vec_id from (select label, vec_id, cast(row_number() over (partition by label order by dist, vec_id) as integer) as rank from vdist) where rank <= 20")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return E.exemplars(vectors(s, d)).select("label", "rank", "vec_id")
+
+
+@query("first_rep", "select label, arg_max(vec_id, (dist, -vec_id)) as vec_id, round(max(dist), 6) as dist from vdist group by label")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = C.with_centroid_distance(vectors(s, d))
+    return rounded(rows.groupBy("label").agg(F.max_by("vec_id", F.struct("dist", -F.col("vec_id"))).alias("vec_id"), F.max("dist").alias("dist")))
+
+
+_FIRST = "fr as (select label, arg_max(vec_id, (dist, -vec_id)) as vec_id from vdist group by label)"
+_TO_FIRST = _FIRST + """, tofirst as (select x.label, x.vec_id, sqrt(sum(pow(x.v::double - y.v::double, 2))) as d from vec x join fr on fr.label = x.label join vec y on y.vec_id = fr.vec_id and y.pos = x.pos group by all)"""
+
+
+def _first_reps(rows: DataFrame) -> DataFrame:
+    from driftline.functions.vectors import distance
+
+    far = C.with_centroid_distance(rows)
+    first = far.groupBy("label").agg(F.max_by("embedding", F.struct("dist", -F.col("vec_id"))).alias("rep"))
+    return far.join(F.broadcast(first), "label").withColumn("d", distance("embedding", "rep"))  # a row for each cluster
+
+
+@query("farthest_first", "select label, arg_max(vec_id, (d, -vec_id)) as vec_id, round(max(d), 6) as dist from tofirst group by label", _TO_FIRST)
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = _first_reps(vectors(s, d))
+    return rounded(rows.groupBy("label").agg(F.max_by("vec_id", F.struct("d", -F.col("vec_id"))).alias("vec_id"), F.max("d").alias("dist")))
+
+
+_SHRUNK = """shrunk as (select vec.label, vec_id, vec.pos, v::double + 2e-1 * (mean - v::double) as x from vec join cen on cen.label = vec.label and cen.pos = vec.pos
+  where (vec.label, vec_id) in (select label, vec_id from (select label, vec_id, row_number() over (partition by label order by dist desc, vec_id) as r from vdist) where r <= 3))"""
+
+
+def _reps(rows: DataFrame) -> DataFrame:
+    """The three members farthest from each centroid, drawn a fifth of the way towards it."""
+    w = V.Window.partitionBy("label").orderBy(F.desc("dist"), "vec_id")
+    far = C.with_centroid_distance(rows).withColumn("r", F.row_number().over(w)).filter("r <= 3")
+    return far.select("label", "vec_id", F.zip_with("embedding", "centroid", lambda x, c: x.cast("double") + 0.2 * (c - x.cast("double"))).alias("x"))
+
+
+@query("shrink_reps", "select label, vec_id, cast(pos as integer) as pos, round(x, 6) as x from shrunk", _SHRUNK)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(_reps(vectors(s, d)).select("label", "vec_id", F.posexplode("x").alias("pos", "x")))
+
+
+_NEAREST = _SHRUNK + """, near as (select vec.vec_id, shrunk.label as c, shrunk.vec_id as r, sqrt(sum(pow(v::double - x, 2))) as d from vec join shrunk on shrunk.pos = vec.pos group by all),
+best as (select vec_id, arg_min(c, (d, c)) as c, min(d) as d from near group by vec_id)"""
+
+
+def _assigned(s: SparkSession, d: str, threshold: float | None) -> DataFrame:
+    rows = vectors(s, d)
+    reps = [(r["label"], np.array(r["x"])) for r in _reps(rows).orderBy("label", "vec_id").collect()]  # three a cluster
+    return C.assign(rows, reps, threshold)
+
+
+@query("cure_assign", "select vec_id, case when d > 1.1e0 then -1 else c end as label, round(d, 6) as dist from best", _NEAREST)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(_assigned(s, d, 1.1))
+
+
+@query(
+    "noise_grid",
+    """select 10 as n_clusters, threshold, round(100e0 * count(*) filter (d > threshold) / count(*), 6) as noise_pct
+    from best, (select unnest([0.9e0, 1.0e0, 1.1e0, 1.2e0]) as threshold) group by threshold""",
+    _NEAREST,
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = _assigned(s, d, None).select(F.lit(10).alias("n_clusters"), "dist")
+    return rounded(E.noise_grid(rows, [0.9, 1.0, 1.1, 1.2]), 6, "noise_pct")
+
+
+def _cure(s: SparkSession, d: str) -> C.Cure:
+    return C.Cure(sample_size=150, linkage="ward", n_representatives=20, compression=0.6, pruning_fraction=0.2, pruning_min_size=1).fit(vectors(s, d))
+
+
+@query("cure_sample")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return C.Cure(sample_size=150).sampled(vectors(s, d)).select("vec_id", "place", "nth")
+
+
+@query("cure_predict")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _cure(s, d).predict(vectors(s, d), 5, 1.2)
+
+
+@query("ahc_merges")
+def _(s: SparkSession, d: str) -> DataFrame:
+    model = _cure(s, d).model
+    return model.linkage_frame(s)
+
+
+@query("ahc_labels")
+def _(s: SparkSession, d: str) -> DataFrame:
+    labels = _cure(s, d).model.labels(5)
+    return s.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "nth int, label int")
+
+
+@query("dendrogram")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = _cure(s, d).model.dendrogram(30)
+    return s.createDataFrame([(i, int(a), int(b), float(x), int(n)) for i, (a, b, x, n) in enumerate(rows)], "step int, c1 int, c2 int, dist double, size int")
+
+
