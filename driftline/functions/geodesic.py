@@ -2,7 +2,8 @@
 
 A fixed number of iterations keeps the plan static; within the bounds of the data six agree
 with the converged result to nanometres.  The steps are separate projections, so each
-intermediate is computed once.
+intermediate is computed once.  Don't filter on a result directly: the optimiser pushes such a
+filter through all steps and writes the formula out; ``speed_edges`` shows a way around that.
 """
 
 from __future__ import annotations

@@ -63,8 +63,10 @@ def speed_edges(voyages: DataFrame) -> DataFrame:
     ahead = rows.withColumns({f"_{i}": F.lead(own, i).over(BY_VOYAGE) for i in range(1, EDGE_REACH + 1)})
     pairs = ahead.withColumn("o", F.explode(F.array(*[f"_{i}" for i in range(1, EDGE_REACH + 1)]))).filter(F.col("o.ts_s") - F.col("ts_s") > EDGE_LEAST_S)
     flat = pairs.select("mmsi", "voyage", F.col("idx").alias("a"), F.col("o.idx").alias("b"), (F.col("o.ts_s") - F.col("ts_s")).alias("dt"), "lat", "lon", F.col("o.lat").alias("lat2"), F.col("o.lon").alias("lon2"))
-    fast = with_inverse(flat, "lat", "lon", "lat2", "lon2", "d").filter(F.col("d") / F.col("dt") > SPEED_MAX * KNOT)
-    return fast.select("mmsi", "voyage", "a", "b")
+    measured = with_inverse(flat, "lat", "lon", "lat2", "lon2", "d")
+    # a plain filter on d would be pushed down through every step of the formula, doubling it each time
+    fast = F.when(F.col("d") / F.col("dt") > SPEED_MAX * KNOT, F.array(F.struct("a", "b")))
+    return measured.select("mmsi", "voyage", F.explode_outer(fast).alias("e")).filter("e is not null").select("mmsi", "voyage", "e.a", "e.b")
 
 
 def ticks(voyages: DataFrame) -> DataFrame:
