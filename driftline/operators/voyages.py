@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftline.functions.geodesic import with_inverse
@@ -21,19 +21,24 @@ from driftline.schema import (
     TICK_S,
 )
 
-BY_VESSEL = Window.partitionBy("mmsi").orderBy("ts_s", "seq")
-BY_VOYAGE = Window.partitionBy("mmsi", "voyage").orderBy("ts_s", "seq")
+
+def by_vessel() -> WindowSpec:
+    return Window.partitionBy("mmsi").orderBy("ts_s", "seq")
+
+
+def by_voyage() -> WindowSpec:
+    return Window.partitionBy("mmsi", "voyage").orderBy("ts_s", "seq")
 
 
 def gaps(messages: DataFrame) -> DataFrame:
     """Seconds since the vessel's message before; null for the first."""
-    return messages.withColumn("gap_s", F.col("ts_s") - F.lag("ts_s").over(BY_VESSEL))
+    return messages.withColumn("gap_s", F.col("ts_s") - F.lag("ts_s").over(by_vessel()))
 
 
 def split(messages: DataFrame) -> DataFrame:
     """A voyage number for each message: a new one after a gap of more than two hours."""
     cut = F.when(F.col("gap_s") > GAP_S, 1).otherwise(0)
-    return gaps(messages).withColumn("voyage", F.sum(cut).over(BY_VESSEL.rowsBetween(Window.unboundedPreceding, 0)))
+    return gaps(messages).withColumn("voyage", F.sum(cut).over(by_vessel().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def stats(voyages: DataFrame) -> DataFrame:
@@ -53,14 +58,14 @@ def long_voyages(voyages: DataFrame) -> DataFrame:
 
 
 def indexed(voyages: DataFrame) -> DataFrame:
-    return voyages.withColumn("idx", (F.row_number().over(BY_VOYAGE) - 1).cast("int"))
+    return voyages.withColumn("idx", (F.row_number().over(by_voyage()) - 1).cast("int"))
 
 
 def speed_edges(voyages: DataFrame) -> DataFrame:
     """Pairs of messages of a voyage, at most four apart, between which the speed is infeasible: (mmsi, voyage, a, b)."""
     rows = indexed(voyages).select("mmsi", "voyage", "idx", "ts_s", "seq", "lat", "lon")
     own = F.struct("idx", "ts_s", "lat", "lon")
-    ahead = rows.withColumns({f"_{i}": F.lead(own, i).over(BY_VOYAGE) for i in range(1, EDGE_REACH + 1)})
+    ahead = rows.withColumns({f"_{i}": F.lead(own, i).over(by_voyage()) for i in range(1, EDGE_REACH + 1)})
     pairs = ahead.withColumn("o", F.explode(F.array(*[f"_{i}" for i in range(1, EDGE_REACH + 1)]))).filter(F.col("o.ts_s") - F.col("ts_s") > EDGE_LEAST_S)
     flat = pairs.select("mmsi", "voyage", F.col("idx").alias("a"), F.col("o.idx").alias("b"), (F.col("o.ts_s") - F.col("ts_s")).alias("dt"), "lat", "lon", F.col("o.lat").alias("lat2"), F.col("o.lon").alias("lon2"))
     measured = with_inverse(flat, "lat", "lon", "lat2", "lon2", "d")
@@ -76,7 +81,7 @@ def ticks(voyages: DataFrame) -> DataFrame:
     before the sequence is made; of messages at one time only the last can have any.
     """
     w = Window.partitionBy("mmsi", "voyage")
-    follower = [F.lead(x).over(BY_VOYAGE).alias(f"{x}2") for x in ("ts_s", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status")]
+    follower = [F.lead(x).over(by_voyage()).alias(f"{x}2") for x in ("ts_s", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status")]
     rows = voyages.select("*", F.min("ts_s").over(w).alias("t0"), F.max("ts_s").over(w).alias("tn"), *follower).filter("ts_s2 is not null")
     k = lambda c: F.ceil((F.col(c) - F.col("t0")) / F.lit(float(TICK_S)))
     rows = rows.withColumns({"k0": k("ts_s"), "k1": k("ts_s2") - 1}).filter("k1 >= k0")
@@ -93,7 +98,7 @@ def linear(ticked: DataFrame) -> DataFrame:
 
 def sampled(voyages: DataFrame) -> DataFrame:
     """Voyages without a bracket over two hours: one with such a bracket is lost as a whole."""
-    follower = F.lead("ts_s").over(BY_VOYAGE)
+    follower = F.lead("ts_s").over(by_voyage())
     rows = voyages.withColumn("_next", follower)
     worst = F.max(F.col("_next") - F.col("ts_s")).over(Window.partitionBy("mmsi", "voyage"))
     return rows.withColumn("_worst", worst).filter(F.coalesce(F.col("_worst"), F.lit(0)) <= GAP_S).drop("_next", "_worst")

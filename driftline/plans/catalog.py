@@ -145,7 +145,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = messages(s, d)
     both = rows.filter("ts_s % 2 = 0").unionByName(rows.filter("ts_s % 2 <> 0"))
-    return both.select("mmsi", "seq", F.row_number().over(V.BY_VESSEL).cast("long").alias("place"))
+    return both.select("mmsi", "seq", F.row_number().over(V.by_vessel()).cast("long").alias("place"))
 
 
 @query(
