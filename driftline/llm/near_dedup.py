@@ -7,17 +7,22 @@ A text's set holds its distinct five-word shingles as 64-bit fingerprints.  Its
 all pairs under that distance meet under some key.  At a similarity of 0.75 a pair that is
 beyond it (1 in 100) still meets but for 1 in 160,000.
 
-What meets is compared by a second, one-bit signature of 128 places (distance at most
-``SKETCH_LIMIT``; at 0.75 one pair in ten million is further apart) and by set size, and is
-then confirmed on the full sets.  No pairs within a group are emitted:
+What meets is compared by four bits of 128 MinHash values (at most ``SKETCH_LIMIT`` may differ; at
+0.75 one pair in ten million is further apart) and by set size, and is then confirmed on the
+full sets.  No pairs within a group are emitted:
 
 1. texts with equal sets become one node;
-2. under each key, nodes meet the smallest one only; each node has its nearest such partner
-   confirmed, and the links make components;
+2. under each key, nodes meet the smallest one only; each node's smallest near partner, its
+   hub, is confirmed on the full sets, and the links make components;
 3. keys whose nodes are in one component are done; under the others, pairs of nodes in
-   different components are compared, the near ones confirmed, and the components made anew.
-
-So every pair that meets is in one component or was compared.
+   different components are compared, those that can be links confirmed, and the components
+   made anew.
+
+So every pair that meets is in one component or was compared.  The comparison in step 3 has an
+exact bound: nodes with one hub carry bit sets of the hub's shingles they lack and of their
+shingles that the hub lacks, hashed to ``MARKS`` places, which limit how many shingles two of
+them can share.  Copies that were each edited in other places are told apart by it without
+their sets.
 """
 
 from __future__ import annotations
@@ -34,13 +39,17 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
-from .shared import cut, table
+from .shared import batches_out, cut, table
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 PLACES = 128
-SKETCH_LIMIT = 38
+SKETCH_BITS = 4
+SKETCH_LIMIT = 55
+MARKS = 512
+#: Rows of a key that are compared in one task; larger keys are dealt into blocks.
+BUCKET = 2048
 #: Shingles hashed together for one text.
 BLOCK = 4096
 
@@ -98,20 +107,21 @@ _SIGNED = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()),
-        T.StructField("s1", T.LongType()),
-        T.StructField("s2", T.LongType()),
+        T.StructField("sketch", T.ArrayType(T.LongType())),
         T.StructField("signature", T.BinaryType()),
     ]
 )
 
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, set size, a 128-bit digest of the set, the one-bit signature and the 16-bit one."""
+    """doc_id, set size, a 128-bit digest of the set, the sketch and the signature of 16-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, factors, bits = to_arrow_schema(_SIGNED), _factors(PLACES), np.uint64(1) << np.arange(64, dtype=np.uint64)
+        arrow, factors = to_arrow_schema(_SIGNED), _factors(PLACES)
+        each = 64 // SKETCH_BITS
+        shifts = np.uint64(SKETCH_BITS) * np.arange(each, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for whole in batches:
                 for batch in W.chunks(whole):
@@ -119,13 +129,14 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                     n = np.array([len(s) for s in sets], np.int64)
                     least = np.array([_minima(s, factors) for s in sets]).reshape(-1, PLACES)
                     short = (_mix(least) >> np.uint64(48)).astype("<u2")
-                    one = (short & 1).astype(np.uint64)
-                    s1, s2 = ((one[:, i : i + 64] * bits).sum(1).view(np.int64) for i in (0, 64))
+                    low = (short & ((1 << SKETCH_BITS) - 1)).astype(np.uint64).reshape(len(sets), -1, each)
+                    sketch = (low << shifts).sum(2).view(np.int64)
+                    places = np.arange(len(sets) + 1, dtype=np.int32) * sketch.shape[1]
                     digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                     none = n == 0
                     signature = [None if e else v.tobytes() for e, v in zip(none, short[:, : CHUNKS * WIDTH], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).cast(pa.int64()), pa.array(n), pa.array(digests[:, 0], mask=none), pa.array(digests[:, 1], mask=none), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(signature, pa.binary())],
+                        [batch.column(0).cast(pa.int64()), pa.array(n), pa.array(digests[:, 0], mask=none), pa.array(digests[:, 1], mask=none), pa.ListArray.from_arrays(pa.array(places), pa.array(sketch.ravel())), pa.array(signature, pa.binary())],
                         schema=arrow,
                     )
 
@@ -158,14 +169,127 @@ def chunk_keys(signed: DataFrame) -> DataFrame:
 
 def _near(a: str, b: str) -> str:
     """Whether two nodes' sketches and sizes leave a link possible."""
-    return (
-        f"bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {SKETCH_LIMIT}"
-        f" and {DENOMINATOR} * least({a}.n, {b}.n) >= {NUMERATOR} * greatest({a}.n, {b}.n)"
+    words = PLACES * SKETCH_BITS // 64
+    ones = sum(1 << i for i in range(0, 64, SKETCH_BITS))
+    differ = " + ".join(
+        "bit_count((" + " | ".join([f"({a}.sketch[{i}] ^ {b}.sketch[{i}])", *(f"shiftrightunsigned({a}.sketch[{i}] ^ {b}.sketch[{i}], {k})" for k in range(1, SKETCH_BITS))]) + f") & {ones}L)" for i in range(words)
     )
+    return f"{DENOMINATOR} * least({a}.n, {b}.n) >= {NUMERATOR} * greatest({a}.n, {b}.n) and {differ} <= {SKETCH_LIMIT}"
+
+
+_OPEN = ("key", "p", "q", "own", "id", "c", "n", "hub", "hub_n", "hidden", "sketch", "lost", "novel")
+
+
+def _candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a > b) of one bucket's rows in different components that sketches, sizes and bit sets allow."""
+    a_out, b_out = [], []
+    ones = np.uint64(sum(1 << i for i in range(0, 64, SKETCH_BITS)))
+    sketch, n, across = rows["sketch"], rows["n"], rows["p"][0] != rows["q"][0]
+    for at in range(0, len(n), 256):
+        i = slice(at, at + 256)
+        may = (rows["id"][i, None] > rows["id"]) & (rows["c"][i, None] != rows["c"])
+        may &= DENOMINATOR * np.minimum(n[i, None], n) >= NUMERATOR * np.maximum(n[i, None], n)
+        if across:
+            may &= rows["own"][i, None] != rows["own"]
+        x, y = np.nonzero(may)
+        x += at
+        differ = sketch[x] ^ sketch[y]
+        mixed = differ.copy()
+        for k in range(1, SKETCH_BITS):
+            mixed |= differ >> np.uint64(k)
+        near = np.bitwise_count(mixed & ones).sum(1) <= SKETCH_LIMIT
+        x, y = x[near], y[near]
+        lost = np.bitwise_count(rows["lost"][x] | rows["lost"][y]).sum(1).astype(np.int64)
+        new = np.bitwise_count(rows["novel"][x] & rows["novel"][y]).sum(1).astype(np.int64)
+        shared = rows["hub_n"][x] - lost + new + np.minimum(rows["hidden"][x], rows["hidden"][y])
+        can = (rows["hub"][x] != rows["hub"][y]) | (DENOMINATOR * shared >= NUMERATOR * (n[x] + n[y] - shared))
+        a_out.append(rows["id"][x[can]])
+        b_out.append(rows["id"][y[can]])
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def compared(open_rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that may be links, among the rows of each key.
+
+    Keys of more than ``BUCKET`` rows are dealt into blocks by hash, each pair of blocks to a task
+    of its own, so no task holds more than a few blocks.  Only pairs that may be links leave it.
+    """
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BUCKET))).cast("int").alias("blocks"))
+    dealt = open_rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select(*_OPEN)
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {}
+            for name, column in zip(_OPEN, batch.columns, strict=True):
+                wide = name in ("sketch", "lost", "novel")
+                rows[name] = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1) if wide else column.to_numpy(zero_copy_only=False)
+            if kept is not None:
+                rows = {k: np.concatenate([kept[k], v]) for k, v in rows.items()}
+            new = (np.diff(rows["key"]) != 0) | (np.diff(rows["p"]) != 0) | (np.diff(rows["q"]) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if stop - start > 1:
+                    a, b = _candidates({k: v[start:stop] for k, v in rows.items()})
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            kept = {k: v[starts[-1] :] for k, v in rows.items()}
+        if kept is not None and len(kept["id"]) > 1:
+            a, b = _candidates(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, out).distinct()
+
+
+def _marks(shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros(MARKS // 64, np.uint64)
+    place = _mix(shingles) % np.uint64(MARKS)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) whose full sets pass the threshold.  Only the texts of their ends are read into sets."""
+_CHECKED = T.StructType(
+    [
+        T.StructField("a", T.LongType()),
+        T.StructField("b", T.LongType()),
+        T.StructField("linked", T.BooleanType()),
+        T.StructField("hub_n", T.LongType()),
+        T.StructField("lost", T.ArrayType(T.LongType())),
+        T.StructField("novel", T.ArrayType(T.LongType())),
+        T.StructField("hidden", T.LongType()),
+    ]
+)
+
+
+def _against_hub(met: DataFrame) -> DataFrame:
+    """For (a, b, x, y), with b the hub: whether the sets link, and a's bit sets against the hub."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                ends = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for i, (a, b) in enumerate(zip(*ends, strict=True)):
+                    x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 3))
+                    novel, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                    both = len(x) - len(novel)
+                    new = _marks(novel)
+                    hidden = len(novel) - sum(int(v).bit_count() for v in new)
+                    linked = DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+                    yield a, b, linked, len(y), _marks(lost).view(np.int64).tolist(), new.view(np.int64).tolist(), hidden
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_out(rows(batches), _CHECKED)
+
+    return met.select("a", "b", "x", "y").mapInArrow(run, _CHECKED)
+
+
+def with_sets(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(a, b, x, y): the pairs with the full sets of their ends.  Only the texts of these are read into sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).join(ends, "id", "left_semi")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -180,9 +304,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
     sets = cut(bodies.mapInArrow(run, out).dropDuplicates(["id"]) if _repeats(docs, key) else bodies.mapInArrow(run, out), "sets")
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.withColumn("both", both).filter(f"{DENOMINATOR} * both >= {NUMERATOR} * (size(x) + size(y) - both)").select("a", "b")
+    return pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) whose full sets pass the threshold."""
+    met = with_sets(pairs, docs, text, key).withColumn("both", F.size(F.array_intersect("x", "y")))
+    return met.filter(f"{DENOMINATOR} * both >= {NUMERATOR} * (size(x) + size(y) - both)").select("a", "b")
 
 
 def _repeats(docs: DataFrame, key: str) -> bool:
@@ -193,30 +321,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``.
 
     A row without words, or with a null text, is linked with nothing.  A row with a null id can't
-    be named by a component: it is linked with nothing, has a null component and is kept.  Rows
-    that share an id are one document with each of their texts.
+    be named by a component: it is linked with nothing, has a null component and is kept.  Ids
+    are expected to be unique: rows that share one are linked through it, and of their different
+    texts one is compared with other documents.
     """
     signed = cut(signatures(docs, text, key), "signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     groups = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     member = cut(
         signed.join(groups, ["d1", "d2"], "left").select(
-            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"), "s1", "s2", F.when(F.col("doc_id") == F.col("id"), F.col("signature")).alias("signature")
+            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"), "sketch", F.when(F.col("doc_id") == F.col("id"), F.col("signature")).alias("signature")
         ),
         "members",
     )
-    nodes = member.filter("signature is not null").select("id", F.col("n_shingles").alias("n"), "s1", "s2", "signature")
+    nodes = member.filter("signature is not null").select("id", F.col("n_shingles").alias("n"), "sketch", "signature").dropDuplicates(["id"])
     keyed = chunk_keys(nodes)
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
     buckets = cut(keyed.join(hubs, "key"), "buckets")
-    narrow = nodes.select("id", "n", "s1", "s2")
+    narrow = nodes.select("id", "n", "sketch")
     met = buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     x, y = narrow.withColumnRenamed("id", "a"), narrow.withColumnRenamed("id", "b")
-    sized = lambda pairs: pairs.alias("p").join(x.alias("x"), "a").join(y.alias("y"), "b")
-    distance = F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)")
-    near = sized(met).filter(_near("x", "y")).select("a", "b", distance.alias("distance"))
-    first = cut(near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", "best.b"), "first")
-    links = cut(confirm(first, docs, text, key), "links")
+    near = met.alias("p").join(x.alias("x"), "a").join(y.alias("y"), "b").filter(_near("x", "y"))
+    first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
+    checked = cut(_against_hub(with_sets(first, docs, text, key)), "checked")
+    links = checked.filter("linked").select("a", "b")
     shared = usable.select("doc_id", "d1", "d2").distinct().join(groups, ["d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     if _repeats(docs, key):
         links = links.unionByName(shared)
@@ -224,9 +352,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     known = buckets.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_keys = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    rest = cut(known.join(open_keys, "key").join(narrow, "id"), "open")
-    apart = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.id > y.id and x.c <> y.c and " + _near("x", "y")))
-    pairs = apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    zero = F.array_repeat(F.lit(0).cast("long"), MARKS // 64)
+    marks = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "hub_n", "lost", "novel", "hidden")
+    about = narrow.join(marks, "id", "left").select(
+        "id", "n", "sketch", F.coalesce("hub", "id").alias("hub"), F.coalesce("hub_n", "n").alias("hub_n"), F.coalesce("lost", zero).alias("lost"), F.coalesce("novel", zero).alias("novel"), F.coalesce("hidden", F.lit(0)).alias("hidden")
+    )
+    rest = cut(known.join(open_keys, "key").join(about, "id"), "open")
+    pairs = compared(rest).join(first, ["a", "b"], "left_anti")
     more = cut(pairs, "pairs")
     if not more.isEmpty():
         added = cut(confirm(more, docs, text, key), "links")
