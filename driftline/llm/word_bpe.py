@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from . import words as W
 
 #: Distinct pre-tokens kept in a worker; beyond it the table starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 #: Characters for which lower-casing, NFC and the classes below are the same in every Unicode version.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 #: A byte's image; a space ends a word.  Only A-Z are lower-cased; bytes of multi-byte characters stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
