@@ -273,7 +273,10 @@ def labelled(texts: list[str], around: int = 24) -> list[tuple[list[str], list[i
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Field:
     """A field from generated lines and the ``sample_rows`` texts with the smallest hash of their id."""
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").withColumn("o", F.xxhash64("k")).orderBy("o", "k", F.xxhash64("t")).limit(sample_rows)
+    order = F.xxhash64("k")
+    ids = docs.select(F.col(key).alias("k")).filter("k is not null").distinct().orderBy(order, "k").limit(sample_rows)
+    # at most sample_rows ids
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(ids), "k").groupBy("k").agg(F.min("t").alias("t")).orderBy(order, "k")
     return train(generated() + labelled([r["t"] for r in chosen.select("t").collect()]))
 
 
