@@ -9,11 +9,13 @@ from driftline.schema import COG_MAX, LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, SPEED_
 
 
 def in_range(messages: DataFrame, own_day: bool = False) -> DataFrame:
-    """Reports within the bounds, all inclusive; a null in a tested column drops the row.
+    """Reports within the bounds, all inclusive; a null in a tested column, or no time, drops the row.
 
     With ``own_day``, also only those whose time lies in the day of their file, in UTC.
     """
     kept = messages.filter(F.col("lat").between(LAT_MIN, LAT_MAX) & F.col("lon").between(LON_MIN, LON_MAX) & F.col("sog").between(0.0, SPEED_MAX) & F.col("cog").between(0.0, COG_MAX))
+    if "ts_s" in kept.columns:
+        kept = kept.filter("ts_s is not null")
     if own_day:
         start = F.unix_timestamp(F.col("file_date").cast("timestamp"))
         kept = kept.filter((F.col("ts_s") >= start) & (F.col("ts_s") < start + 86400))

@@ -12,12 +12,13 @@ from driftline.schema import RAW
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily CSV files (``*.csv`` under a folder, or one path), named columns, one row for each report.
 
-    Only the columns of the fixed schema are read, by header name.  A report whose time doesn't
-    parse has a null ts_s; ``quarantine`` counts these, and the range filter drops them.  ``seq``
-    keeps the order of rows within a file for equal times.
+    Only the columns of the fixed schema are read, by header name; a value that isn't of its type
+    is null.  A report whose time doesn't parse has a null ts_s and shows in ``quarantine``.
+    ``seq`` keeps the order of rows within a file for equal times.
     """
-    raw = spark.read.options(header=True, enforceSchema=False, pathGlobFilter="*.csv", columnNameOfCorruptRecord="_bad").schema(RAW).csv(path)
-    return named(raw.withColumns({"file_name": F.col("_metadata.file_name"), "seq": F.monotonically_increasing_id()}))
+    raw = spark.read.options(header=True, enforceSchema=False, pathGlobFilter="*.csv").csv(path)
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in RAW.fields]
+    return named(raw.select(*typed, F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("seq")))
 
 
 def named(raw: DataFrame) -> DataFrame:
