@@ -1,5 +1,5 @@
 import pytest
-from conftest import TESTDATA, duck, same_rows
+from tables import TESTDATA, duck, same_rows
 
 from driftline.plans import catalog
 

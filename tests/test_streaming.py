@@ -1,4 +1,4 @@
-from conftest import TESTDATA
+from tables import TESTDATA
 
 from driftline.operators import voyages
 from driftline.plans import catalog
