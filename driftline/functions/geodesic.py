@@ -2,14 +2,14 @@
 
 A fixed number of iterations keeps the plan static; within the bounds of the data six agree
 with the converged result to nanometres.  The steps are separate projections, so each
-intermediate is computed once.  Don't filter on a result directly: the optimiser pushes such a
+intermediate is computed once; they are given to the session as one query, which is analysed
+once.  Don't filter on a result directly: the optimiser pushes such a
 filter through all steps and writes the formula out; ``speed_edges`` shows a way around that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # The ellipsoid.
 A = 6378137.0
@@ -18,62 +18,74 @@ B = A * (1 - FLAT)
 ITERATIONS = 6
 
 
-def _series(u2: Column) -> tuple[Column, Column]:
-    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    return big_a, big_b
+def _through(df: DataFrame, steps: list[dict[str, str]], found: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``found``, after projections that each see the ones before."""
+    text = "select * from {src}"
+    for step in steps:
+        text = f"select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from ({text})"
+    kept = [f"`{c}`" for c in df.columns if c not in found]
+    return df.sparkSession.sql(f"select {', '.join([*kept, *(f'{e} as `{n}`' for n, e in found.items())])} from ({text})", src=df)
 
 
-def _delta_sigma(big_b: Column, sin_s: Column, cos_s: Column, cos_2m: Column) -> Column:
-    return big_b * sin_s * (cos_2m + big_b / 4 * (cos_s * (-1 + 2 * cos_2m * cos_2m) - big_b / 6 * cos_2m * (-3 + 4 * sin_s * sin_s) * (-3 + 4 * cos_2m * cos_2m)))
+_SERIES = {
+    "_A": "1 + _w / 16384 * (4096 + _w * (-768 + _w * (320 - 175 * _w)))",
+    "_B": "_w / 1024 * (256 + _w * (-128 + _w * (74 - 47 * _w)))",
+}
+
+
+def _correction(ss: str, cs: str, c2m: str) -> str:
+    return f"_B * {ss} * ({c2m} + _B / 4 * ({cs} * (-1 + 2 * {c2m} * {c2m}) - _B / 6 * {c2m} * (-3 + 4 * {ss} * {ss}) * (-3 + 4 * {c2m} * {c2m})))"
 
 
 def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, distance: str, azimuth: str | None = None) -> DataFrame:
     """Add the distance in metres (0 for coincident points, null for null ends) and, if named, the first azimuth in radians."""
-    keep = df.columns
-    c, r = F.col, F.radians
-    out = df.withColumns({"_l": r(c(lon2)) - r(c(lon1)), "_u1": F.atan((1 - FLAT) * F.tan(r(c(lat1)))), "_u2": F.atan((1 - FLAT) * F.tan(r(c(lat2))))})
-    out = out.withColumns({"_su1": F.sin("_u1"), "_cu1": F.cos("_u1"), "_su2": F.sin("_u2"), "_cu2": F.cos("_u2"), "_lam": c("_l")})
-    for _ in range(ITERATIONS):
-        out = out.withColumns({"_x": c("_cu2") * F.sin("_lam"), "_y": c("_cu1") * c("_su2") - c("_su1") * c("_cu2") * F.cos("_lam")})
-        out = out.withColumns({"_ss": F.sqrt(c("_x") * c("_x") + c("_y") * c("_y")), "_cs": c("_su1") * c("_su2") + c("_cu1") * c("_cu2") * F.cos("_lam")})
-        out = out.withColumns({"_sig": F.atan2("_ss", "_cs"), "_sa": F.when(c("_ss") == 0, 0.0).otherwise(c("_cu1") * c("_cu2") * F.sin("_lam") / F.nullif(c("_ss"), F.lit(0.0)))})
-        out = out.withColumns({"_c2a": 1 - c("_sa") * c("_sa")})
-        out = out.withColumns(
-            {
-                "_c2m": F.when(c("_c2a") == 0, 0.0).otherwise(c("_cs") - 2 * c("_su1") * c("_su2") / F.nullif(c("_c2a"), F.lit(0.0))),
-                "_c": FLAT / 16 * c("_c2a") * (4 + FLAT * (4 - 3 * c("_c2a"))),
-            }
-        )
-        out = out.withColumn("_lam", c("_l") + (1 - c("_c")) * FLAT * c("_sa") * (c("_sig") + c("_c") * c("_ss") * (c("_c2m") + c("_c") * c("_cs") * (-1 + 2 * c("_c2m") * c("_c2m")))))
-    out = out.withColumn("_w", c("_c2a") * ((A * A - B * B) / (B * B)))
-    big_a, big_b = _series(c("_w"))
-    out = out.withColumns({"_A": big_a, "_B": big_b})
-    found = {distance: F.when(c("_ss") == 0, 0.0).otherwise(B * c("_A") * (c("_sig") - _delta_sigma(c("_B"), c("_ss"), c("_cs"), c("_c2m"))))}
+    f = f"{FLAT!r}D"
+    reduced = lambda lat: f"atan((1 - {f}) * tan(radians(`{lat}`)))"
+    steps = [
+        {"_l": f"radians(`{lon2}`) - radians(`{lon1}`)", "_u1": reduced(lat1), "_u2": reduced(lat2)},
+        {"_su1": "sin(_u1)", "_cu1": "cos(_u1)", "_su2": "sin(_u2)", "_cu2": "cos(_u2)", "_lam0": "_l"},
+    ]
+    for i in range(ITERATIONS):
+        lam, ss, cs, sig, sa, c2a, c2m, c = (f"_{n}{i}" for n in ("lam", "ss", "cs", "sig", "sa", "c2a", "c2m", "c"))
+        steps += [
+            {f"_x{i}": f"_cu2 * sin({lam})", f"_y{i}": f"_cu1 * _su2 - _su1 * _cu2 * cos({lam})", cs: f"_su1 * _su2 + _cu1 * _cu2 * cos({lam})"},
+            {ss: f"sqrt(_x{i} * _x{i} + _y{i} * _y{i})"},
+            {sig: f"atan2({ss}, {cs})", sa: f"case when {ss} = 0 then 0D else _cu1 * _cu2 * sin({lam}) / nullif({ss}, 0D) end"},
+            {c2a: f"1 - {sa} * {sa}"},
+            {c2m: f"case when {c2a} = 0 then 0D else {cs} - 2 * _su1 * _su2 / nullif({c2a}, 0D) end", c: f"{f} / 16 * {c2a} * (4 + {f} * (4 - 3 * {c2a}))"},
+            {f"_lam{i + 1}": f"_l + (1 - {c}) * {f} * {sa} * ({sig} + {c} * {ss} * ({c2m} + {c} * {cs} * (-1 + 2 * {c2m} * {c2m})))"},
+        ]
+    steps += [{"_w": f"{c2a} * {(A * A - B * B) / (B * B)!r}D"}, _SERIES]
+    found = {distance: f"case when {ss} = 0 then 0D else {B!r}D * _A * ({sig} - ({_correction(ss, cs, c2m)})) end"}
     if azimuth:
-        found[azimuth] = F.atan2(c("_cu2") * F.sin("_lam"), c("_cu1") * c("_su2") - c("_su1") * c("_cu2") * F.cos("_lam"))
-    return out.withColumns(found).select(*dict.fromkeys([*keep, *found]))
+        lam = f"_lam{ITERATIONS}"
+        found[azimuth] = f"atan2(_cu2 * sin({lam}), _cu1 * _su2 - _su1 * _cu2 * cos({lam}))"
+    return _through(df, steps, found)
 
 
 def with_direct(df: DataFrame, lat1: str, lon1: str, azimuth: str, distance: str, lat2: str, lon2: str) -> DataFrame:
     """Add the point reached from (lat1, lon1) at an azimuth in radians after a distance in metres."""
-    keep = df.columns
-    c = F.col
-    out = df.withColumns({"_tu": (1 - FLAT) * F.tan(F.radians(lat1)), "_sz": F.sin(azimuth), "_cz": F.cos(azimuth)})
-    out = out.withColumns({"_cu": 1 / F.sqrt(1 + c("_tu") * c("_tu"))})
-    out = out.withColumns({"_su": c("_tu") * c("_cu"), "_s1": F.atan2(c("_tu"), c("_cz")), "_sa": c("_cu") * c("_sz")})
-    out = out.withColumns({"_c2a": 1 - c("_sa") * c("_sa")})
-    out = out.withColumn("_w", c("_c2a") * ((A * A - B * B) / (B * B)))
-    big_a, big_b = _series(c("_w"))
-    out = out.withColumns({"_A": big_a, "_B": big_b})
-    out = out.withColumns({"_sig": c(distance) / (B * c("_A"))})
-    for _ in range(ITERATIONS):
-        out = out.withColumns({"_c2m": F.cos(2 * c("_s1") + c("_sig")), "_ss": F.sin("_sig"), "_cs": F.cos("_sig")})
-        out = out.withColumn("_sig", c(distance) / (B * c("_A")) + _delta_sigma(c("_B"), c("_ss"), c("_cs"), c("_c2m")))
-    out = out.withColumns({"_c2m": F.cos(2 * c("_s1") + c("_sig")), "_ss": F.sin("_sig"), "_cs": F.cos("_sig")})
-    out = out.withColumns({"_t": c("_su") * c("_ss") - c("_cu") * c("_cs") * c("_cz"), "_c": FLAT / 16 * c("_c2a") * (4 + FLAT * (4 - 3 * c("_c2a")))})
-    phi = F.atan2(c("_su") * c("_cs") + c("_cu") * c("_ss") * c("_cz"), (1 - FLAT) * F.sqrt(c("_sa") * c("_sa") + c("_t") * c("_t")))
-    lam = F.atan2(c("_ss") * c("_sz"), c("_cu") * c("_cs") - c("_su") * c("_ss") * c("_cz"))
-    turn = lam - (1 - c("_c")) * FLAT * c("_sa") * (c("_sig") + c("_c") * c("_ss") * (c("_c2m") + c("_c") * c("_cs") * (-1 + 2 * c("_c2m") * c("_c2m"))))
-    found = {lat2: F.degrees(phi), lon2: c(lon1) + F.degrees(turn)}
-    return out.withColumns(found).select(*dict.fromkeys([*keep, *found]))
+    f = f"{FLAT!r}D"
+    gone = f"`{distance}` / ({B!r}D * _A)"
+    steps = [
+        {"_tu": f"(1 - {f}) * tan(radians(`{lat1}`))", "_sz": f"sin(`{azimuth}`)", "_cz": f"cos(`{azimuth}`)"},
+        {"_cu": "1 / sqrt(1 + _tu * _tu)", "_s1": "atan2(_tu, _cz)"},
+        {"_su": "_tu * _cu", "_sa": "_cu * _sz"},
+        {"_c2a": "1 - _sa * _sa"},
+        {"_w": f"_c2a * {(A * A - B * B) / (B * B)!r}D"},
+        _SERIES,
+        {"_sig0": gone},
+    ]
+    for i in range(ITERATIONS):
+        steps += [
+            {f"_c2m{i}": f"cos(2 * _s1 + _sig{i})", f"_ss{i}": f"sin(_sig{i})", f"_cs{i}": f"cos(_sig{i})"},
+            {f"_sig{i + 1}": f"{gone} + {_correction(f'_ss{i}', f'_cs{i}', f'_c2m{i}')}"},
+        ]
+    sig = f"_sig{ITERATIONS}"
+    steps += [
+        {"_c2m": f"cos(2 * _s1 + {sig})", "_ss": f"sin({sig})", "_cs": f"cos({sig})"},
+        {"_t": "_su * _ss - _cu * _cs * _cz", "_c": f"{f} / 16 * _c2a * (4 + {f} * (4 - 3 * _c2a))"},
+        {"_turn": f"atan2(_ss * _sz, _cu * _cs - _su * _ss * _cz) - (1 - _c) * {f} * _sa * ({sig} + _c * _ss * (_c2m + _c * _cs * (-1 + 2 * _c2m * _c2m)))"},
+    ]
+    phi = f"atan2(_su * _cs + _cu * _ss * _cz, (1 - {f}) * sqrt(_sa * _sa + _t * _t))"
+    return _through(df, steps, {lat2: f"degrees({phi})", lon2: f"`{lon1}` + degrees(_turn)"})
