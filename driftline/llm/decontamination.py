@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case, so
 punctuation, case and layout don't hide a copy.  Every n-gram of a test item is a seed.  One
 pass over the training texts finds the seeds and keeps, for each text and item, the window of
-words that an alignment through the seeds can reach.  Seeds are then counted over all
-documents; those much more frequent than the item's others (``COMMON`` times its median) are
-phrases rather than evidence, and windows without any rare seed go.  What stays is aligned
-with its item, a match counting 2, a mismatch or a gap -1; the score is the share of the
-score of a full copy.
+words that an alignment through the seeds can reach.  An alignment matches no more words than
+window and item have in common, so windows that can't score the threshold by that bound go;
+how frequent their seeds are doesn't matter.  What stays is aligned with its item, equal windows
+of a task once, a match counting 2, a mismatch or a gap -1; the score is the share of
+the score of a full copy.
 
 The items are sent to the workers in blocks of bounded size, one pass for each block.
 """
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +29,12 @@ from . import words as W
 from .shared import batches_out, cut, table
 
 SEED = 4
-COMMON = 8.0
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.45
 #: Bytes of item text in a block that is broadcast.
 BLOCK_BYTES = 32 << 20
+#: Distinct windows whose alignment a worker remembers.
+KNOWN_WINDOWS = 1 << 14
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +44,6 @@ _HITS = T.StructType(
         T.StructField("item_id", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("words", T.BinaryType()),
-        T.StructField("seeds", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -80,6 +80,7 @@ class Seeds:
                 for at, seed in enumerate(_rolled(h[a:b], size).tolist()):
                     places[seed].add((item, at))
         self.places = {s: sorted(p) for s, p in places.items()}
+        self.counts = {item: np.unique(words, return_counts=True) for item, words in self.words.items()}
         self.known = np.sort(np.array(list(places), np.uint64))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -91,25 +92,29 @@ class Seeds:
         sure = self.known[np.minimum(np.searchsorted(self.known, rolled[at]), len(self.known) - 1)] == rolled[at]
         return at[sure], rolled[at[sure]]
 
+    def in_common(self, item: int, words: np.ndarray) -> int:
+        """How many words an alignment of the item with ``words`` can match at most."""
+        distinct, counts = self.counts[item]
+        at = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
+        return int(np.minimum(np.bincount(at[distinct[at] == words], minlength=len(distinct)), counts).sum())
 
-def _windows(hits: list[tuple[int, int, int]], length: int, n_words: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Merged (start, end, seeds) windows that an item of ``length`` words can fill around its hits (position, place in the item, seed)."""
+
+def _windows(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator[tuple[int, int]]:
+    """Merged (start, end) windows that an item of ``length`` words can fill around its hits (position, place in the item)."""
     slack = max(4, length // 4)
     start = end = -1
-    seeds: list[int] = []
-    for position, place, seed in sorted(hits):
+    for position, place in sorted(hits):
         a, b = max(0, position - place - slack), min(n_words, position - place + length + slack)
-        if seeds and a > end:
-            yield start, end, seeds
-            seeds = []
-        start, end = (a, b) if not seeds else (min(start, a), max(end, b))
-        seeds.append(seed)
-    if seeds:
-        yield start, end, seeds
+        if end >= 0 and a > end:
+            yield start, end
+            end = -1
+        start, end = (a, b) if end < 0 else (min(start, a), max(end, b))
+    if end >= 0:
+        yield start, end
 
 
-def hits(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each document, item and window: the window's word hashes and the distinct seeds in it."""
+def hits(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document, item and window that may score the threshold: the window's word hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -117,18 +122,21 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", key:
         for whole in batches:
             for batch in W.chunks(whole):
                 h, offsets = hashed_words(batch.column(1))
-                met: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+                met: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for size in index.sizes:
                     at, seeds = index.find(h, size)
                     owner = np.searchsorted(offsets, at, "right") - 1
                     inside = at + size <= offsets[owner + 1]
                     for p, o, s in zip((at - offsets[owner])[inside].tolist(), owner[inside].tolist(), seeds[inside].tolist(), strict=True):
                         for item, place in index.places[s]:
-                            met[o, item].append((p, place, s))
+                            met[o, item].append((p, place))
                 for (o, item), found in sorted(met.items()):
                     a, b = offsets[o], offsets[o + 1]
-                    for start, end, seeds in _windows(found, len(index.words[item]), int(b - a)):
-                        yield batch.column(0)[o].as_py(), item, start, h[a + start : a + end].tobytes(), [s - (1 << 64) if s >> 63 else s for s in sorted(set(seeds))]
+                    length = len(index.words[item])
+                    for start, end in _windows(found, length, int(b - a)):
+                        words = h[a + start : a + end]
+                        if index.in_common(item, words) / length >= threshold:
+                            yield batch.column(0)[o].as_py(), item, start, words.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_out(rows(batches), _HITS, lambda r: len(r[3]))
@@ -167,14 +175,21 @@ def aligned(windows: DataFrame, items: list[tuple[int, str]], threshold: float =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         item_words = Seeds(sent.value).words
+        known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for batch in batches:
             for doc, item, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, words_of_item = np.frombuffer(raw, np.uint64), item_words[item]
-                best, end = align(words_of_item, words)
-                share = best / (MATCH * len(words_of_item))
+                window = item, xxhash.xxh3_128_digest(raw)
+                if window not in known:
+                    if len(known) >= KNOWN_WINDOWS:
+                        known.clear()
+                    words, words_of_item = np.frombuffer(raw, np.uint64), item_words[item]
+                    best, end = align(words_of_item, words)
+                    share = best / (MATCH * len(words_of_item))
+                    back = align(words_of_item[::-1], words[:end][::-1])[1] if share >= threshold else 0
+                    known[window] = share, end - back, end
+                share, first, end = known[window]
                 if share >= threshold:
-                    _, back = align(words_of_item[::-1], words[:end][::-1])
-                    yield doc, item, share, start + end - back, start + end
+                    yield doc, item, share, start + first, start + end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_out(rows(batches), out)
@@ -205,14 +220,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     spark = docs.sparkSession
     found = None
     for block in blocks(items):
-        windows = cut(hits(docs, block, text, key), "hits")
-        counted = windows.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.count(F.lit(1)).alias("n"))
-        typical = Window.partitionBy("item_id")
-        rare = counted.withColumn("usual", F.percentile_approx("n", 0.5).over(typical)).filter(F.col("n") <= COMMON * F.col("usual"))
-        # at most a seed for each word of a block: bounded by BLOCK_BYTES
-        rare_of_item = rare.groupBy("item_id").agg(F.collect_set("seed").alias("rare"))
-        kept = windows.join(F.broadcast(rare_of_item), "item_id").filter(F.arrays_overlap("seeds", "rare"))
-        part = aligned(kept, block, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("first"), "end_word")).alias("best"))
+        windows = cut(hits(docs, block, text, key, threshold), "hits")
+        part = aligned(windows, block, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("first"), "end_word")).alias("best"))
         part = part.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.first")).alias("start_word"), F.col("best.end_word").alias("end_word"))
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +156,29 @@ def test_edited_copies_align():
     assert end == len(b)
 
 
+def test_edited_copies_beside_a_verbatim_one_are_found(spark):
+    item = [f"word{i}" for i in range(60)]
+    edited = " ".join("other" if i % 5 == 0 else w for i, w in enumerate(item))
+    docs = [(i, f"before {i} {edited} after {i}") for i in range(40)] + [(100, " ".join(item)), (101, " ".join(item[:8]))]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert sorted(scores) == [*range(40), 100]
+    # the first word is edited too, so the alignment starts at the second: 48 matches, 11 mismatches
+    assert all(scores[i] == pytest.approx((2 * 48 - 11) / 120) for i in range(40))
+    assert scores[100] == 1
+
+
+def test_no_window_that_scores_is_left_out_by_its_common_words():
+    r = random.Random(6)
+    for _ in range(300):
+        item, window = ([r.choice("abcdefgh") for _ in range(r.randint(4, 12))] for _ in range(2))
+        words, offsets = decontamination.hashed_words(pa.array([" ".join(item), " ".join(window)]))
+        a, b = words[: offsets[1]], words[offsets[1] :]
+        bound = decontamination.Seeds([(1, " ".join(item))]).in_common(1, b)
+        assert bound == sum((Counter(item) & Counter(window)).values())
+        assert decontamination.align(a, b)[0] <= decontamination.MATCH * bound
+
+
 def test_toxicity_learns_words_and_ignores_held_out_rows(spark):
     r = random.Random(3)
     rows = [(i, " ".join(r.choices("one two three four five six seven".split(), k=30)) + (" wretchedness" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
