@@ -4,7 +4,8 @@ The automaton holds every run of words of every template.  Words of a text are s
 it, which gives at each word the longest run ending there that some template contains (the
 matching statistics).  Maximal runs of ``LEAST_RUN`` words or more are chained, in order, within
 one template, across gaps of at most ``MOST_GAP`` words on either side; a chain that covers
-``LEAST_COVER`` of its template is a span with the template's label.
+``LEAST_COVER`` of its template is a span with the template's label.  Of chains with one label
+that overlap the best is emitted; all others are, wherever they are in the text.
 
 A text's words that no template has can't be part of a run, so only stretches of known words
 that are long enough pass through the automaton.
@@ -12,6 +13,7 @@ that are long enough pass through the automaton.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -159,12 +161,12 @@ class Automaton:
         return [(i + 1, n, s) for i, ((n, s), (after, _)) in enumerate(zip(seen, seen[1:], strict=False)) if n >= least and after <= n]
 
     def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, words covered, share of the template) of the chains that cover enough, best first for each label."""
+        """(label, start, end, words covered, share of the template) of the chains that cover enough; of those of a label that overlap, the best."""
         by_template: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for end, n, s in runs:
             for template, at in self.states[s].ends:
                 by_template[template].append((end, at, n))
-        best: dict[str, tuple[str, int, int, int, float]] = {}
+        found: dict[str, list[tuple[str, int, int, int, float]]] = defaultdict(list)
         for template, matches in sorted(by_template.items()):
             matches.sort()
             chains: list[tuple[int, int]] = []
@@ -180,10 +182,20 @@ class Automaton:
                             covered, first = chains[j][0] + fresh, chains[j][1]
                 chains.append((covered, first))
                 share = min(1.0, covered / self.lengths[template])
-                label = self.labels[template]
-                if share >= LEAST_COVER and (label not in best or (share, covered) > (best[label][4], best[label][3])):
-                    best[label] = (label, first, end, covered, share)
-        return sorted(best.values(), key=lambda s: (s[1], s[0]))
+                if share >= LEAST_COVER:
+                    found[self.labels[template]].append((self.labels[template], first, end, covered, share))
+        kept = []
+        for spans in found.values():
+            # chosen spans don't overlap, so the nearest on either side decide
+            starts: list[int] = []
+            ends: list[int] = []
+            for span in sorted(spans, key=lambda s: (-s[4], -s[3])):
+                at = bisect_left(starts, span[2])
+                if not at or ends[at - 1] <= span[1]:
+                    starts.insert(at, span[1])
+                    ends.insert(at, span[2])
+                    kept.append(span)
+        return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
 _SPAN = T.StructType(

@@ -57,6 +57,19 @@ def test_an_edited_template_is_a_span():
     assert spans[0][4] > 0.9
 
 
+def test_every_place_of_a_notice_is_a_span(spark):
+    (_, short), (_, long), (_, apache), (_, notice) = license_scan.TEMPLATES[:4]
+    filler = "some other words that no notice has " * 3
+    docs = [(1, f"{long} {filler} {long} {filler} {long}"), (2, f"{apache} {filler} {notice}"), (3, f"{long} {long}"), (4, f"{short} {filler} {long.replace('sublicense', 'lend')}")]
+    got = {r["doc_id"]: r["spans"] for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    n, gap = len(license_scan.words_of(long)), len(filler.split())
+    assert [(s["label"], s["start"], s["end"]) for s in got[1]] == [("mit", i * (n + gap), i * (n + gap) + n) for i in range(3)]
+    a, b = len(license_scan.words_of(apache)), len(license_scan.words_of(notice))
+    assert [(s["label"], s["start"], s["end"]) for s in got[2]] == [("apache", 0, a), ("apache", a + gap, a + gap + b)]
+    assert [(s["start"], s["end"]) for s in got[3]] == [(0, n), (n, 2 * n)]
+    assert [s["label"] for s in got[4]] == ["mit", "mit"]
+
+
 def test_edited_counts_equal_counting_again():
     counter, r = token_counts.Counter(token_counts.vocabulary_path()), random.Random(5)
     letters = " \n\t'  abc'sre ve12ll,.!é　日 x'"
