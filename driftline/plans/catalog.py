@@ -16,7 +16,7 @@ from driftline.operators import features as P
 from driftline.operators import ingest as I
 from driftline.operators import outliers as O
 from driftline.operators import voyages as V
-from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, SPEED_MAX
+from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
 from driftline.sources import ais
 
 from .oracles import on
@@ -335,16 +335,28 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return P.sample_lookup(items, first["mmsi"], first["time_start"]).select("mmsi", "voyage", "seqlen", "time_start")
 
 
+def _token_ends(rows: DataFrame) -> DataFrame:
+    return rows.select("mmsi", "voyage", F.size("tokens").alias("n_tokens"), F.get(F.get("tokens", F.lit(0)), F.lit(0)).cast("double").alias("first_value"), F.element_at("tokens", -1)[0].cast("double").alias("last_value"))
+
+
+def _attended(rows: DataFrame) -> DataFrame:
+    rows = P.padded(rows.withColumn("batch", F.col("voyage") % 3), "batch")
+    return rows.select("mmsi", "voyage", F.size("input_features").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
+
+
+def _n_masked(rows: DataFrame) -> DataFrame:
+    rows = P.masked_tokens(rows.withColumn("mmsi", F.col("mmsi").cast("long")))
+    return rows.select(F.col("mmsi").cast("int").alias("mmsi"), "voyage", F.size(F.filter("labels", lambda x: x[0] != -100.0)).alias("n_masked"))
+
+
 @query("token_seq", "select mmsi, voyage, cast(least(seqlen, 30) + 2 as integer) as n_tokens, -1e0 as first_value, -2e0 as last_value from (" + _ITEMS + ")")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = P.token_sequences(_items(s, d), 32)
-    return rows.select("mmsi", "voyage", F.size("tokens").alias("n_tokens"), F.get(F.get("tokens", F.lit(0)), F.lit(0)).cast("double").alias("first_value"), F.element_at("tokens", -1)[0].cast("double").alias("last_value"))
+    return _token_ends(P.token_sequences(_items(s, d), 32))
 
 
 @query("pad_mask", "select mmsi, voyage, cast(max(least(seqlen, 30) + 2) over (partition by voyage % 3) as integer) as padded, cast(least(seqlen, 30) + 2 as integer) as attended from (" + _ITEMS + ")")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = P.padded(P.token_sequences(_items(s, d), 32).withColumn("batch", F.col("voyage") % 3), "batch")
-    return rows.select("mmsi", "voyage", F.size("input_features").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
+    return _attended(P.token_sequences(_items(s, d), 32))
 
 
 @query(
@@ -352,9 +364,25 @@ def _(s: SparkSession, d: str) -> DataFrame:
     "select mmsi, voyage, cast(len(list_filter(range(1, least(seqlen, 30) + 1), lambda i: (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15)) as integer) as n_masked from (" + _ITEMS + ")",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
-    items = P.token_sequences(_items(s, d), 32).withColumn("mmsi", F.col("mmsi").cast("long"))
-    rows = P.masked_tokens(items)
-    return rows.select(F.col("mmsi").cast("int").alias("mmsi"), "voyage", F.size(F.filter("labels", lambda x: x[0] != -100.0)).alias("n_masked"))
+    return _n_masked(P.token_sequences(_items(s, d), 32))
+
+
+@query("token_seq_whole", "select mmsi, voyage, cast(least(seqlen, 510) + 2 as integer) as n_tokens, -1e0 as first_value, -2e0 as last_value from (" + _ITEMS + ")")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _token_ends(P.token_sequences(_items(s, d), MAX_LEN))
+
+
+@query("pad_mask_whole", "select mmsi, voyage, cast(max(least(seqlen, 510) + 2) over (partition by voyage % 3) as integer) as padded, cast(least(seqlen, 510) + 2 as integer) as attended from (" + _ITEMS + ")")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _attended(P.token_sequences(_items(s, d), MAX_LEN))
+
+
+@query(
+    "mtm_mask_whole",
+    "select mmsi, voyage, cast(len(list_filter(range(1, least(seqlen, 510) + 1), lambda i: (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15)) as integer) as n_masked from (" + _ITEMS + ")",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _n_masked(P.token_sequences(_items(s, d), MAX_LEN))
 
 
 @query("subset")

@@ -18,6 +18,8 @@ CAP = 0.9999
 DEFAULT_TYPE = 59
 UNKNOWN_NAV = 15
 CLS, SEP, IGNORED = -1.0, -2.0, -100.0
+#: Rows of a sequence with its first and last: no trajectory of ``CHUNK_TICKS`` steps is cut.
+MAX_LEN = 512
 
 # Navigational status texts and their codes.
 NAV_STATUS = {

@@ -41,3 +41,12 @@ def test_no_vessel_is_in_two_splits(spark):
     rows = catalog.queries()["split"](spark, f"{TESTDATA}/sf0.01").toPandas()
     assert rows["mmsi"].is_unique
     assert set(rows["split"]) == {"train", "val", "test"}
+
+
+def test_whole_sequences_hold_every_report(spark):
+    items = catalog.queries()["sample_items"](spark, SF).toPandas().set_index(["mmsi", "voyage"])["seqlen"]
+    assert items.max() > 30
+    tokens = catalog.queries()["token_seq_whole"](spark, SF).toPandas().set_index(["mmsi", "voyage"])["n_tokens"]
+    attended = catalog.queries()["pad_mask_whole"](spark, SF).toPandas().set_index(["mmsi", "voyage"])["attended"]
+    assert (tokens == items.reindex(tokens.index) + 2).all()
+    assert (attended == items.reindex(attended.index) + 2).all()

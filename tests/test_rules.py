@@ -153,3 +153,11 @@ def test_csv_rows_and_quarantine(spark, tmp_path):
     assert [(r["mmsi"], r["ts_s"], r["nav_status"], r["vessel_type"], r["heading"], str(r["file_date"])) for r in got] == [(219000001, 1704412810, 5, 70, 91, "2024-01-05"), (219000001, None, 15, 0, None, "2024-01-05")]
     assert ais.quarantine(rows).count() == 1
     assert ingest.in_range(rows, own_day=True).count() == 1
+
+
+def test_sequences_are_cut_only_where_they_are_longer_than_the_room(spark):
+    steps = [[float(i)] * 4 for i in range(10)]
+    items = spark.createDataFrame([(1, 0, steps)], "mmsi int, voyage long, features array<array<float>>")
+    cut, whole = (features.token_sequences(items, n).first()["tokens"] for n in (8, 12))
+    assert cut == [[-1.0] * 4, *steps[:6], [-2.0] * 4]
+    assert whole == [[-1.0] * 4, *steps, [-2.0] * 4]
