@@ -49,6 +49,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CORE = re.compile(r"[A-Za-z0-9+/_.~-]+")
 _KEY = re.compile(r"pass(?:word|wd)|secret|token|api_?key|credential|private|access", re.IGNORECASE)
 _PLAIN = r"^[\pL'’]{1,24}[.,;:!?]{0,3}$"
+#: Words, but for those of _KEY and "www.", whose features are bias and plain alone.
+_BARE = r"^(?:[A-Za-z]{1,16}|[A-Za-z]{2,7}[.,;!?]{1,3})$"
 _VOWELS = set("aeiouyAEIOUY")
 
 
@@ -307,10 +309,11 @@ class Scanner:
         distinct = pa.array(found.distinct, pa.large_binary()).cast(pa.large_string())
         key = pc.match_substring_regex(distinct, f"(?i:{_KEY.pattern})")
         plain = pc.and_not(pc.match_substring_regex(distinct, _PLAIN), key).to_numpy(zero_copy_only=False)
-        rows = np.tile(self.plain, (len(plain), 1))
-        odd = np.flatnonzero(~plain)
-        if len(odd):
-            rows[odd] = [self._row(found.distinct[i]) for i in odd.tolist()]
+        bare = pc.and_not(pc.match_substring_regex(distinct, _BARE), pc.or_(key, pc.starts_with(distinct, "www."))).to_numpy(zero_copy_only=False)
+        rows = np.tile(self.plain, (len(bare), 1))
+        other = np.flatnonzero(~bare)
+        if len(other):
+            rows[other] = [self._row(found.distinct[i]) for i in other.tolist()]
         per_word = rows[found.codes]
         sizes = np.diff(found.offsets)
         owner = np.repeat(np.arange(len(sizes)), sizes)

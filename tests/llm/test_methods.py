@@ -1,5 +1,6 @@
 """The methods against brute force, round trips and the fixed base rules."""
 
+import itertools
 import random
 import re
 import zlib
@@ -119,6 +120,29 @@ def test_stretches_decode_as_whole_texts_do():
         assert scanner.tagged(pa.array([text])).get(0, []) == want
 
 
+def test_every_word_is_scored_by_its_features():
+    field = secret_scan.train(secret_scan.generated(200))
+    scanner, r = secret_scan.Scanner(field), random.Random(4)
+    odd = ["name:", "other:,", "www.", "a,..", "a...", "don't", "something's", "understandable,", "über", "日本,", "QwErTyUiOpAsDfGhJkLz", "abcdefghijklmnopqrstuvwx", "sixteenlettersab", "Token", "''"]
+    for words, _ in secret_scan.generated(60, seed=12):
+        parts = " ".join([*words, *r.sample(odd, 6), *words]).split()
+        ordinary = [bool(re.fullmatch(r"(?:[^\W\d_]|['’]){1,24}[.,;:!?]{0,3}", w)) and not secret_scan._KEY.search(w) for w in parts]
+        x = [secret_scan.features(w) for w in parts]
+        own, before, after = (np.array([w[f].sum(0) for f in x]) for w in (field.own, field.before, field.after))
+        scores = own + np.array(secret_scan.file_features(len(parts), ordinary.count(False))) @ field.file
+        scores[1:] += before[:-1]
+        scores[:-1] += after[1:]
+        want = [(i, t) for i, t in enumerate(secret_scan.viterbi(scores, field.between)) if t]
+        assert scanner.tagged(pa.array([" ".join(parts)])).get(0, []) == want
+
+
+def test_the_shortcut_is_for_words_of_two_features_only():
+    words = ["".join(w) for n in range(1, 5) for w in itertools.product("aB.,:!'w", repeat=n)] + ["a" * n + e for n in range(5, 26) for e in ("", ".", ",", ":", "!!!", "?,;")]
+    for w in words:
+        if re.search(secret_scan._BARE, w) and not secret_scan._KEY.search(w) and not w.startswith("www."):
+            assert secret_scan.features(w) == [secret_scan._AT["bias"], secret_scan._AT["plain"]], w
+
+
 def test_every_plan_fills_sequences_without_gaps():
     r = random.Random(9)
     for _ in range(200):
