@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -653,6 +654,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _cure(s, d).predict(vectors(s, d), 5, 1.2)
 
 
+@query("noise_grid_whole")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The noise for 2, 4, .., 12 clusters of the fitted model and all thresholds; farthest-first choice is beyond SQL."""
+    rows, model = vectors(s, d), _cure(s, d)
+    near = [C.assign(rows, model.representatives(k), None).select(F.lit(k).alias("n_clusters"), "dist") for k in range(2, 13, 2)]
+    return rounded(E.noise_grid(functools.reduce(DataFrame.unionByName, near), [0.2, 0.22, 0.24, 0.26, 0.28, 0.3]), 6, "noise_pct")
+
+
 @query("ahc_merges")
 def _(s: SparkSession, d: str) -> DataFrame:
     model = _cure(s, d).model

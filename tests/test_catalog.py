@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from tables import TESTDATA, duck, same_rows
 
@@ -50,3 +51,28 @@ def test_whole_sequences_hold_every_report(spark):
     attended = catalog.queries()["pad_mask_whole"](spark, SF).toPandas().set_index(["mmsi", "voyage"])["attended"]
     assert (tokens == items.reindex(tokens.index) + 2).all()
     assert (attended == items.reindex(attended.index) + 2).all()
+
+
+def test_whole_noise_grid_equals_brute_force(spark, tmp_path):
+    r = np.random.RandomState(3)
+    x = np.concatenate([c + r.normal(0, 0.08, (25, 3)) for c in r.normal(0, 1, (12, 3))])
+    rows = [(i, [float(v) for v in p], i % 10) for i, p in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(g["n_clusters"], g["threshold"]): g["noise_pct"] for g in catalog.queries()["noise_grid_whole"](spark, str(tmp_path)).collect()}
+    model = catalog._cure(spark, str(tmp_path))
+    want = {}
+    for k in (2, 4, 6, 8, 10, 12):
+        labels, reps = model.model.labels(k), []
+        for c in range(k):
+            points = model.sample[labels == c]
+            centre = points.mean(0)
+            chosen = list(range(len(points)))
+            if len(points) > 20:
+                chosen = [max(range(len(points)), key=lambda i: np.linalg.norm(points[i] - centre))]
+                while len(chosen) < 20:
+                    chosen.append(max(range(len(points)), key=lambda i: min(np.linalg.norm(points[i] - points[j]) for j in chosen)))
+            reps += [p + 0.6 * (centre - p) for p in points[chosen]]
+        dist = [min(np.linalg.norm(p - q) for q in reps) for p in x]
+        want |= {(k, t): pytest.approx(100 * np.mean([v > t for v in dist]), abs=1e-5) for t in (0.2, 0.22, 0.24, 0.26, 0.28, 0.3)}
+    assert got == want
+    assert len(set(got.values())) > 6
