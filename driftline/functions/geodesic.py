@@ -9,6 +9,9 @@ filter through all steps and writes the formula out; ``speed_edges`` shows a way
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame
 
 # The ellipsoid.
@@ -19,11 +22,17 @@ ITERATIONS = 6
 
 
 def _through(df: DataFrame, steps: list[dict[str, str]], found: dict[str, str]) -> DataFrame:
-    """``df`` with the columns ``found``, after projections that each see the ones before."""
-    text = "select * from {src}"
-    for step in steps:
-        text = f"select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from ({text})"
+    """``df`` with the columns ``found``, after projections that each see the ones before.
+
+    A step's column is carried on only as far as a later step reads it, so the projections stay narrow.
+    """
     kept = [f"`{c}`" for c in df.columns if c not in found]
+    later = [" ".join(x.values()) for x in [*steps[1:], found]]
+    text, known = "select * from {src}", []
+    for i, step in enumerate(steps):
+        read = set(re.findall(r"\b_\w+", " ".join(later[i:])))
+        text = f"select {', '.join(['*'] if not i else [*(f'`{c}`' for c in df.columns), *(n for n in known if n in read)])}, {', '.join(f'{e} as {n}' for n, e in step.items())} from ({text})"
+        known += step
     return df.sparkSession.sql(f"select {', '.join([*kept, *(f'{e} as `{n}`' for n, e in found.items())])} from ({text})", src=df)
 
 
@@ -46,12 +55,12 @@ def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, dist
         {"_su1": "sin(_u1)", "_cu1": "cos(_u1)", "_su2": "sin(_u2)", "_cu2": "cos(_u2)", "_lam0": "_l"},
     ]
     for i in range(ITERATIONS):
-        lam, ss, cs, sig, sa, c2a, c2m, c = (f"_{n}{i}" for n in ("lam", "ss", "cs", "sig", "sa", "c2a", "c2m", "c"))
+        lam, ss, cs, sig, sa, c2m, c = (f"_{n}{i}" for n in ("lam", "ss", "cs", "sig", "sa", "c2m", "c"))
+        x, y = f"(_cu2 * sin({lam}))", f"(_cu1 * _su2 - _su1 * _cu2 * cos({lam}))"
+        c2a = f"(1 - {sa} * {sa})"
         steps += [
-            {f"_x{i}": f"_cu2 * sin({lam})", f"_y{i}": f"_cu1 * _su2 - _su1 * _cu2 * cos({lam})", cs: f"_su1 * _su2 + _cu1 * _cu2 * cos({lam})"},
-            {ss: f"sqrt(_x{i} * _x{i} + _y{i} * _y{i})"},
+            {ss: f"sqrt({x} * {x} + {y} * {y})", cs: f"_su1 * _su2 + _cu1 * _cu2 * cos({lam})"},
             {sig: f"atan2({ss}, {cs})", sa: f"case when {ss} = 0 then 0D else _cu1 * _cu2 * sin({lam}) / nullif({ss}, 0D) end"},
-            {c2a: f"1 - {sa} * {sa}"},
             {c2m: f"case when {c2a} = 0 then 0D else {cs} - 2 * _su1 * _su2 / nullif({c2a}, 0D) end", c: f"{f} / 16 * {c2a} * (4 + {f} * (4 - 3 * {c2a}))"},
             {f"_lam{i + 1}": f"_l + (1 - {c}) * {f} * {sa} * ({sig} + {c} * {ss} * ({c2m} + {c} * {cs} * (-1 + 2 * {c2m} * {c2m})))"},
         ]
@@ -63,6 +72,29 @@ def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, dist
     return _through(df, steps, found)
 
 
+def inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Distances in metres by the same formula over numpy arrays; nan for a nan end."""
+    turn = np.radians(lon2) - np.radians(lon1)
+    u1, u2 = (np.arctan((1 - FLAT) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam = turn
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(ITERATIONS):
+            ss = np.hypot(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam))
+            cs = su1 * su2 + cu1 * cu2 * np.cos(lam)
+            sig = np.arctan2(ss, cs)
+            sa = np.where(ss == 0, 0.0, cu1 * cu2 * np.sin(lam) / ss)
+            c2a = 1 - sa * sa
+            c2m = np.where(c2a == 0, 0.0, cs - 2 * su1 * su2 / c2a)
+            c = FLAT / 16 * c2a * (4 + FLAT * (4 - 3 * c2a))
+            lam = turn + (1 - c) * FLAT * sa * (sig + c * ss * (c2m + c * cs * (-1 + 2 * c2m * c2m)))
+    w = c2a * (A * A - B * B) / (B * B)
+    big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+    small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+    gone = small * ss * (c2m + small / 4 * (cs * (-1 + 2 * c2m * c2m) - small / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))
+    return np.where(ss == 0, 0.0, B * big * (sig - gone))
+
+
 def with_direct(df: DataFrame, lat1: str, lon1: str, azimuth: str, distance: str, lat2: str, lon2: str) -> DataFrame:
     """Add the point reached from (lat1, lon1) at an azimuth in radians after a distance in metres."""
     f = f"{FLAT!r}D"

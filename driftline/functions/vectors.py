@@ -10,7 +10,7 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def distance(a: str, b: str) -> Column:
+def distance(a: str | Column, b: str | Column) -> Column:
     """The Euclidean distance."""
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geodesic import with_inverse
+from driftline.functions.hashing import portable
 from driftline.schema import CAP, CLS, IGNORED, SEP, UNKNOWN_NAV
 
 KEYS = ("mmsi", "voyage")
+#: Letters of a file name that make a range; a vessel's number has nine, so a range has at most a thousand vessels.
+BEGINNING = 6
+#: Batches whose longest sequence is sent to every executor.
+MOST_BATCHES = 1_000_000
 
 
-def speed_and_status(rows: DataFrame) -> DataFrame:
-    """One row for each trajectory: speeds, status, times, positions and course spread."""
+def _measures() -> list[Column]:
     start = F.timestamp_seconds(F.min("ts_s"))
-    return rows.groupBy(*KEYS).agg(
+    return [
         F.avg("sog").alias("speed_avg"),
         F.max("sog").alias("speed_max"),
         F.stddev_pop("sog").alias("speed_std"),
@@ -31,7 +35,12 @@ def speed_and_status(rows: DataFrame) -> DataFrame:
         F.median("lat").alias("lat_median"),
         F.median("lon").alias("lon_median"),
         F.stddev_pop("cog").alias("cog_std"),
-    )
+    ]
+
+
+def speed_and_status(rows: DataFrame) -> DataFrame:
+    """One row for each trajectory: speeds, status, times, positions and course spread."""
+    return rows.groupBy(*KEYS).agg(*_measures())
 
 
 def displacement(rows: DataFrame) -> DataFrame:
@@ -41,18 +50,33 @@ def displacement(rows: DataFrame) -> DataFrame:
     return with_inverse(ends, "lat1", "lon1", "lat2", "lon2", "displacement").select(*KEYS, "displacement")
 
 
-def path_length(rows: DataFrame) -> DataFrame:
-    """Metres along the positions, and their ratio to the displacement (1 where that is 0)."""
+def legs(rows: DataFrame) -> DataFrame:
+    """``rows`` with the metres ``_leg`` to the follower; from the last position back to the first, and ``_last`` is true there."""
     w = Window.partitionBy(*KEYS).orderBy("ts_s", "seq")
-    legs = rows.select(*KEYS, "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
-    total = with_inverse(legs, "lat", "lon", "lat2", "lon2", "d").groupBy(*KEYS).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("length"))
-    both = total.join(displacement(rows), list(KEYS))
-    return both.withColumn("length_over_displacement", F.when(F.col("displacement") > 0, F.col("length") / F.nullif(F.col("displacement"), F.lit(0.0))).otherwise(1.0))
+    last = F.lead(F.lit(1)).over(w).isNull()
+    ahead = rows.withColumns({"_last": last, **{f"_{c}2": F.when(last, F.first(c).over(w)).otherwise(F.lead(c).over(w)) for c in ("lat", "lon")}})
+    return with_inverse(ahead, "lat", "lon", "_lat2", "_lon2", "_leg").drop("_lat2", "_lon2")
+
+
+def _lengths() -> list[Column]:
+    """Metres along the positions, and from the first to the last, from rows with legs."""
+    along = F.coalesce(F.sum(F.when(~F.col("_last"), F.col("_leg"))), F.lit(0.0))
+    return [along.alias("length"), F.max(F.when(F.col("_last"), F.col("_leg"))).alias("displacement")]
+
+
+def _with_ratio(lengths: DataFrame) -> DataFrame:
+    return lengths.withColumn("length_over_displacement", F.when(F.col("displacement") > 0, F.col("length") / F.nullif(F.col("displacement"), F.lit(0.0))).otherwise(1.0))
+
+
+def path_length(rows: DataFrame) -> DataFrame:
+    """Metres along the positions and from the first to the last, and their ratio (1 where the latter is 0)."""
+    return _with_ratio(legs(rows.select(*KEYS, "ts_s", "seq", "lat", "lon")).groupBy(*KEYS).agg(*_lengths()))
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """All features; the parts are grouped by the same keys, so the joins reuse the partitioning."""
-    return speed_and_status(rows).join(path_length(rows), list(KEYS))
+    """All features, in one pass over one partitioning."""
+    used = rows.select(*KEYS, "ts_s", "seq", "lat", "lon", "sog", "cog", "nav_status")
+    return _with_ratio(legs(used).groupBy(*KEYS).agg(*_measures(), *_lengths()))
 
 
 def capped(rows: DataFrame) -> DataFrame:
@@ -62,15 +86,21 @@ def capped(rows: DataFrame) -> DataFrame:
 def sample_index(trajectories: DataFrame) -> DataFrame:
     """The place of each (mmsi, k) in the string order of its file name; k = 10 comes before k = 2.
 
-    The order is global, so places are counted within ranges and shifted by the ranges before.
+    The order is global: places are counted among names with the same beginning, and shifted by
+    the names with beginnings before.
     """
-    named = trajectories.select("mmsi", "k", F.concat_ws("_", "mmsi", "k", F.lit("processed.pkl")).alias("file_name"))
-    ranged = named.repartitionByRange("file_name").sortWithinPartitions("file_name").withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("file_name"))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row for each range
-    shift = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.withColumn("_at", within).join(F.broadcast(shift), "_part").select("mmsi", "k", "file_name", (F.col("_at") + F.col("_before") - 1).cast("long").alias("sample_idx"))
+    named = trajectories.select("mmsi", "k", F.concat_ws("_", "mmsi", "k", F.lit("processed.pkl")).alias("file_name")).withColumn("_begin", F.substring("file_name", 1, BEGINNING))
+    within = F.row_number().over(Window.partitionBy("_begin").orderBy("file_name"))
+    placed = _shifted(named.withColumn("_at", within), named, "_begin", F.count(F.lit(1)))
+    return placed.select("mmsi", "k", "file_name", (F.col("_at") + F.col("_before") - 1).cast("long").alias("sample_idx"))
+
+
+def _shifted(rows: DataFrame, counted: DataFrame, group: str, size: Column) -> DataFrame:
+    """``rows`` with ``_before``: the sizes of all groups before its own."""
+    sizes = counted.groupBy(group).agg(size.alias("_n"))
+    # one row for each beginning or hash prefix: at most some hundred thousand, two columns
+    before = sizes.select(group, F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), group)
 
 
 def sample_items(steps: DataFrame) -> DataFrame:
@@ -88,7 +118,7 @@ def sample_lookup(items: DataFrame, mmsi: int, time_start: int) -> DataFrame:
     """The sample of a vessel with a start time; raises ``KeyError`` where there is none."""
     found = items.filter((F.col("mmsi") == mmsi) & (F.col("time_start") == time_start)).limit(1)
     if found.isEmpty():
-        raise KeyError(f"No samples found for {mmsi} with start time {time_start}")
+        raise KeyError(f"vessel {mmsi} has no trajectory that starts at {time_start}")
     return found
 
 
@@ -103,8 +133,9 @@ def token_sequences(items: DataFrame, max_len: int, cls_sep: bool = True) -> Dat
 
 def padded(items: DataFrame, batch: str) -> DataFrame:
     """``input_features`` padded with rows of 0 to the batch's longest, and the attention mask."""
-    longest = F.max(F.size("tokens")).over(Window.partitionBy(batch))
-    wide = items.withColumn("_long", longest)
+    longest = items.groupBy(batch).agg(F.max(F.size("tokens")).alias("_long"))
+    # two numbers for each batch; sequences aren't moved where these fit every executor
+    wide = items.join(F.broadcast(longest) if longest.count() <= MOST_BATCHES else longest, batch)
     missing = F.col("_long") - F.size("tokens")
     zero = F.array_repeat(F.lit(0.0).cast("float"), 4)
     return wide.withColumns(
@@ -133,16 +164,14 @@ def split_vessels(trajectories: DataFrame, val: float = 0.1, test: float = 0.1,
     """train, val or test for every vessel as a whole: vessels in hash order fill train, then val, then test.
 
     A part takes vessels until its size is reached, and may overshoot; the next part counts anew.
+    Running sums are made among vessels whose hashes begin alike, and shifted by those before.
     """
-    vessels = trajectories.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("mmsi", "k", F.lit(seed))).alias("o"))
-    total = trajectories.count()
-    n_test, n_val = int(total * test), int(total * val)
-    n_train = total - n_test - n_val
-    before = Window.orderBy("o", "mmsi").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each vessel, two numbers each
-    run = vessels.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    in_train = F.col("before") < n_train
-    first_val = run.filter(~in_train).agg(F.min("before").alias("x"))
-    run = run.crossJoin(F.broadcast(first_val))
-    part = F.when(in_train, "train").when(F.col("before") - F.col("x") < n_val, "val").otherwise("test")
-    return run.select("mmsi", "n", part.alias("split"))
+    vessels = trajectories.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min(portable("mmsi", "k", seed=seed)).alias("o")).withColumn("_begin", F.substring("o", 1, 4))
+    facts = vessels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n_test, n_val = int(facts["n"] * test), int(facts["n"] * val)
+    n_train = facts["n"] - n_test - n_val
+    within = F.sum("n").over(Window.partitionBy("_begin").orderBy("o", "mmsi")) - F.col("n")
+    run = _shifted(vessels.withColumn("_within", within), vessels, "_begin", F.sum("n")).select("mmsi", "n", (F.col("_within") + F.col("_before")).alias("before"))
+    first = run.filter(F.col("before") >= n_train).agg(F.min("before")).first()[0]
+    in_val = F.lit(False) if first is None else F.col("before") - first < n_val
+    return run.select("mmsi", "n", F.when(F.col("before") < n_train, "train").when(in_val, "val").otherwise("test").alias("split"))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.schema import COG_MAX, LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, SPEED_MAX
 
 
+def within() -> Column:
+    """Whether a report is in the bounds, all inclusive."""
+    return F.col("lat").between(LAT_MIN, LAT_MAX) & F.col("lon").between(LON_MIN, LON_MAX) & F.col("sog").between(0.0, SPEED_MAX) & F.col("cog").between(0.0, COG_MAX)
+
+
 def in_range(messages: DataFrame, own_day: bool = False) -> DataFrame:
     """Reports within the bounds, all inclusive; a null in a tested column, or no time, drops the row.
 
     With ``own_day``, also only those whose time lies in the day of their file, in UTC.
     """
-    kept = messages.filter(F.col("lat").between(LAT_MIN, LAT_MAX) & F.col("lon").between(LON_MIN, LON_MAX) & F.col("sog").between(0.0, SPEED_MAX) & F.col("cog").between(0.0, COG_MAX))
+    kept = messages.filter(within())
     if "ts_s" in kept.columns:
         kept = kept.filter("ts_s is not null")
     if own_day:
@@ -34,7 +39,7 @@ def vessel_type_combined(daily: DataFrame) -> DataFrame:
 
 def ingest_stats(messages: DataFrame) -> DataFrame:
     """Rows, rows in range and vessels by day; vessels with a defined type apart."""
-    ok = F.col("lat").between(LAT_MIN, LAT_MAX) & F.col("lon").between(LON_MIN, LON_MAX) & F.col("sog").between(0.0, SPEED_MAX) & F.col("cog").between(0.0, COG_MAX)
+    ok = within()
     return messages.groupBy("file_date").agg(
         F.count(F.lit(1)).alias("n_raw"),
         F.count(F.when(ok, 1)).alias("n_in_range"),

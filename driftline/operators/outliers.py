@@ -2,18 +2,26 @@
 
 Messages are nodes, infeasible pairs edges.  Again and again the message with the most edges
 left (the first on ties) is an outlier and its edges go, until none are left.  A removal changes
-the counts of its neighbours only, so stretches of a voyage that no edge connects are
-independent: each is one group, and messages without edges never leave the JVM.
+the counts of its neighbours only, so stretches of a voyage that no edge connects are independent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftline.functions.geodesic import inverse
+from driftline.schema import EDGE_LEAST_S, EDGE_REACH, KNOT, SPEED_MAX
+
+from .voyages import indexed
 
-from .voyages import indexed, speed_edges
+#: A sphere's radius in metres, and how far, as a share, a distance on it may be from the geodesic (0.6 % at most).
+SPHERE, MARGIN = 6371008.8, 0.01
 
 
 def greedy(edges: list[tuple[int, int]]) -> list[int]:
@@ -36,24 +44,89 @@ def greedy(edges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def flagged(voyages: DataFrame) -> DataFrame:
-    """(mmsi, voyage, idx) of the outliers."""
-    edges = speed_edges(voyages)
-    before = Window.partitionBy("mmsi", "voyage").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    apart = F.when(F.col("a") > F.coalesce(F.max("b").over(before), F.lit(-1)), 1).otherwise(0)
-    run = F.sum("_apart").over(Window.partitionBy("mmsi", "voyage").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0))
-    grouped = edges.withColumn("_apart", apart).withColumn("run", run)
+def _fast(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of messages of a voyage, at most ``EDGE_REACH`` apart, between which the speed is infeasible.
+
+    The distance on a sphere decides but near the limit, where the geodesic does.
+    """
+    starts, ends = [], []
+    lat, lon = np.radians(rows["lat"]), np.radians(rows["lon"])
+    for reach in range(1, EDGE_REACH + 1):
+        a, b = slice(None, -reach), slice(reach, None)
+        dt = rows["ts_s"][b] - rows["ts_s"][a]
+        half = np.sin((lat[b] - lat[a]) / 2) ** 2 + np.cos(lat[a]) * np.cos(lat[b]) * np.sin((lon[b] - lon[a]) / 2) ** 2
+        round_way = 2 * SPHERE * np.arcsin(np.sqrt(np.minimum(half, 1)))
+        may = (rows["mmsi"][a] == rows["mmsi"][b]) & (rows["voyage"][a] == rows["voyage"][b]) & (dt > EDGE_LEAST_S) & (round_way * (1 + MARGIN) > SPEED_MAX * KNOT * dt)
+        at = np.flatnonzero(may)
+        near = at[round_way[at] * (1 - MARGIN) <= SPEED_MAX * KNOT * dt[at]]
+        way = inverse(rows["lat"][near], rows["lon"][near], rows["lat"][near + reach], rows["lon"][near + reach])
+        at = np.setdiff1d(at, near[~(way / dt[near] > SPEED_MAX * KNOT)], assume_unique=True)
+        starts.append(at)
+        ends.append(at + reach)
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def _outliers(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The greedy choice in each stretch that edges (sorted by ``a``, then ``b``) connect."""
+    out: list[int] = []
+    if len(a):
+        apart = np.flatnonzero(a[1:] > np.maximum.accumulate(b)[:-1]) + 1
+        for part in np.split(np.arange(len(a)), apart):
+            out += greedy(list(zip(a[part].tolist(), b[part].tolist(), strict=True)))
+    return out
+
+
+def marked(voyages: DataFrame) -> DataFrame:
+    """The messages with ``idx``, their place in the voyage, and ``outlier``, in one pass over the partitioning by vessel.
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        bad = greedy(list(zip(part["a"], part["b"], strict=True)))
-        return pd.DataFrame({"mmsi": key[0], "voyage": key[1], "idx": bad}).astype({"mmsi": "int64", "voyage": "int64", "idx": "int32"})
+    A task reads its messages in order and keeps back only the stretch that messages to come may
+    still be connected with.
+    """
+    rows = indexed(voyages)
+    out = T.StructType([*rows.schema.fields, T.StructField("outlier", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        kept: pa.Table | None = None
+
+        def done(part: pa.Table, bad: list[int]) -> Iterator[pa.RecordBatch]:
+            flag = np.zeros(part.num_rows, bool)
+            flag[bad] = True
+            columns = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
+            yield from pa.table([*columns, pa.array(flag)], schema=arrow).to_batches()
+
+        def facts(table: pa.Table) -> dict[str, np.ndarray]:
+            return {c: table.column(c).to_numpy() for c in ("mmsi", "voyage", "ts_s", "lat", "lon")}
+
+        for batch in batches:
+            one = pa.Table.from_batches([batch])
+            kept = one if kept is None else pa.concat_tables([kept, one])
+            a, b = _fast(facts(kept))
+            sure = max(0, kept.num_rows - EDGE_REACH)
+            covered = np.zeros(kept.num_rows + 1, np.int64)
+            np.add.at(covered, a + 1, 1)
+            np.add.at(covered, b + 1, -1)
+            free = np.flatnonzero(np.cumsum(covered)[: sure + 1] == 0)
+            at = int(free[-1]) if len(free) else 0
+            if at:
+                yield from done(kept.slice(0, at), [i for i in _outliers(a[a < at], b[a < at])])
+                kept = kept.slice(at).combine_chunks()
+        if kept is not None and kept.num_rows:
+            yield from done(kept, _outliers(*_fast(facts(kept))))
 
-    return grouped.groupBy("mmsi", "voyage", "run").applyInPandas(solve, "mmsi long, voyage long, idx int")
+    return rows.sortWithinPartitions("mmsi", "voyage", "idx").mapInArrow(run, out)
+
+
+def flagged(voyages: DataFrame) -> DataFrame:
+    """(mmsi, voyage, idx) of the outliers."""
+    return marked(voyages).filter("outlier").select("mmsi", "voyage", "idx")
 
 
 def clean(voyages: DataFrame) -> DataFrame:
     """The messages that aren't outliers; a voyage of fewer than two messages, or of outliers only, goes."""
-    rows = indexed(voyages)
-    left = rows.join(flagged(voyages), ["mmsi", "voyage", "idx"], "left_anti")
-    counted = rows.groupBy("mmsi", "voyage").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    return left.join(counted, ["mmsi", "voyage"], "left_semi").drop("idx")
+    counted = voyages.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi", "voyage")))
+    return marked(counted.filter("_n >= 2").drop("_n")).filter("not outlier").drop("idx", "outlier")

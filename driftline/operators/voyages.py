@@ -74,18 +74,27 @@ def speed_edges(voyages: DataFrame) -> DataFrame:
     return measured.select("mmsi", "voyage", F.explode_outer(fast).alias("e")).filter("e is not null").select("mmsi", "voyage", "e.a", "e.b")
 
 
-def ticks(voyages: DataFrame) -> DataFrame:
-    """Each message with its follower, once for every five-minute tick from it on and before the follower (end exclusive).
+def brackets(voyages: DataFrame) -> DataFrame:
+    """Each message with its follower and the numbers ``k0`` to ``k1`` of the five-minute ticks from it on and before the follower.
 
-    The ticks count from the voyage's first message.  A message without a tick is left out
-    before the sequence is made; of messages at one time only the last can have any.
+    The ticks count from the voyage's first message.  A message without a tick is left out; of
+    messages at one time only the last can have any.
     """
     w = Window.partitionBy("mmsi", "voyage")
     follower = [F.lead(x).over(by_voyage()).alias(f"{x}2") for x in ("ts_s", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status")]
     rows = voyages.select("*", F.min("ts_s").over(w).alias("t0"), F.max("ts_s").over(w).alias("tn"), *follower).filter("ts_s2 is not null")
     k = lambda c: F.ceil((F.col(c) - F.col("t0")) / F.lit(float(TICK_S)))
-    rows = rows.withColumns({"k0": k("ts_s"), "k1": k("ts_s2") - 1}).filter("k1 >= k0")
-    return rows.withColumn("tick", F.explode(F.sequence("k0", "k1"))).withColumn("t", F.col("t0") + TICK_S * F.col("tick")).drop("k0", "k1")
+    return rows.withColumns({"k0": k("ts_s"), "k1": k("ts_s2") - 1}).filter("k1 >= k0")
+
+
+def at_ticks(bracketed: DataFrame) -> DataFrame:
+    """A row for each tick of each bracket."""
+    return bracketed.withColumn("tick", F.explode(F.sequence("k0", "k1"))).withColumn("t", F.col("t0") + TICK_S * F.col("tick")).drop("k0", "k1")
+
+
+def ticks(voyages: DataFrame) -> DataFrame:
+    """Each message with its follower, once for every tick between them (end exclusive)."""
+    return at_ticks(brackets(voyages))
 
 
 def linear(ticked: DataFrame) -> DataFrame:
@@ -108,8 +117,9 @@ def resample(voyages: DataFrame) -> DataFrame:
     """A row for each tick, positions on the geodesic between the two messages around it."""
     from driftline.functions.geodesic import with_direct
 
-    rows = linear(ticks(sampled(voyages)))
-    rows = with_inverse(rows, "lat", "lon", "lat2", "lon2", "_d", "_az").withColumn("_part", F.col("_d") * F.col("share"))
+    # the geodesic of a bracket is found once, before its ticks are made
+    rows = with_inverse(brackets(sampled(voyages)), "lat", "lon", "lat2", "lon2", "_d", "_az")
+    rows = linear(at_ticks(rows)).withColumn("_part", F.col("_d") * F.col("share"))
     rows = with_direct(rows, "lat", "lon", "_az", "_part", "_lat", "_lon")
     same = F.col("_d") == 0
     return rows.select("mmsi", "voyage", "tick", "t", F.when(same, F.col("lat")).otherwise(F.col("_lat")).alias("lat"), F.when(same, F.col("lon")).otherwise(F.col("_lon")).alias("lon"), "sog", "cog", "heading", "rot", "nav_status")
@@ -131,10 +141,20 @@ def chunk_stats(chunked: DataFrame) -> DataFrame:
 
 
 def final_steps(resampled: DataFrame) -> DataFrame:
-    """Normalised steps of the chunks that stay: (mmsi, k, step, ...)."""
-    chunked = chunks(resampled)
-    kept = chunk_stats(chunked).filter(F.col("slow_share") <= SLOW_SHARE).select("mmsi", "voyage", "chunk", "k")
-    return normalise(chunked.join(kept, ["mmsi", "voyage", "chunk"])).drop("voyage", "chunk")
+    """Normalised steps of the chunks that stay: (mmsi, k, step, ...).
+
+    The chunks are measured by windows under the partitioning by vessel, so ticks are made once
+    and meet nothing; ``chunk_stats`` has the same rules.
+    """
+    w = Window.partitionBy("mmsi", "voyage", "chunk")
+    measured = chunks(resampled).withColumns({"_n": F.count(F.lit(1)).over(w), "_slow": F.avg((F.col("sog") < SLOW_KNOTS).cast("int")).over(w)})
+    numbered = measured.filter(F.col("_n") >= LEAST_TICKS).withColumn("k", (F.dense_rank().over(Window.partitionBy("mmsi").orderBy("voyage", "chunk")) - 1).cast("int"))
+    return normalise(numbered.filter(F.col("_slow") <= SLOW_SHARE)).drop("voyage", "chunk", "_n", "_slow")
+
+
+def processed(cleaned: DataFrame) -> DataFrame:
+    """Final steps of cleaned messages, dealt by vessel once for all windows."""
+    return final_steps(resample(cleaned.repartition("mmsi")))
 
 
 def normalise(rows: DataFrame) -> DataFrame:
