@@ -1,35 +1,51 @@
-"""Command lines for the batch jobs: ``python -m driftline.jobs ingest|voyages|split|cluster ...``."""
+"""Command lines for the batch jobs: ``python -m driftline.jobs unzip|ingest|voyages|split|embeddings|cluster ...``."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import logging
 
-from pyspark.sql import Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from driftline.operators import clustering, features, ingest, outliers, voyages
+from driftline.operators import clustering, encoding, features, ingest, outliers, voyages
 from driftline.session import session
-from driftline.sources import ais
+from driftline.sources import ais, landing
 
 log = logging.getLogger("driftline")
 
 
+def run_unzip(a: argparse.Namespace) -> None:
+    """Daily zip archives to Parquet by day, and a table of those that can't be read and of days without one."""
+    spark = session("unzip")
+    first, last = (datetime.date.fromisoformat(d) if d else None for d in (a.first, a.last))
+    wrong = landing.problems(spark, a.source, first, last)
+    wrong.write.mode("overwrite").parquet(f"{a.target}/problems")
+    bad = spark.read.parquet(f"{a.target}/problems")
+    log.info("%s archives or days can't be used", bad.count())
+    _write_messages(ais.coded(landing.read_zipped(spark, a.source)), a.target)
+
+
 def run_ingest(a: argparse.Namespace) -> None:
-    """Daily CSV files to Parquet by day, and the vessels' types; counts are observed in the same pass."""
-    spark = session("ingest")
+    """Daily CSV files to Parquet by day, and the vessels' types by day and combined; counts are observed in the same pass."""
+    _write_messages(ais.coded(ais.read_csv(session("ingest"), a.source)), a.target)
+
+
+def _write_messages(rows: DataFrame, target: str) -> None:
+    spark = rows.sparkSession
     seen = Observation("ingest")
-    rows = ais.coded(ais.read_csv(spark, a.source)).observe(seen, F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("ts_s").isNull(), 1)).alias("without_time"))
-    kept = ingest.in_range(rows, own_day=True)
-    ais.write_daily(kept, f"{a.target}/messages")
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("ts_s").isNull(), 1)).alias("without_time"))
+    ais.write_daily(ingest.in_range(rows, own_day=True), f"{target}/messages")
     log.info("read %(raw)s rows, %(without_time)s without a time", seen.get)
-    ingest.vessel_type_combined(ingest.vessel_type_daily(spark.read.parquet(f"{a.target}/messages"))).write.mode("overwrite").parquet(f"{a.target}/vessel_types")
+    ais.write_daily(ingest.vessel_type_daily(spark.read.parquet(f"{target}/messages")), f"{target}/vessel_types_daily")
+    ingest.vessel_type_combined(spark.read.parquet(f"{target}/vessel_types_daily")).write.mode("overwrite").parquet(f"{target}/vessel_types")
 
 
 def run_voyages(a: argparse.Namespace) -> None:
     """Messages to normalised voyage steps."""
     rows = session("voyages").read.parquet(f"{a.source}/messages")
-    ais.write_voyages(voyages.final_steps(voyages.resample(outliers.clean(voyages.long_voyages(voyages.split(rows))))), a.target)
+    ais.write_voyages(voyages.processed(outliers.clean(voyages.long_voyages(voyages.split(rows)))), a.target)
 
 
 def run_split(a: argparse.Namespace) -> None:
@@ -39,6 +55,15 @@ def run_split(a: argparse.Namespace) -> None:
     ais.write_voyages(steps.join(parts, "mmsi"), a.target)
 
 
+def run_embeddings(a: argparse.Namespace) -> None:
+    """Voyage steps and an encoder's weights to vectors."""
+    spark = session("embeddings")
+    items = features.sample_items(spark.read.parquet(a.source).withColumnsRenamed({"k": "voyage", "t": "ts_s", "step": "seq"}))
+    tokens = features.token_sequences(items, encoding.Config().positions)
+    vectors = encoding.embeddings(tokens, encoding.Transformer.load(spark, a.weights), a.batch_size)
+    vectors.withColumn("vec_id", F.concat_ws("_", "mmsi", "time_start")).write.mode("overwrite").parquet(a.target)
+
+
 def run_cluster(a: argparse.Namespace) -> None:
     """Vectors to a saved model and a label for each vector; every option is passed on."""
     spark = session("cluster")
@@ -47,19 +72,25 @@ def run_cluster(a: argparse.Namespace) -> None:
     model.save(spark, f"{a.target}/model")
     labels = model.predict(vectors, a.clusters)
     labels.write.mode("overwrite").parquet(f"{a.target}/labels")
-    scored = vectors.drop("label").join(spark.read.parquet(f"{a.target}/labels"), "vec_id")
-    log.info("Davies-Bouldin index %s", clustering.davies_bouldin(scored).first()[0])
+    for row in model.evaluate(vectors).collect():
+        log.info("%s clusters: Davies-Bouldin index %s, noise %s %%", *row)
 
 
 def main(argv: list[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO)
     top = argparse.ArgumentParser(prog="driftline")
     jobs = top.add_subparsers(required=True)
-    for name, run in (("ingest", run_ingest), ("voyages", run_voyages), ("split", run_split), ("cluster", run_cluster)):
+    for name, run in (("unzip", run_unzip), ("ingest", run_ingest), ("voyages", run_voyages), ("split", run_split), ("embeddings", run_embeddings), ("cluster", run_cluster)):
         p = jobs.add_parser(name, help=run.__doc__)
         p.add_argument("source")
         p.add_argument("target")
         p.set_defaults(run=run)
+        if name == "unzip":
+            p.add_argument("--first", help="the first day that should be there")
+            p.add_argument("--last")
+        if name == "embeddings":
+            p.add_argument("--weights", required=True)
+            p.add_argument("--batch-size", type=int, default=512)
         if name == "split":
             p.add_argument("--val", type=float, default=0.1)
             p.add_argument("--test", type=float, default=0.1)

@@ -7,14 +7,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.hashing import first_by_hash
+
 #: Rows of vectors that are compared with each other in one task.
 BLOCK = 2048
 LINKAGES = ("ward", "single", "average")
+#: Numbers of a block of differences between vectors.
+PAIR_NUMBERS = 1 << 20
 
 
 def cluster_distance(a: np.ndarray, b: np.ndarray, linkage: str) -> float:
@@ -28,6 +34,15 @@ def cluster_distance(a: np.ndarray, b: np.ndarray, linkage: str) -> float:
     return float(d.min() if linkage == "single" else d.mean())
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all of ``y``, some rows at a time."""
+    out = np.empty((len(x), len(y)))
+    rows = max(1, PAIR_NUMBERS // max(1, y.size))
+    for at in range(0, len(x), rows):
+        out[at : at + rows] = ((x[at : at + rows, None] - y[None]) ** 2).sum(-1)
+    return out
+
+
 @dataclass
 class Agglomeration:
     """Greedy merging of the closest pair; the first pair by cluster order wins ties.
@@ -51,7 +66,7 @@ class Agglomeration:
         self.n, self.merges, self.noise = len(x), [], []
         if not len(x):
             return self
-        square = ((x[:, None] - x[None]) ** 2).sum(-1)
+        square = squares(x, x)
         d = square / 2 if self.linkage == "ward" else np.sqrt(square)
         np.fill_diagonal(d, np.inf)
         names, sizes, members = list(range(len(x))), [1] * len(x), [[i] for i in range(len(x))]
@@ -156,6 +171,21 @@ def representatives(points: np.ndarray, n: int, compression: float) -> np.ndarra
     return chosen + compression * (centre - chosen)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A batch's vectors as rows."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def nearest(x: np.ndarray, clusters: np.ndarray, points: np.ndarray, threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's cluster (the lowest on ties, -1 beyond the threshold) and its distance to the nearest point."""
+    if not len(points):
+        return np.full(len(x), -1), np.full(len(x), np.inf)
+    d = squares(x, points)
+    best = d.argmin(1)
+    near = np.sqrt(d[np.arange(len(x)), best])
+    return np.where(near > (np.inf if threshold is None else threshold), -1, clusters[best]), near
+
+
 def assign(vectors: DataFrame, reps: list[tuple[int, np.ndarray]], threshold: float | None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The key, the nearest representative's cluster (the lowest on ties, -1 beyond the threshold) and the distance.
 
@@ -170,12 +200,7 @@ def assign(vectors: DataFrame, reps: list[tuple[int, np.ndarray]], threshold: fl
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-                d = np.sqrt(((x[:, None] - points[None]) ** 2).sum(-1)) if len(points) else np.full((len(x), 1), np.inf)
-                best = d.argmin(1)
-                near = d[np.arange(len(x)), best]
-                label = clusters[best] if len(points) else np.full(len(x), -1)
-                label = np.where(near > (np.inf if threshold is None else threshold), -1, label)
+                label, near = nearest(matrix(batch.column(1)), clusters, points, threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.int32()), pa.array(near)], names=out.names)
 
     return vectors.select(key, vector).mapInArrow(run, out)
@@ -190,41 +215,80 @@ class Cure:
         self.pruning_fraction, self.pruning_min_size = pruning_fraction, pruning_min_size
         self.model: Agglomeration | None = None
         self.sample = np.zeros((0, 0))
-
-    @staticmethod
-    def sample_places(n: int, size: int, seed: int) -> list[int]:
-        return list(range(n)) if n <= size else np.random.RandomState(seed).choice(n, size, replace=False).tolist()
+        self.fitted: tuple[DataFrame, str, str] | None = None
 
     def sampled(self, vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-        """(place, key, vector) of the sample: at most ``sample_size`` rows, chosen by rank of the key."""
-        spark = vectors.sparkSession
-        places = self.sample_places(vectors.count(), self.sample_size, self.seed)
-        wanted = spark.createDataFrame([(int(p), i) for i, p in enumerate(places)], "place long, nth int")
-        ranged = vectors.select(key, vector).repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-        sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        shift, total = {}, 0
-        for part in sorted(sizes):
-            shift[part] = total
-            total += sizes[part]
-        schema = T.StructType([T.StructField("place", T.LongType()), vectors.schema[key], vectors.schema[vector]])
-
-        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                at = shift[batch.column(2)[0].as_py()] if at is None else at
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), batch.column(0), batch.column(1)], names=schema.names)
-                at += batch.num_rows
-
-        return ranged.mapInArrow(number, schema).join(F.broadcast(wanted), "place")
+        """(nth, key, vector) of the sample: the ``sample_size`` rows with the smallest hashes of key and seed, in that order."""
+        chosen = first_by_hash(vectors.select(key, vector), self.sample_size, key, seed=self.seed)
+        # at most sample_size rows
+        nth = F.row_number().over(Window.orderBy("_order", key, vector)) - 1
+        return chosen.select(nth.cast("int").alias("nth"), key, vector)
 
     def fit(self, vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> Cure:
-        rows = self.sampled(vectors, vector, key).select("nth", vector).collect()
+        rows = self.sampled(vectors, vector, key).collect()
         self.sample = np.array([r[vector] for r in sorted(rows, key=lambda r: r["nth"])], float)
         self.model = Agglomeration(self.linkage, self.pruning_fraction, self.pruning_min_size).fit(self.sample)
+        self.fitted = vectors, vector, key
         return self
 
+    def labels(self, n_clusters: int) -> DataFrame:
+        """The key and label of every row that the model was fitted on."""
+        if self.fitted is None:
+            raise RuntimeError("the model was not fitted in this session: there is no data to label")
+        vectors, vector, key = self.fitted
+        return self.predict(vectors, n_clusters, vector=vector, key=key).select(key, "label")
+
+    def evaluate(self, vectors: DataFrame, n_clusters: tuple[int, ...] = (2, 5, 10, 20), vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+        """(n_clusters, davies_bouldin, noise_pct): noise is left out of the index, which is null without a cluster.
+
+        Two passes over the vectors, all numbers of clusters at once: sums for the centroids, then
+        distances to them.  What reaches the driver is a row for each cluster.
+        """
+        spark = vectors.sparkSession
+        reps = {k: self.representatives(k) for k in n_clusters}
+        sent = spark.sparkContext.broadcast({k: (np.array([c for c, _ in r]), np.array([p for _, p in r])) for k, r in reps.items()})
+        threshold = self.threshold
+
+        def passed(centres: Broadcast | None) -> DataFrame:
+            out = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                totals: dict[tuple[int, int], np.ndarray] = {}
+                for batch in batches:
+                    x = matrix(batch.column(0)) if batch.num_rows else np.zeros((0, 0))
+                    for k, (clusters, points) in sent.value.items() if len(x) else ():
+                        label, _ = nearest(x, clusters, points, threshold)
+                        for c in np.unique(label).tolist():
+                            rows = x[label == c]
+                            if centres is not None:
+                                rows = np.sqrt(((rows - centres.value[k, c]) ** 2).sum(1, keepdims=True))
+                            totals[k, c] = totals.get((k, c), 0.0) + np.concatenate([[len(rows)], rows.sum(0)])
+                if totals:
+                    keys = sorted(totals)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k for k, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([totals[x].tolist() for x in keys], pa.list_(pa.float64()))],
+                        names=out.names,
+                    )
+
+            parts = vectors.select(vector).mapInArrow(run, out)
+            sums = parts.select("k", "label", F.posexplode("total").alias("pos", "v")).groupBy("k", "label", "pos").agg(F.sum("v").alias("v"))
+            # the first number of a cluster is its size
+            return sums.groupBy("k", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("v")).select("k", "label", F.col("v.v").alias("total"))
+
+        sums = passed(None).collect()
+        centres = {(r["k"], r["label"]): np.array(r["total"][1:]) / r["total"][0] for r in sums}
+        radii = {(r["k"], r["label"]): r["total"][1] / r["total"][0] for r in passed(spark.sparkContext.broadcast(centres)).collect()}
+        rows = []
+        for k in n_clusters:
+            sizes = {r["label"]: r["total"][0] for r in sums if r["k"] == k}
+            live = sorted(c for c in sizes if c != -1)
+            worst = []
+            for i in live:
+                gaps = [(radii[k, i] + radii[k, j], float(np.sqrt(((centres[k, i] - centres[k, j]) ** 2).sum()))) for j in live if j != i]
+                worst.append(max((r / d for r, d in gaps if d > 0), default=0.0))
+            rows.append((k, float(np.mean(worst)) if worst else None, 100.0 * sizes.get(-1, 0) / sum(sizes.values()) if sizes else None))
+        return spark.createDataFrame(rows, "n_clusters int, davies_bouldin double, noise_pct double")
+
     def representatives(self, n_clusters: int) -> list[tuple[int, np.ndarray]]:
         if self.model is None:
             raise RuntimeError("the model is not fitted")
@@ -282,12 +346,13 @@ def davies_bouldin(vectors: DataFrame, vector: str = "embedding", include_noise:
     from driftline.functions.vectors import distance
 
     rows = vectors if include_noise else vectors.filter("label <> -1")
-    facts = centroids(rows, vector).join(radii(rows, vector), "label")
-    x = facts.select(F.col("label").alias("i"), F.col("centroid").alias("ci"), F.col("radius").alias("ri"))
-    y = facts.select(F.col("label").alias("j"), F.col("centroid").alias("cj"), F.col("radius").alias("rj"))
-    # a row for each cluster on both sides
-    worst = x.join(F.broadcast(y), F.col("i") != F.col("j"), "left").groupBy("i").agg(F.max(F.try_divide(F.col("ri") + F.col("rj"), distance("ci", "cj"))).alias("w"))
-    return worst.agg(F.coalesce(F.avg(F.coalesce("w", F.lit(0.0))), F.lit(0.0)).alias("davies_bouldin"))
+    facts = with_centroid_distance(rows, vector).groupBy("label").agg(F.avg("dist").alias("r"), F.any_value("centroid").alias("c"))
+    # a row for each cluster, all pairs of which are compared within one value
+    all_of = facts.agg(F.collect_list(F.struct("label", "r", "c")).alias("f"))
+    gap = lambda x, y: distance(x["c"], y["c"])
+    ratio = lambda x, y: F.try_divide(x["r"] + y["r"], gap(x, y))
+    worst = F.transform("f", lambda x: F.coalesce(F.array_max(F.transform(F.filter("f", lambda y: y["label"] != x["label"]), lambda y: ratio(x, y))), F.lit(0.0)))
+    return all_of.select(F.coalesce(F.try_divide(F.aggregate(worst, F.lit(0.0), lambda a, x: a + x), F.size("f")), F.lit(0.0)).alias("davies_bouldin"))
 
 
 def ward(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -314,9 +379,7 @@ def pair_linkages(vectors: DataFrame, vector: str = "embedding", key: str = "vec
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = left.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "label", "v")
 
-    def measure(key_: tuple, part) -> object:  # noqa: ANN001
-        import pandas as pd
-
+    def measure(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = np.array(part["v"].tolist(), float)
         labels = part["label"].to_numpy()
         a, b = part["first"].to_numpy(), part["second"].to_numpy()
@@ -324,7 +387,7 @@ def pair_linkages(vectors: DataFrame, vector: str = "embedding", key: str = "vec
         xa, xb, la, lb = x[a], x[b], labels[a], labels[b]
         sums: dict[tuple[int, int], list[float]] = {}
         for at in range(0, len(xa), 64):
-            d = np.sqrt(((xa[at : at + 64, None] - xb[None]) ** 2).sum(-1))
+            d = np.sqrt(squares(xa[at : at + 64], xb))
             for i in np.unique(la[at : at + 64]):
                 rows = d[la[at : at + 64] == i]
                 for j in np.unique(lb):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftline.functions.codes import vessel_class
 from driftline.schema import DEFAULT_TYPE, VESSEL_CLASSES
 
+#: Features whose importance over several clusterings is compared.
+COMPARED = ("speed_avg", "speed_std", "speed_max", "duration", "displacement", "length_over_displacement", "cog_std", "lat_mean", "lon_mean")
 PROFILE = ("speed_avg", "speed_std", "speed_max", "duration", "lat_mean", "lon_mean", "cog_std")
 FLOOR = 1e-6
 TINY = 1e-9
@@ -32,10 +34,27 @@ def profile(rows: DataFrame, names: tuple[str, ...] = PROFILE) -> DataFrame:
 
 
 def importance(rows: DataFrame, names: tuple[str, ...] = PROFILE) -> DataFrame:
-    """How far the clusters' mean scores are spread, by feature."""
+    """(feature, importance): how far the clusters' mean scores are spread, the widest first."""
     wide = profile(rows, names).agg(*[F.stddev_samp(n).alias(n) for n in names])
     stacked = ", ".join(f"'{n}', {n}" for n in names)
-    return wide.selectExpr(f"stack({len(names)}, {stacked}) as (feature, importance)")
+    return wide.selectExpr(f"stack({len(names)}, {stacked}) as (feature, importance)").orderBy(F.desc_nulls_last("importance"), "feature")
+
+
+def greatest_importance(rows: DataFrame, clusterings: tuple[str, ...], names: tuple[str, ...] = PROFILE) -> DataFrame:
+    """(rank, feature, importance): each feature's largest importance over several label columns, the largest first.
+
+    The scores are those of all rows, whatever their labels; one pass serves all clusterings.
+    """
+    scored = standard_scores(rows, names)
+    labels = F.array(*[F.struct(F.lit(i).alias("clustering"), F.col(c).cast("int").alias("label")) for i, c in enumerate(clusterings)])
+    each = scored.select(*names, F.explode(labels).alias("_by")).filter("_by.label <> -1")
+    means = each.groupBy("_by").agg(*[F.avg(n).alias(n) for n in names])
+    wide = means.groupBy("_by.clustering").agg(*[F.stddev_samp(n).alias(n) for n in names])
+    stacked = ", ".join(f"'{n}', {n}" for n in names)
+    best = wide.selectExpr(f"stack({len(names)}, {stacked}) as (feature, importance)").groupBy("feature").agg(F.max("importance").alias("importance"))
+    # a row for each feature
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("importance"), "feature"))
+    return best.select(rank.alias("rank"), "feature", "importance").orderBy("rank")
 
 
 def shares(rows: DataFrame) -> DataFrame:
