@@ -6,21 +6,25 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.geodesic import with_direct, with_inverse
+from driftline.functions.hashing import first_by_hash
 from driftline.functions.vectors import norm, normalised
 from driftline.operators import clustering as C
+from driftline.operators import counters as N
+from driftline.operators import encoding as X
 from driftline.operators import evaluation as E
 from driftline.operators import features as P
+from driftline.operators import frames as G
 from driftline.operators import ingest as I
 from driftline.operators import outliers as O
 from driftline.operators import voyages as V
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
 from driftline.sources import ais
 
-from .oracles import on
+from .oracles import GREEDY, LABELS, MERGES, direct, inverse, on, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,12 +185,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return V.speed_edges(long_voyages(s, d))
 
 
-@query("koyak")
+@query("koyak", "select mmsi, voyage, idx from bad", GREEDY)
 def _(s: SparkSession, d: str) -> DataFrame:
     return O.flagged(long_voyages(s, d))
 
 
-@query("outlier_clean")
+@query("outlier_clean", "select mmsi, voyage, ts_s, seq, lat, lon, sog, cog from cleaned", GREEDY)
 def _(s: SparkSession, d: str) -> DataFrame:
     return O.clean(long_voyages(s, d)).select("mmsi", "voyage", "ts_s", "seq", "lat", "lon", "sog", "cog")
 
@@ -202,9 +206,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("mmsi", "voyage", "tick", "t", "sog", "cog", "heading", "rot", "nav_status"), 9)
 
 
-@query("resample_positions")
+_MOVING = ("sog", "cog", "heading", "rot")
+
+
+@query("resample_positions", f"select mmsi, voyage, tick, t, {_r('lat', 'lon', places=7)}, {_r(*_MOVING, places=9)}, nav_status from l_at", sampling("longv", "l_"))
 def _(s: SparkSession, d: str) -> DataFrame:
-    return V.resample(long_voyages(s, d))
+    return rounded(rounded(V.resample(long_voyages(s, d)), 7, "lat", "lon"), 9, *_MOVING)
 
 
 @query("resplit", "select mmsi, voyage, chunk, n_ticks, k from chstat")
@@ -229,9 +236,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(V.denormalise(V.normalise(messages(s, d))).select("seq", "lat", "lon", "sog", "cog"), 9)
 
 
-@query("processed_voyages")
+_PROCESSED = """select mmsi, t, tick, k, cast(tick % 288 as integer) as step, nav_status, round((lat - 54) / 5e0, 7) as lat, round((lon - 5) / 12e0, 7) as lon,
+ round(least(sog, 30) / 30e0, 9) as sog, round(cog / 360e0, 9) as cog, round(heading, 9) as heading, round(rot, 9) as rot
+ from c_at join c_chstat using (mmsi, voyage) where chunk = tick // 288 and slow_share <= 8e-1"""
+
+
+@query("processed_voyages", _PROCESSED, f"{GREEDY}, {sampling('cleaned', 'c_')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return V.final_steps(V.resample(O.clean(long_voyages(s, d))))
+    rows = V.processed(O.clean(long_voyages(s, d)))
+    return rounded(rounded(rows, 7, "lat", "lon"), 9, *_MOVING)
 
 
 @query(
@@ -248,29 +261,42 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("num_raw")).crossJoin(F.broadcast(counts))  # one row each
 
 
-@query("reduce_stages")
-def _(s: SparkSession, d: str) -> DataFrame:
-    """The counters behind the steps that SQL can't express, one row for each."""
-    long = long_voyages(s, d)
-    cleaned = O.clean(long)
-    fine = V.sampled(cleaned)
-    stepped = V.chunks(V.linear(V.ticks(fine)))
-    found = V.chunk_stats(stepped)
-    of = lambda df, *k: df.select(*k).distinct().agg(F.count(F.lit(1)).alias("value"))
-    rows = {
-        "num_voyages_after_duration_filter": of(long, "mmsi", "voyage"),
-        "num_messages_removed": O.flagged(long).agg(F.count(F.lit(1)).alias("value")),
-        "num_voyages_after_outlier_removal": of(cleaned, "mmsi", "voyage"),
-        "num_voyages_after_sampling": of(fine, "mmsi", "voyage"),
-        "num_resampled_rows": stepped.agg(F.count(F.lit(1)).alias("value")),
-        "num_final_voyages": found.filter("slow_share <= 0.8").agg(F.count(F.lit(1)).alias("value")),
-        "num_final_rows": found.filter("slow_share <= 0.8").agg(F.coalesce(F.sum("n_ticks"), F.lit(0)).alias("value")),
-    }
-    out = None
-    for name, df in rows.items():
-        part = df.select(F.lit(name).alias("counter"), "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+_COUNTERS = {
+    "num_segments": "select count(*) from (select distinct mmsi, file_date from msg)",
+    "num_messages": "select count(*) from msg",
+    "num_discarded_filtered": "select (select count(*) from ais) - (select count(*) from msg)",
+    "num_initial_voyages": "select count(*) from vstat",
+    "num_voyages_after_duration_filter": "select count(*) from longstat",
+    "num_messages_removed": "select count(*) from bad",
+    "num_voyages_after_outlier_removal": "select count(*) from (select distinct mmsi, voyage from cleaned)",
+    "num_outlier_removal_errors": "select (select count(*) from longstat) - (select count(*) from (select distinct mmsi, voyage from cleaned))",
+    "num_voyages_after_sampling": "select count(*) from c_fine",
+    "num_sampling_errors": "select (select count(*) from (select distinct mmsi, voyage from cleaned)) - (select count(*) from c_fine)",
+    "num_resampled_rows": "select count(*) from c_tick",
+    "num_final_voyages": "select count(*) from c_chstat where slow_share <= 8e-1",
+    "num_final_rows": "select coalesce(sum(n_ticks), 0) from c_chstat where slow_share <= 8e-1",
+}
+_LATER = tuple(_COUNTERS)[4:7] + ("num_voyages_after_sampling", "num_resampled_rows", "num_final_voyages", "num_final_rows")
+
+
+def _counted(names: tuple[str, ...]) -> str:
+    return " union all ".join(f"select '{n}' as counter, cast(({_COUNTERS[n]}) as bigint) as value" for n in names)
+
+
+def _stages(s: SparkSession, d: str) -> DataFrame:
+    return N.stacked(N.of_reports(ais.from_events(s, d))).unionByName(N.stacked(N.of_voyages(long_voyages(s, d))))
+
+
+@query("reduce_stages", _counted(_LATER), f"{GREEDY}, {sampling('cleaned', 'c_')}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The counters of the steps behind the split into voyages, one row for each."""
+    return _stages(s, d).filter(F.col("counter").isin(*_LATER))
+
+
+@query("stage_counters", _counted(tuple(_COUNTERS)), f"{GREEDY}, {sampling('cleaned', 'c_')}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All counters, summed over vessels; two passes over the reports."""
+    return _stages(s, d)
 
 
 # Geodesics
@@ -281,12 +307,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return P.displacement(long_voyages(s, d)).select("mmsi", "voyage", F.round("displacement", 3).alias("distance"))
 
 
-@query("geodesic_direct", "select seq, round(1234.5e0, 3) as distance from msg")
+@query("geodesic_direct", f"select seq, {_r('to_lat', 'to_lon', places=8)}, round(d, 3) as distance from back", "goal as (select *, radians(cog) as azimuth, 1234.5e0 + seq % 1000 as gone from msg), " + direct("goal", "there", "lat", "lon", "azimuth", "gone") + ", " + inverse("there", "back", "lat", "lon", "to_lat", "to_lon"))
 def _(s: SparkSession, d: str) -> DataFrame:
-    """The distance to a point reached by the direct formula is the distance gone."""
-    rows = messages(s, d).select("seq", "lat", "lon", F.radians(F.col("cog")).alias("az"), F.lit(1234.5).alias("gone"))
-    there = with_direct(rows, "lat", "lon", "az", "gone", "lat2", "lon2")
-    return with_inverse(there, "lat", "lon", "lat2", "lon2", "distance").select("seq", F.round("distance", 3).alias("distance"))
+    """Points reached by the direct formula, and the distance back to the start."""
+    rows = messages(s, d).select("seq", "lat", "lon", F.radians(F.col("cog")).alias("az"), (F.lit(1234.5) + F.col("seq") % 1000).alias("gone"))
+    there = with_direct(rows, "lat", "lon", "az", "gone", "to_lat", "to_lon")
+    back = with_inverse(there, "lat", "lon", "to_lat", "to_lon", "distance")
+    return rounded(rounded(back.select("seq", "to_lat", "to_lon", "distance"), 8, "to_lat", "to_lon"), 3, "distance")
 
 
 # Features and the dataset view
@@ -315,86 +342,99 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return P.sample_index(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
 
 
-_ITEMS = """select cast(mmsi as integer) as mmsi, voyage, cast(count(*) as integer) as seqlen, cast(arg_min(ts_s, (ts_s, seq)) as integer) as time_start,
- round(sum(cast(cast(least((lat - 54) / 5e0, 0.9999e0) as float) as double)), 4) as lat_sum from longv group by mmsi, voyage"""
+#: A feature in millionths, and a row of four as text.
+_MILLIONTHS = "cast(floor(cast(cast(least({x}, 0.9999e0) as float) as double) * 1e6 + 5e-1) as bigint)"
+_ROW = " || ',' || ".join(_MILLIONTHS.format(x=x) for x in ("(lat - 54) / 5e0", "(lon - 5) / 12e0", "least(sog, 30) / 30e0", "cog / 360e0"))
+_ITEMS = f"""items as (select cast(mmsi as integer) as mmsi, voyage, cast(count(*) as integer) as seqlen, cast(arg_min(ts_s, (ts_s, seq)) as integer) as time_start,
+  list({_ROW} order by ts_s, seq) as body from longv group by mmsi, voyage),
+toks as (select *, list_concat(list_concat(['-1000000,-1000000,-1000000,-1000000'], body[1:{MAX_LEN - 2}]), ['-2000000,-2000000,-2000000,-2000000']) as tokens from items)"""
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
     return P.sample_items(V.normalise(long_voyages(s, d)))
 
 
-@query("sample_items", _ITEMS)
+def _digest(rows: str) -> Column:
+    """The MD5 of an array of rows, in millionths."""
+    number = lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("bigint").cast("string")
+    return F.md5(F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, number), ",")), ";").cast("binary"))
+
+
+@query("sample_items", "select mmsi, voyage, seqlen, time_start, md5(array_to_string(body, ';')) as features from items", _ITEMS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x[0].cast("double"))
-    return _items(s, d).select("mmsi", "voyage", "seqlen", "time_start", F.round(total, 4).alias("lat_sum"))
+    return _items(s, d).select("mmsi", "voyage", "seqlen", "time_start", _digest("features").alias("features"))
 
 
-@query("sample_lookup", "select mmsi, voyage, seqlen, time_start from (" + _ITEMS + ") order by mmsi, voyage limit 1")
+@query("sample_lookup", "select mmsi, voyage, seqlen, time_start from items order by mmsi, voyage limit 1", _ITEMS)
 def _(s: SparkSession, d: str) -> DataFrame:
     items = _items(s, d)
     first = items.select("mmsi", "voyage", "time_start").orderBy("mmsi", "voyage").first()
     return P.sample_lookup(items, first["mmsi"], first["time_start"]).select("mmsi", "voyage", "seqlen", "time_start")
 
 
-def _token_ends(rows: DataFrame) -> DataFrame:
-    return rows.select("mmsi", "voyage", F.size("tokens").alias("n_tokens"), F.get(F.get("tokens", F.lit(0)), F.lit(0)).cast("double").alias("first_value"), F.element_at("tokens", -1)[0].cast("double").alias("last_value"))
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    return P.token_sequences(_items(s, d), MAX_LEN)
 
 
-def _attended(rows: DataFrame) -> DataFrame:
-    rows = P.padded(rows.withColumn("batch", F.col("voyage") % 3), "batch")
-    return rows.select("mmsi", "voyage", F.size("input_features").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"))
-
-
-def _n_masked(rows: DataFrame) -> DataFrame:
-    rows = P.masked_tokens(rows.withColumn("mmsi", F.col("mmsi").cast("long")))
-    return rows.select(F.col("mmsi").cast("int").alias("mmsi"), "voyage", F.size(F.filter("labels", lambda x: x[0] != -100.0)).alias("n_masked"))
+@query("token_seq", "select mmsi, voyage, cast(len(tokens) as integer) as n_tokens, md5(array_to_string(tokens, ';')) as tokens from toks", _ITEMS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _tokens(s, d).select("mmsi", "voyage", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("tokens"))
 
 
-@query("token_seq", "select mmsi, voyage, cast(least(seqlen, 30) + 2 as integer) as n_tokens, -1e0 as first_value, -2e0 as last_value from (" + _ITEMS + ")")
+@query(
+    "pad_mask",
+    """select mmsi, voyage, cast(longest as integer) as padded, md5(array_to_string(tokens, ';') || repeat(';0,0,0,0', longest - len(tokens))) as input_features, repeat('1', len(tokens)) || repeat('0', longest - len(tokens)) as attention_mask
+    from (select *, max(len(tokens)) over (partition by voyage % 3) as longest from toks)""",
+    _ITEMS,
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _token_ends(P.token_sequences(_items(s, d), 32))
+    rows = P.padded(_tokens(s, d).withColumn("batch", F.col("voyage") % 3), "batch")
+    return rows.select("mmsi", "voyage", F.size("input_features").alias("padded"), _digest("input_features").alias("input_features"), F.array_join("attention_mask", "").alias("attention_mask"))
 
 
-@query("pad_mask", "select mmsi, voyage, cast(max(least(seqlen, 30) + 2) over (partition by voyage % 3) as integer) as padded, cast(least(seqlen, 30) + 2 as integer) as attended from (" + _ITEMS + ")")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _attended(P.token_sequences(_items(s, d), 32))
+_CHOSEN = "i > 0 and i < len(tokens) - 1 and (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15"
 
 
 @query(
     "mtm_mask",
-    "select mmsi, voyage, cast(len(list_filter(range(1, least(seqlen, 30) + 1), lambda i: (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15)) as integer) as n_masked from (" + _ITEMS + ")",
+    f"""select mmsi, voyage, md5(array_to_string(list_transform(range(0, len(tokens)), lambda i: case when {_CHOSEN} then '0,0,0,0' else tokens[i + 1] end), ';')) as masked,
+    md5(array_to_string(list_transform(range(0, len(tokens)), lambda i: case when {_CHOSEN} then tokens[i + 1] else '-100000000,-100000000,-100000000,-100000000' end), ';')) as labels from toks""",
+    _ITEMS,
 )
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _n_masked(P.token_sequences(_items(s, d), 32))
+    rows = P.masked_tokens(_tokens(s, d).withColumn("mmsi", F.col("mmsi").cast("long")))
+    return rows.select(F.col("mmsi").cast("int").alias("mmsi"), "voyage", _digest("masked").alias("masked"), _digest("labels").alias("labels"))
 
 
-@query("token_seq_whole", "select mmsi, voyage, cast(least(seqlen, 510) + 2 as integer) as n_tokens, -1e0 as first_value, -2e0 as last_value from (" + _ITEMS + ")")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _token_ends(P.token_sequences(_items(s, d), MAX_LEN))
+_EMBEDDED = f"""emb as (select mmsi, time_start, list_transform(range(1, 5), lambda i: list_sum(list_transform(tokens, lambda t: cast(string_split(t, ',')[i] as double) / 1e6)) / len(tokens)) as v from toks)"""
 
 
-@query("pad_mask_whole", "select mmsi, voyage, cast(max(least(seqlen, 510) + 2) over (partition by voyage % 3) as integer) as padded, cast(least(seqlen, 510) + 2 as integer) as attended from (" + _ITEMS + ")")
+@query("encoder_embeddings", "select mmsi, time_start, " + ", ".join(f"round(v[{i + 1}] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 3) as e{i}" for i in range(4)) + " from emb", f"{_ITEMS}, {_EMBEDDED}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _attended(P.token_sequences(_items(s, d), MAX_LEN))
+    """Batch inference through the encoder interface, with the plainest encoder."""
+    rows = X.embeddings(_tokens(s, d), X.mean_step)
+    return rounded(rows.select("mmsi", "time_start", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)]), 3)
 
 
-@query(
-    "mtm_mask_whole",
-    "select mmsi, voyage, cast(len(list_filter(range(1, least(seqlen, 510) + 1), lambda i: (mmsi::bigint * 7919 + voyage * 104729 + i * 31 + 42) % 100 < 15)) as integer) as n_masked from (" + _ITEMS + ")",
-)
+@query("encoder_transformer")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _n_masked(P.token_sequences(_items(s, d), MAX_LEN))
+    """Batch inference by a small untrained transformer: published weights would be read from a file."""
+    return X.embeddings(_tokens(s, d), X.Transformer.random(X.Config(hidden_size=32, layers=2, heads=4, intermediate_size=64)))
 
 
-@query("subset")
+@query("subset", f"select {', '.join(MESSAGE)} from msg semi join (select mmsi from (select distinct mmsi from msg) order by md5(mmsi || ':42'), mmsi limit 50) using (mmsi)")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The reports of 50 vessels in hash order: a sampling operator."""
     rows = messages(s, d)
-    chosen = rows.select("mmsi").distinct().orderBy(F.xxhash64("mmsi", F.lit(42)), "mmsi").limit(50)
-    return rows.join(F.broadcast(chosen), "mmsi", "left_semi").select(*MESSAGE)
+    chosen = first_by_hash(rows.select("mmsi").distinct(), 50, "mmsi", seed=42).select("mmsi")
+    return rows.join(F.broadcast(chosen), "mmsi", "left_semi").select(*MESSAGE)  # at most 50 rows
 
 
-@query("split")
+_SPLIT = """run as (select mmsi, n, sum(n) over (order by o, mmsi) - n as before, total, cast(floor(total * 1e-1) as bigint) as part
+  from (select mmsi, count(*) as n, min(md5(mmsi || ':' || voyage || ':42')) as o from vstat group by mmsi), (select count(*) as total from vstat))"""
+
+
+@query("split", "select mmsi, n, case when before < total - 2 * part then 'train' when before - (select min(before) from run where before >= total - 2 * part) < part then 'val' else 'test' end as split from run", _SPLIT)
 def _(s: SparkSession, d: str) -> DataFrame:
     return P.split_vessels(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
 
@@ -443,11 +483,46 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(E.profile(labelled(s, d)))
 
 
-@query("feature_importance", "select feature, round(stddev_samp(z), 6) as importance from prof group by feature")
+@query("feature_importance", "select feature, round(stddev_samp(z), 6) as importance from prof group by feature order by importance desc, feature")
 def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(E.importance(labelled(s, d)))
 
 
+_LABC2 = """lab2 as (select labc.*, displacement, length_over_displacement, cast(mmsi % 3 as integer) as other from labc join pathl using (mmsi, voyage)),
+scored as (unpivot lab2 on speed_avg, speed_std, speed_max, duration, displacement, length_over_displacement, cog_std, lat_mean, lon_mean into name feature value v),
+facts as (select feature, avg(v) as m, stddev_samp(v) as s from scored group by feature),
+spread as (
+  select feature, stddev_samp(z) as x from (select label, feature, avg((v - m) / s) as z from scored join facts using (feature) where label <> -1 group by label, feature) group by feature
+  union all
+  select feature, stddev_samp(z) as x from (select other, feature, avg((v - m) / s) as z from scored join facts using (feature) group by other, feature) group by feature)"""
+
+
+@query("feature_importance_max", "select cast(row_number() over (order by max(x) desc, feature) as integer) as rank, feature, round(max(x), 6) as importance from spread group by feature", _LABC2)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Over two clusterings, sorted; the rank makes the order visible."""
+    label = F.when((F.col("mmsi") + F.col("voyage")) % 9 == 0, -1).otherwise((F.col("mmsi") % 5).cast("int"))
+    rows = P.features(long_voyages(s, d)).withColumns({"label": label, "other": (F.col("mmsi") % 3).cast("int")})
+    return rounded(E.greatest_importance(rows, ("label", "other"), E.COMPARED))
+
+
+@query(
+    "lollipop_frame",
+    "select label, cast(row_number() over (partition by label order by z, feature) as integer) as rank, feature, round(z, 6) as score, z >= 0 as positive from prof",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(G.lollipop(E.profile(labelled(s, d)), E.PROFILE))
+
+
+@query(
+    "trajectory_frame",
+    """select mmsi, voyage as k, cast(idx as integer) as place, round(lat, 7) as lat, round(lon, 7) as lon, cast(mmsi % 5 as integer) as label, idx = 0 as is_start,
+    row_number() over (partition by mmsi, voyage order by idx desc) = 1 as is_end, round(1 / cos(radians(avg(lat) over ())), 9) as aspect from idx""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    steps = V.normalise(V.indexed(long_voyages(s, d))).withColumnsRenamed({"voyage": "k", "idx": "step"}).withColumn("label", (F.col("mmsi") % 5).cast("int"))
+    return rounded(rounded(G.trajectories(steps), 7, "lat", "lon"), 9, "aspect")
+
+
 _SHARES = """sh as (
   select label, classes.vessel_class, avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) as share from labc, classes where label <> -1 group by all),
 ov as (select classes.vessel_class, avg(case when labc.vessel_class = classes.vessel_class then 1e0 else 0e0 end) as overall from labc, classes where label <> -1 group by all)"""
@@ -644,9 +719,9 @@ def _cure(s: SparkSession, d: str) -> C.Cure:
     return C.Cure(sample_size=150, linkage="ward", n_representatives=20, compression=0.6, pruning_fraction=0.2, pruning_min_size=1).fit(vectors(s, d))
 
 
-@query("cure_sample")
+@query("cure_sample", "select vec_id, nth from smp", MERGES)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return C.Cure(sample_size=150).sampled(vectors(s, d)).select("vec_id", "place", "nth")
+    return C.Cure(sample_size=150).sampled(vectors(s, d)).select("vec_id", "nth")
 
 
 @query("cure_predict")
@@ -662,13 +737,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(E.noise_grid(functools.reduce(DataFrame.unionByName, near), [0.2, 0.22, 0.24, 0.26, 0.28, 0.3]), 6, "noise_pct")
 
 
-@query("ahc_merges")
+@query("ahc_merges", "select cast(step as integer) as step, cast(c1 as integer) as c1, cast(c2 as integer) as c2, round(dist, 6) as dist, cast(size as integer) as size from merges", MERGES)
 def _(s: SparkSession, d: str) -> DataFrame:
-    model = _cure(s, d).model
-    return model.linkage_frame(s)
+    return rounded(_cure(s, d).model.linkage_frame(s))
 
 
-@query("ahc_labels")
+@query("ahc_labels", "select nth, cast(case when name is null then -1 else dense_rank() over (order by name nulls last) - 1 end as integer) as label from smp left join tops on p = nth", LABELS)
 def _(s: SparkSession, d: str) -> DataFrame:
     labels = _cure(s, d).model.labels(5)
     return s.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "nth int, label int")
@@ -680,3 +754,21 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(i, int(a), int(b), float(x), int(n)) for i, (a, b, x, n) in enumerate(rows)], "step int, c1 int, c2 int, dist double, size int")
 
 
+@query("cure_labels")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The labels of the rows that the model was fitted on."""
+    return _cure(s, d).labels(5)
+
+
+@query("cure_evaluate")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Davies-Bouldin index and noise for 2, 5, 10 and 20 clusters."""
+    model = _cure(s, d)
+    model.threshold = 1.2
+    return rounded(model.evaluate(vectors(s, d)))
+
+
+@query("scatter_frame")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Two principal components: linear, whereas the usual plot bends the space."""
+    return rounded(G.scatter(vectors(s, d)))

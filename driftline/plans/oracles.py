@@ -3,12 +3,6 @@
 from __future__ import annotations
 
 from driftline.functions.geodesic import FLAT, ITERATIONS, A, B
-from driftline.schema import NAV_STATUS, SHIP_TYPE
-from driftline.sources.ais import VIEW
-
-
-def _cases(codes: dict[str, int], column: str, default: int) -> str:
-    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in codes.items()) + f" else {default} end"
 
 
 def inverse(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -40,14 +34,35 @@ def inverse(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str)
     return ",\n".join(c)
 
 
-_VIEW = VIEW.replace("{events}", "events").replace("unix_seconds(cast(ts as timestamp))", "cast(floor(epoch(ts)) as bigint)")
-_VIEW = _VIEW.replace("date_add(date '1970-01-01', cast(floor((1704067200 + q) / 86400e0) as int))", "date '1970-01-01' + cast(floor((1704067200 + q) / 86400e0) as int)")
+_VIEW = """
+  select 219000000 + user_id as mmsi, 1704067200 + q as ts_s, event_id as seq,
+    55e0 + 2e0 * tri / 43200e0 + case when event_id % 97 = 0 then 5e-1 else 0e0 end as lat,
+    6e0 + (user_id % 10) + 5e-1 * tri / 43200e0 as lon,
+    case when user_id % 7 = 0 then floor(value * 100e0 / 60e0) / 100e0 else floor(value * 100e0 / 8e0) / 100e0 end as sog,
+    (event_id * 37 % 3600) / 10e0 as cog,
+    case when event_id % 11 = 0 then null else event_id * 13 % 360 end as heading,
+    case when event_id % 13 = 0 then null else (event_id * 7 % 41 - 20) / 1e0 end as rot,
+    case event_type when 'click' then 'Under way using engine' when 'view' then 'Under way sailing' when 'signup' then 'Moored'
+      when 'purchase' then 'Engaged in fishing' else 'no such status' end as nav_text,
+    case user_id % 8 when 0 then 'Cargo' when 1 then 'Tanker' when 2 then 'Fishing' when 3 then 'Sailing' when 4 then 'Pleasure'
+      when 5 then 'Passenger' when 6 then 'Tug' else (case when event_id % 3 = 0 then 'Cargo' else 'Undefined' end) end as ship_text,
+    date '1970-01-01' + cast(floor((1704067200 + q) / 86400e0) as int) as file_date
+  from (select *, case when p < 43200 then p else 86400 - p end as tri
+    from (select *, (q + user_id * 3571) % 86400 as p
+      from (select *, cast(floor((cast(floor(epoch(ts)) as bigint) - 1704067200) / 20e0) as bigint) as q from events)))
+"""
+
+# Fixed values, written out again so that the queries' own tables are compared with them.
+_NAV = """case nav_text when 'Under way using engine' then 0 when 'At anchor' then 1 when 'Not under command' then 2 when 'Restricted maneuverability' then 3
+  when 'Constrained by her draught' then 4 when 'Moored' then 5 when 'Aground' then 6 when 'Engaged in fishing' then 7 when 'Under way sailing' then 8 else 15 end"""
+_SHIP = """case ship_text when 'Cargo' then 70 when 'Tanker' then 80 when 'Fishing' then 30 when 'Passenger' then 60 when 'Tug' then 52 when 'Sailing' then 37
+  when 'Pleasure' then 36 else 0 end"""
 
 _OK = "lat between 54 and 59 and lon between 5 and 17 and sog between 0 and 30 and cog between 0 and 360"
 
 CTES = f"""
 raw as ({_VIEW}),
-ais as (select *, {_cases(NAV_STATUS, "nav_text", 15)} as nav_status, {_cases(SHIP_TYPE, "ship_text", 0)} as vessel_type from raw),
+ais as (select *, {_NAV} as nav_status, {_SHIP} as vessel_type from raw),
 msg as (select * from ais where {_OK}),
 gapped as (select *, ts_s - lag(ts_s) over (partition by mmsi order by ts_s, seq) as gap_s from msg),
 voy as (select *, cast(sum(case when gap_s > 7200 then 1 else 0 end) over (partition by mmsi order by ts_s, seq rows unbounded preceding) as bigint) as voyage from gapped),
@@ -115,5 +130,81 @@ cgap as (
 """
 
 
+def direct(source: str, name: str, lat: str, lon: str, azimuth: str, distance: str) -> str:
+    """Common table expressions ending in ``name``: ``source`` with the point (``to_lat``, ``to_lon``) reached by the direct formula."""
+    f, c = repr(FLAT), []
+    turn = "b_ * sin({s}) * (cos(2 * s1_ + {s}) + b_ / 4 * (cos({s}) * (-1 + 2 * pow(cos(2 * s1_ + {s}), 2)) - b_ / 6 * cos(2 * s1_ + {s}) * (-3 + 4 * pow(sin({s}), 2)) * (-3 + 4 * pow(cos(2 * s1_ + {s}), 2))))"
+    c.append(f"{name}_p as (select *, (1 - {f}) * tan(radians({lat})) as tu_, {azimuth} as az_ from {source})")
+    c.append(f"{name}_q as (select *, 1 / sqrt(1 + tu_ * tu_) as cu_, tu_ / sqrt(1 + tu_ * tu_) as su_, atan2(tu_, cos(az_)) as s1_, sin(az_) / sqrt(1 + tu_ * tu_) as sa_ from {name}_p)")
+    c.append(f"{name}_r as (select *, 1 - sa_ * sa_ as ca_, (1 - sa_ * sa_) * {(A * A - B * B) / (B * B)!r} as w_ from {name}_q)")
+    c.append(f"{name}_t as (select *, 1 + w_ / 16384 * (4096 + w_ * (-768 + w_ * (320 - 175 * w_))) as a_, w_ / 1024 * (256 + w_ * (-128 + w_ * (74 - 47 * w_))) as b_ from {name}_r)")
+    c.append(f"{name}_u0 as (select *, {distance} / ({B!r} * a_) as g_, {distance} / ({B!r} * a_) as sig_ from {name}_t)")
+    for i in range(ITERATIONS):
+        c.append(f"{name}_u{i + 1} as materialized (select * exclude (sig_), g_ + {turn.format(s='sig_')} as sig_ from {name}_u{i})")
+    c.append(f"{name}_v as (select *, {f} / 16 * ca_ * (4 + {f} * (4 - 3 * ca_)) as c_, cos(2 * s1_ + sig_) as m_ from {name}_u{ITERATIONS})")
+    c.append(
+        f"{name} as (select *, degrees(atan2(su_ * cos(sig_) + cu_ * sin(sig_) * cos(az_), (1 - {f}) * sqrt(sa_ * sa_ + pow(su_ * sin(sig_) - cu_ * cos(sig_) * cos(az_), 2)))) as to_lat, "
+        f"{lon} + degrees(atan2(sin(sig_) * sin(az_), cu_ * cos(sig_) - su_ * sin(sig_) * cos(az_)) - (1 - c_) * {f} * sa_ * (sig_ + c_ * sin(sig_) * (m_ + c_ * cos(sig_) * (-1 + 2 * m_ * m_)))) as to_lon from {name}_v)"
+    )
+    return ",\n".join(c)
+
+
+#: The greedy choice, one removal of every voyage at a time.
+_WORST = "select mmsi, voyage, arg_min(node, (-c, node)) as worst from (select mmsi, voyage, node, count(*) as c from (select mmsi, voyage, unnest([a, b]) as node from {src}) group by all) group by all"
+GREEDY = f"""turns(step, mmsi, voyage, a, b, worst) as (
+  select 0, mmsi, voyage, a, b, worst from edges join ({_WORST.format(src="edges")}) using (mmsi, voyage)
+  union all
+  select step + 1, mmsi, voyage, a, b, w.worst from (select step, mmsi, voyage, a, b from turns where a <> worst and b <> worst)
+  join ({_WORST.format(src="turns where a <> worst and b <> worst")}) w using (mmsi, voyage)),
+bad as (select distinct mmsi, voyage, cast(worst as integer) as idx from turns),
+cleaned as (select idx.* from idx anti join bad using (mmsi, voyage, idx))"""
+
+
+def sampling(source: str, p: str) -> str:
+    """Ticks of ``source`` with positions (``{p}at``), its chunks (``{p}chstat``) and what is lost (``{p}fine``); names begin with ``p``."""
+    between = lambda c: f"{c} + ({c}2 - {c}) * ((t - ts_s) / (ts2 - ts_s)) as {c}"
+    azimuth = "atan2(cos(u2_) * sin(lam_), cos(u1_) * sin(u2_) - sin(u1_) * cos(u2_) * cos(lam_))"
+    return f"""
+{p}brk as (select mmsi, voyage, ts_s, lat, lon, sog, cog, heading, rot, nav_status, lead(ts_s) over w as ts2, lead(lat) over w as lat2, lead(lon) over w as lon2, lead(sog) over w as sog2,
+    lead(cog) over w as cog2, lead(heading) over w as heading2, lead(rot) over w as rot2, lead(nav_status) over w as nav2 from {source} window w as (partition by mmsi, voyage order by ts_s, seq)),
+{p}fine as (select mmsi, voyage from {p}brk group by all having coalesce(max(ts2 - ts_s), 0) <= 7200),
+{p}grid as (select mmsi, voyage, t0, unnest(range(t0, tn, 300)) as t from (select mmsi, voyage, min(ts_s) as t0, max(ts_s) as tn from {source} group by all) semi join {p}fine using (mmsi, voyage)),
+{p}tick as (select g.mmsi, g.voyage, cast((t - g.t0) / 300 as bigint) as tick, t, lat, lon, lat2, lon2, (t - ts_s) / (ts2 - ts_s) as share, {", ".join(between(c) for c in ("sog", "cog", "heading", "rot"))},
+    case when t - ts_s <= ts2 - t then nav_status else nav2 end as nav_status from {p}grid g join {p}brk b on b.mmsi = g.mmsi and b.voyage = g.voyage and ts_s <= t and t < ts2),
+{inverse(f"{p}tick", f"{p}geo", "lat", "lon", "lat2", "lon2")},
+{p}way as (select mmsi, voyage, tick, t, lat, lon, sog, cog, heading, rot, nav_status, d, d * share as part, {azimuth} as azimuth from {p}geo),
+{direct(f"{p}way", f"{p}there", "lat", "lon", "azimuth", "part")},
+{p}at as (select mmsi, voyage, tick, t, case when d = 0 then lat else to_lat end as lat, case when d = 0 then lon else to_lon end as lon, sog, cog, heading, rot, nav_status from {p}there),
+{p}chstat as (select *, cast(row_number() over (partition by mmsi order by voyage, chunk) - 1 as integer) as k from (
+    select mmsi, voyage, cast(tick // 288 as integer) as chunk, count(*) as n_ticks, avg(case when sog < 2 then 1 else 0 end) as slow_share from {p}tick group by all) where n_ticks >= 48)"""
+
+
+#: A sample of 150 vectors by hash, merged by Ward's rule; at 30 clusters those of one point go.
+MERGES = """smp as (select cast(nth as integer) as nth, vec_id, embedding from (select *, row_number() over (order by md5(vec_id || ':42'), vec_id) - 1 as nth from embeddings) where nth < 150),
+sized as (select count(*) as n from smp),
+steps(step, x, y, d, nx, ny, bx, bz, bd, bn) as (
+  select 0, x, y, d, 1, 1, arg_min(x, (d, x, y)) over (), arg_min(y, (d, x, y)) over (), min(d) over (), 2 from (
+    select a.nth as x, b.nth as y, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::double - z[2]::double, 2))) / 2 as d from smp a join smp b on a.nth < b.nth)
+  union all
+  select step, x, y, d, nx, ny, arg_min(x, (d, x, y)) over (), arg_min(y, (d, x, y)) over (), min(d) over (), arg_min(nx + ny, (d, x, y)) over () from (
+    select step + 1 as step, x, y, d, nx, ny from steps where x not in (bx, bz) and y not in (bx, bz)
+    union all
+    select step + 1, o, n + step, ((m + na) * da + (m + nb) * db - m * bd) / (m + na + nb), m, na + nb from (
+      select step, any_value(bd) as bd, any_value(n) as n, case when x in (bx, bz) then y else x end as o, any_value(case when x in (bx, bz) then ny else nx end) as m,
+        max(case when x = bx or y = bx then d end) as da, max(case when x = bz or y = bz then d end) as db,
+        max(case when x = bx then nx when y = bx then ny end) as na, max(case when x = bz then nx when y = bz then ny end) as nb
+      from steps, sized where (x in (bx, bz)) <> (y in (bx, bz)) group by step, o))
+  where step <> (select n - n // 5 from sized) or (nx > 1 and ny > 1)),
+merges as (select distinct step, bx as c1, bz as c2, bd as dist, bn as size from steps)"""
+
+LABELS = MERGES + """,
+lost as (select nth from smp where nth not in (select c1 from merges) and nth not in (select c2 from merges)),
+up(p, name) as (
+  select nth, nth from smp
+  union all
+  select p, n + step from up join merges on name in (c1, c2), sized where step < n - (select count(*) from lost) - 5),
+tops as (select p, max(name) as name from up where p not in (select nth from lost) group by p)"""
+
+
 def on(sql: str, more: str = "") -> str:
-    return f"with {CTES}{', ' + more if more else ''}\n{sql}"
+    return f"with {'recursive ' if 'union all' in more else ''}{CTES}{', ' + more if more else ''}\n{sql}"

@@ -1,6 +1,9 @@
+import zipfile
+
 import numpy as np
 
 from driftline import jobs
+from driftline.operators import encoding
 
 
 def test_reports_become_voyages_and_splits(spark, tmp_path):
@@ -18,6 +21,19 @@ def test_reports_become_voyages_and_splits(spark, tmp_path):
     assert steps.count() == 4 * 79
     assert {r["split"] for r in steps.select("split").distinct().collect()} == {"train", "val", "test"}
     assert spark.read.parquet(str(tmp_path / "in" / "vessel_types")).filter("vessel_type = 70").count() == 4
+    assert spark.read.parquet(str(tmp_path / "in" / "vessel_types_daily")).count() == 4
+    np.savez(tmp_path / "weights.npz", **encoding.Transformer.random(encoding.Config()).weights)
+    jobs.main(["embeddings", str(tmp_path / "voyages"), str(tmp_path / "vectors"), "--weights", str(tmp_path / "weights.npz")])
+    assert {len(r["embedding"]) for r in spark.read.parquet(str(tmp_path / "vectors")).collect()} == {256}
+
+
+def test_archives_become_messages(spark, tmp_path):
+    (tmp_path / "zip").mkdir()
+    with zipfile.ZipFile(tmp_path / "zip" / "aisdk-2024-01-05.zip", "w") as z:
+        z.writestr("a.csv", "# Timestamp,MMSI,Latitude,Longitude,Navigational status,ROT,SOG,COG,Heading,Ship type\n05/01/2024 00:00:10,219000001,55.5,10.5,Moored,,5.0,90.0,91,Cargo\n")
+    jobs.main(["unzip", str(tmp_path / "zip"), str(tmp_path / "in"), "--first", "2024-01-05", "--last", "2024-01-06"])
+    assert spark.read.parquet(str(tmp_path / "in" / "messages")).count() == 1
+    assert [r["file_name"] for r in spark.read.parquet(str(tmp_path / "in" / "problems")).collect()] == ["aisdk-2024-01-06.zip"]
 
 
 def test_vectors_become_labels(spark, tmp_path):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -161,3 +162,121 @@ def test_sequences_are_cut_only_where_they_are_longer_than_the_room(spark):
     cut, whole = (features.token_sequences(items, n).first()["tokens"] for n in (8, 12))
     assert cut == [[-1.0] * 4, *steps[:6], [-2.0] * 4]
     assert whole == [[-1.0] * 4, *steps, [-2.0] * 4]
+
+
+def test_marks_equal_the_edges_and_the_greedy_choice(spark):
+    from driftline.functions.geodesic import inverse
+
+    r = random.Random(12)
+    rows = []
+    for mmsi in range(6):
+        t, lat = 0, 55.0
+        for i in range(r.choice([1, 3, 40, 700])):
+            t += r.choice([1, 2, 10, 60])
+            lat += 0.0005
+            jump = r.choice([0.0] * 8 + [0.02, 0.3]) if mmsi != 5 else 0.5 * (i % 2)
+            rows.append((mmsi, t, i, lat + jump, 10.0, 1.0, 1.0, None, 0.0, 0))
+    voyage = spark.createDataFrame(rows, COLUMNS).withColumn("voyage", voyages.F.lit(0).cast("long"))
+    edges = {}
+    for mmsi in range(6):
+        own = [x for x in rows if x[0] == mmsi]
+        for a in range(len(own)):
+            for b in range(a + 1, min(a + 5, len(own))):
+                dt = own[b][1] - own[a][1]
+                d = float(inverse(*(np.array([x]) for x in (own[a][3], own[a][4], own[b][3], own[b][4])))[0])
+                if dt > 2 and d / dt > 30 * 0.514444:
+                    edges.setdefault(mmsi, []).append((a, b))
+    assert {m: sorted((e["a"], e["b"]) for e in voyages.speed_edges(voyage).filter(f"mmsi = {m}").collect()) for m in edges} == edges
+    want = {(m, i) for m, e in edges.items() for i in outliers.greedy(e)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x["mmsi"], x["idx"]) for x in outliers.flagged(voyage).collect()}
+        kept = outliers.clean(voyage).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    single = sum(len([x for x in rows if x[0] == m]) == 1 for m in range(6))
+    assert kept == len(rows) - len(want) - single
+
+
+def test_a_sample_is_the_same_at_any_size_and_partitioning(spark):
+    import hashlib
+
+    frame = spark.range(20_000).selectExpr("id as vec_id", "array(cast(id as double), 1d) as embedding")
+    want = sorted(range(20_000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())[:1000]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for parts in (1, 16, 61):
+            got = clustering.Cure().sampled(frame.repartition(parts)).collect()
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["nth"])] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert clustering.Cure(sample_size=50).sampled(frame.limit(20)).count() == 20
+    assert clustering.Cure().sampled(frame.limit(0)).count() == 0
+
+
+def test_places_and_splits_of_many_vessels(spark):
+    frame = spark.range(30_000).selectExpr("id % 7000 + 219000000 as mmsi", "cast(id / 7000 as int) as k")
+    got = features.sample_index(frame).collect()
+    names = sorted(f"{i % 7000 + 219000000}_{i // 7000}_processed.pkl" for i in range(30_000))
+    assert {r["file_name"]: r["sample_idx"] for r in got} == {n: i for i, n in enumerate(names)}
+    sizes = {r["split"]: r["n"] for r in features.split_vessels(frame).groupBy("split").agg(voyages.F.sum("n").alias("n")).collect()}
+    assert sum(sizes.values()) == 30_000
+    assert all(abs(sizes[s] - 3000) < 10 for s in ("val", "test"))
+
+
+def test_archives_and_their_problems(spark, tmp_path):
+    import datetime
+    import zipfile
+
+    from driftline.sources import landing
+
+    text = "# Timestamp,MMSI,Latitude,Longitude,Navigational status,ROT,SOG,COG,Heading,Ship type,More\n05/01/2024 00:00:10,219000001,55.5,10.5,Moored,,5.0,90.0,91,Cargo,x\n05/01/2024 00:00:20,219000001,55.6,10.5,Moored,odd,5.0,90.0,91,Cargo,\n"
+    for day, members in ((5, {"a.csv": text}), (6, {"a.csv": text, "b.csv": text}), (8, {"a.csv": ""})):
+        with zipfile.ZipFile(tmp_path / f"aisdk-2024-01-{day:02}.zip", "w") as z:
+            for n, t in members.items():
+                z.writestr(n, t)
+    (tmp_path / "aisdk-2024-01-07.zip").write_bytes(b"no archive")
+    got = landing.read_zipped(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["mmsi"], r["ts_s"], r["lat"], r["rot"], str(r["file_date"])) for r in got] == [(219000001, 1704412810, 55.5, None, "2024-01-05"), (219000001, 1704412820, 55.6, None, "2024-01-05")]
+    wrong = {r["file_name"][14:16]: r["error"] for r in landing.problems(spark, str(tmp_path), datetime.date(2024, 1, 4), datetime.date(2024, 1, 9)).collect()}
+    assert wrong == {"04": "not found", "06": "one member expected, 2 found", "07": "not a zip archive", "09": "not found"}
+    assert landing.days_between(spark, datetime.date(2024, 1, 2), datetime.date(2024, 1, 1)).count() == 0
+
+
+def test_the_encoder_attends_to_what_is_there(spark, tmp_path):
+    from driftline.operators import encoding
+
+    small = encoding.Config(hidden_size=8, layers=2, heads=2, intermediate_size=12, positions=20)
+    model = encoding.Transformer.random(small)
+    r = np.random.RandomState(1)
+    steps = r.rand(3, 6, 4).astype(np.float32)
+    mask = np.array([[1] * 6, [1] * 4 + [0] * 2, [1] + [0] * 5], np.float32)
+    whole = model(steps, mask)
+    for i in range(3):
+        n = int(mask[i].sum())
+        assert whole[i] == pytest.approx(model(steps[i : i + 1, :n], np.ones((1, n)))[0], abs=1e-5)
+    # one layer by hand, for one head over one row: attention is the value itself
+    w, x = model.weights, model.embed(steps[2:, :1])[0, 0]
+    for i in range(2):
+        y = x + (x @ w[f"{i}.value.w"]) @ w[f"{i}.out.w"]
+        y = (y - y.mean()) / np.sqrt(y.var() + small.layer_eps)
+        up = y @ w[f"{i}.up.w"]
+        up = np.array([u * (1 + math.erf(u / 2**0.5)) / 2 for u in up])
+        y = y + up @ w[f"{i}.down.w"]
+        x = (y - y.mean()) / np.sqrt(y.var() + small.layer_eps)
+    assert whole[2] == pytest.approx(x, abs=1e-4)
+    labels = np.full_like(steps, -100.0)
+    labels[0, 2] = 0.5
+    predicted, loss = model.forward(steps, mask, labels)
+    assert loss == pytest.approx(((predicted[0, 2] - 0.5) ** 2).mean())
+    assert model.forward(steps)[1] is None
+    np.savez(tmp_path / "w.npz", **model.weights)
+    again = encoding.Transformer.load(spark, str(tmp_path / "w.npz"), small)
+    assert (again(steps, mask) == whole).all()
+    with pytest.raises(ValueError, match="shape"):
+        encoding.Transformer.load(spark, str(tmp_path / "w.npz"), encoding.Config(hidden_size=4))
+    items = spark.createDataFrame([(i, 10 * i, steps[i, : int(mask[i].sum())].tolist()) for i in range(3)], "mmsi int, time_start int, tokens array<array<float>>")
+    got = {x["mmsi"]: x["embedding"] for x in encoding.embeddings(items, model, batch_size=2).collect()}
+    assert all(got[i] == pytest.approx(whole[i] / np.linalg.norm(whole[i]), abs=1e-5) for i in range(3))
