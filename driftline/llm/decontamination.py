@@ -1,49 +1,60 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case, so
 punctuation, case and layout don't hide a copy.  Every n-gram of a test item is a seed.  One
-pass over the training texts finds the seeds and keeps, for each text and item, the window of
-words that an alignment through the seeds can reach.  An alignment matches no more words than
-window and item have in common, so windows that can't score the threshold by that bound go;
-how frequent their seeds are doesn't matter.  What stays is aligned with its item, equal windows
-of a task once, a match counting 2, a mismatch or a gap -1; the score is the share of
-the score of a full copy.
+pass over the training texts finds the seeds; a seed that few items hold leads to them directly.
+A common seed leads to the items of which the text also holds enough rare words: an alignment that
+scores the threshold misses no more than the rest of the item's words, so of any more words than
+that it holds the excess.  This is exact, so common phrases cost no pairs of texts and items.
+
+Around its seeds lies the window of words that an alignment through them can reach.  An alignment
+matches no more words than window and item have in common, so windows that can't score the
+threshold by that bound go.  What stays is aligned at once in the same pass, a match counting 2, a
+mismatch or a gap -1; the score is the share of the score of a full copy.
 
 The items are sent to the workers in blocks of bounded size, one pass for each block.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import math
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import batches_out, cut, table
+from .shared import batches_out, table
 
 SEED = 4
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.45
-#: Bytes of item text in a block that is broadcast.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text in a block that is broadcast; a worker's index takes some fifty times as many.
+BLOCK_BYTES = 4 << 20
+#: A seed that more items hold is common.
+RARE_ITEMS = 8
 #: Distinct windows whose alignment a worker remembers.
 KNOWN_WINDOWS = 1 << 14
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
-_HITS = T.StructType(
+Item = tuple[int | None, str]
+
+_FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("item_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("words", T.BinaryType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("start_word", T.LongType()),
+        T.StructField("end_word", T.LongType()),
     ]
 )
 
@@ -65,25 +76,68 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Seeds:
-    """The seeds of a block of items, for lookup by hash."""
+    """The seeds of a block of items, for lookup by hash.  Items are known by their place in the block."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = SEED):
+    def __init__(self, items: list[Item], n: int = SEED, threshold: float = THRESHOLD, rare_items: int = RARE_ITEMS):
         h, offsets = hashed_words(pa.array([t for _, t in items], pa.large_string()))
+        self.ids = [i for i, _ in items]
+        self.threshold = threshold
         self.words: dict[int, np.ndarray] = {}
-        places: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        self.places: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.sizes: set[int] = set()
-        for (item, _), a, b in zip(items, offsets[:-1], offsets[1:], strict=True):
-            if b > a and item not in self.words:
+        for item, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            if b > a:
                 self.words[item] = h[a:b]
                 size = int(min(n, b - a))
                 self.sizes.add(size)
                 for at, seed in enumerate(_rolled(h[a:b], size).tolist()):
-                    places[seed].add((item, at))
-        self.places = {s: sorted(p) for s, p in places.items()}
+                    self.places[seed][item].append(at)
+        self.common = {s for s, p in self.places.items() if len(p) > rare_items}
         self.counts = {item: np.unique(words, return_counts=True) for item, words in self.words.items()}
-        self.known = np.sort(np.array(list(places), np.uint64))
+        self.known = np.sort(np.array(list(self.places), np.uint64))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.least_rare: dict[int, int] = {}
+        if self.common:
+            held = Counter(w for distinct, _ in self.counts.values() for w in distinct.tolist())
+            for item, words in self.words.items():
+                spare = len(words) - math.ceil(threshold * len(words) - 1e-9)
+                ordered = sorted(words.tolist(), key=lambda w: (held[w], w))
+                least = max(1, sum(held[w] <= rare_items for w in ordered) - spare)
+                self.least_rare[item] = least
+                for w, n in Counter(ordered[: spare + least]).items():
+                    self.rare[w].append((item, n))
+        self.rare_words = np.sort(np.array(list(self.rare), np.uint64))
+
+    def met(self, h: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(text's place, item) with its seeds (position in the text, place in the item)."""
+        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        waiting: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for size in self.sizes:
+            at, seeds = self.find(h, size)
+            owner = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[owner + 1]
+            for p, o, s in zip((at - offsets[owner])[inside].tolist(), owner[inside].tolist(), seeds[inside].tolist(), strict=True):
+                if s in self.common:
+                    waiting[o].append((p, s))
+                else:
+                    for item, places in self.places[s].items():
+                        out[o, item].extend((p, place) for place in places)
+        for o, hits in waiting.items():
+            words = np.unique(h[offsets[o] : offsets[o + 1]])
+            near = np.minimum(np.searchsorted(self.rare_words, words), len(self.rare_words) - 1)
+            count: Counter[int] = Counter()
+            for w in words[self.rare_words[near] == words].tolist():
+                for item, n in self.rare[w]:
+                    count[item] += n
+            may = {item for item, n in count.items() if n >= self.least_rare[item]}
+            for p, s in hits:
+                held = self.places[s]
+                for item in may if len(may) < len(held) else held:
+                    if item in held and item in may:
+                        out[o, item].extend((p, place) for place in held[item])
+        return out
 
     def find(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and seeds in ``h``; across texts too, which the caller leaves out."""
@@ -113,37 +167,6 @@ def _windows(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator
         yield start, end
 
 
-def hits(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document, item and window that may score the threshold: the window's word hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        index = Seeds(sent.value)
-        for whole in batches:
-            for batch in W.chunks(whole):
-                h, offsets = hashed_words(batch.column(1))
-                met: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for size in index.sizes:
-                    at, seeds = index.find(h, size)
-                    owner = np.searchsorted(offsets, at, "right") - 1
-                    inside = at + size <= offsets[owner + 1]
-                    for p, o, s in zip((at - offsets[owner])[inside].tolist(), owner[inside].tolist(), seeds[inside].tolist(), strict=True):
-                        for item, place in index.places[s]:
-                            met[o, item].append((p, place))
-                for (o, item), found in sorted(met.items()):
-                    a, b = offsets[o], offsets[o + 1]
-                    length = len(index.words[item])
-                    for start, end in _windows(found, length, int(b - a)):
-                        words = h[a + start : a + end]
-                        if index.in_common(item, words) / length >= threshold:
-                            yield batch.column(0)[o].as_py(), item, start, words.tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_out(rows(batches), _HITS, lambda r: len(r[3]))
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _HITS)
-
-
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """The best local alignment's score, and the end of its last word in ``words``."""
     index = np.arange(len(words) + 1)
@@ -160,47 +183,56 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def aligned(windows: DataFrame, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) of windows that score the threshold or more."""
-    sent = windows.sparkSession.sparkContext.broadcast(items)
-    out = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("item_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("start_word", T.LongType()),
-            T.StructField("end_word", T.LongType()),
-        ]
-    )
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        item_words = Seeds(sent.value).words
-        known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-        for batch in batches:
-            for doc, item, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                window = item, xxhash.xxh3_128_digest(raw)
-                if window not in known:
-                    if len(known) >= KNOWN_WINDOWS:
-                        known.clear()
-                    words, words_of_item = np.frombuffer(raw, np.uint64), item_words[item]
-                    best, end = align(words_of_item, words)
-                    share = best / (MATCH * len(words_of_item))
-                    back = align(words_of_item[::-1], words[:end][::-1])[1] if share >= threshold else 0
-                    known[window] = share, end - back, end
-                share, first, end = known[window]
-                if share >= threshold:
-                    yield doc, item, share, start + first, start + end
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_out(rows(batches), out)
-
-    return windows.select("doc_id", "item_id", "start", "words").mapInArrow(run, out)
-
-
-def blocks(items: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[list[tuple[int, str]]]:
-    """The items with words, in blocks of at most ``BLOCK_BYTES`` of text (or one item)."""
+class Aligner:
+    """The alignments of texts with a block of items that score the threshold."""
+
+    def __init__(self, items: list[Item], threshold: float = THRESHOLD):
+        self.index = Seeds(items, threshold=threshold)
+        self.known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+
+    def _aligned(self, item: int, words: np.ndarray) -> tuple[float, int, int]:
+        """(score, start, end) within the window; equal windows are aligned once."""
+        window = item, xxhash.xxh3_128_digest(words.tobytes())
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) >= KNOWN_WINDOWS:
+                self.known.clear()
+            own = self.index.words[item]
+            best, end = align(own, words)
+            share = best / (MATCH * len(own))
+            back = align(own[::-1], words[:end][::-1])[1] if share >= self.index.threshold else 0
+            found = self.known[window] = share, end - back, end
+        return found
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text's place, item's place, score, start word, end word)."""
+        h, offsets = hashed_words(texts)
+        for (o, item), hits in sorted(self.index.met(h, offsets).items()):
+            a, b = offsets[o], offsets[o + 1]
+            length = len(self.index.words[item])
+            for start, end in _windows(hits, length, int(b - a)):
+                words = h[a + start : a + end]
+                if self.index.in_common(item, words) / length >= self.index.threshold:
+                    score, first, last = self._aligned(item, words)
+                    if score >= self.index.threshold:
+                        yield o, item, score, start + first, start + last
+
+
+_ALIGNERS: dict[str, Aligner] = {}
+
+
+def _aligner(name: str, items: Broadcast, threshold: float) -> Aligner:
+    """The block's aligner, built once in a worker; the one of another block goes."""
+    if name not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[name] = Aligner(items.value, threshold)
+    return _ALIGNERS[name]
+
+
+def blocks(items: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[list[Item]]:
+    """The items with a text, in blocks of at most ``BLOCK_BYTES`` of text (or one item).  Null ids stay."""
     block, size = [], 0
-    for row in items.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), text).orderBy(key, text).toLocalIterator():
+    for row in items.filter(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).distinct().orderBy(key, text).toLocalIterator():
         if block and size + len(row[1].encode()) > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -211,29 +243,61 @@ def blocks(items: DataFrame, text: str = "text", key: str = "item_id") -> Iterat
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and item whose best alignment scores the threshold or more.
+    """One row for each document and item whose best alignment scores the threshold or more: doc_id, item_id, score, start_word, end_word.
 
-    Null texts and items, and items without a word, take part in nothing.  Items shorter than a
-    seed are one seed as a whole; of items with one id, the first by text counts.  Rows with a
-    null id give rows with a null doc_id; repeated rows give one row.
+    Null and empty texts and items without a word take part in nothing; an empty table gives no
+    rows.  Items shorter than a seed are one seed as a whole.  Every different text under an
+    item's id is searched for, and the best one counts; items without an id share the null one.
+    Rows with a null id give rows with a null doc_id; rows of one id give one row.  Other columns
+    of either table are left.
     """
     spark = docs.sparkSession
     found = None
     for block in blocks(items):
-        windows = cut(hits(docs, block, text, key, threshold), "hits")
-        part = aligned(windows, block, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("first"), "end_word")).alias("best"))
-        part = part.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.first")).alias("start_word"), F.col("best.end_word").alias("end_word"))
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def rows(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, name: str = name) -> Iterator[tuple]:
+            search = _aligner(name, sent, threshold)
+            for whole in batches:
+                for batch in W.chunks(whole):
+                    ids = batch.column(0)
+                    for o, item, score, start, end in search(batch.column(1)):
+                        yield ids[o].as_py(), search.index.ids[item], score, start, end
+
+        def run(batches: Iterator[pa.RecordBatch], rows: Callable = rows) -> Iterator[pa.RecordBatch]:
+            return batches_out(rows(batches), _FOUND)
+
+        part = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
-    return found
+        return spark.createDataFrame([], _FOUND)
+    best = F.max(F.struct("score", (-F.col("start_word")).alias("first"), "end_word"))
+    out = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return out.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.first")).alias("start_word"), F.col("best.end_word").alias("end_word"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, each judged by its own text in one pass for each block.
+
+    Ids play no part, so null and repeated ones cost no other row; null texts stay, columns are
+    as they were.
+    """
+    spark, at, schema = docs.sparkSession, docs.columns.index(text), docs.schema
+    for block in blocks(items):
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, name: str = name) -> Iterator[pa.RecordBatch]:
+            search = _aligner(name, sent, threshold)
+            for whole in batches:
+                for batch in W.chunks(whole, at):
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[o for o, *_ in search(batch.column(at))]] = False
+                    yield batch.filter(pa.array(clean))
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found.  A row without an id is compared by a null-safe key: all such rows go if one is contaminated."""
-    gone = contaminated(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose best alignment scores the threshold; ``contaminated`` states nulls, repeats and empty tables."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

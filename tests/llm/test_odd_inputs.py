@@ -45,6 +45,10 @@ def test_packing_takes_every_row(spark, odd_docs, no_docs):
 def test_decontamination_names_the_copies(spark, odd_docs, no_docs):
     got = decontamination.contaminated(odd_docs, items(spark)).toPandas()
     assert {(int(a), int(b)) for a, b in zip(got["doc_id"], got["item_id"], strict=True)} == {(6, 1), (7, 1), (4, 4)}
+    left = decontamination.decontaminate(odd_docs, items(spark))
+    assert sorted(r["doc_id"] or 0 for r in left.select("doc_id").collect()) == [0, 1, 2, 3, 5, 8, 9, 10]
+    assert left.columns == odd_docs.columns
+    assert decontamination.decontaminate(no_docs, items(spark)).count() == 0
     assert decontamination.contaminated(no_docs, items(spark)).count() == 0
     assert decontamination.contaminated(odd_docs, items(spark).limit(0)).count() == 0
 
@@ -55,6 +59,7 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs):
     assert got[got["doc_id"].isin([1, 2, 3])]["n_shingles"].tolist() == [0, 0, 0]
     assert got[got["doc_id"].isna()]["kept"].tolist() == [True]
     assert near_dedup.deduplicate(odd_docs).filter("doc_id = 7").count() == 0
+    assert near_dedup.deduplicate(odd_docs).filter("doc_id is null").count() == 1
 
 
 def test_chats_of_odd_rows(spark):
