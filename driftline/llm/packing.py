@@ -141,7 +141,8 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     planned = spark.sparkContext.broadcast(runs)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    ranked = cut_pieces.join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("_base")).drop("_base", "task")
+    # one row for each task and length, as many as tasks make: never broadcast
+    ranked = cut_pieces.join(base.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("_base")).drop("_base", "task")
     out = T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = ranked.columns
 
@@ -183,4 +184,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; ``pieces`` states null texts, repeats and null keys, an empty table packs into nothing."""
     return digest(table(spark, sf_dir, "documents"))
