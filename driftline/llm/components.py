@@ -10,7 +10,8 @@ from .shared import cut
 
 def _least(edges: DataFrame) -> DataFrame:
     """Each node with its smallest neighbour, itself included.  ``edges`` is (u, v); the hot nodes' rows meet as partial minima."""
-    return edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    # written out, so that a join with it can split a node with many neighbours
+    return cut(edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

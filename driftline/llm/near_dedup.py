@@ -49,7 +49,9 @@ SKETCH_BITS = 4
 SKETCH_LIMIT = 55
 MARKS = 512
 #: Rows of a key that are compared in one task; larger keys are dealt into blocks.
-BUCKET = 2048
+BUCKET = 16384
+#: Pairs of rows whose facts are held at once.
+PAIRS = 1 << 19
 #: Shingles hashed together for one text.
 BLOCK = 4096
 
@@ -182,17 +184,27 @@ _OPEN = ("key", "p", "q", "own", "id", "c", "n", "hub", "hub_n", "hidden", "sket
 
 def _candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (a > b) of one bucket's rows in different components that sketches, sizes and bit sets allow."""
-    a_out, b_out = [], []
+    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ones = np.uint64(sum(1 << i for i in range(0, 64, SKETCH_BITS)))
+    # by size: a row meets only those before it that are large enough
+    order = np.argsort(rows["n"], kind="stable")
+    rows = {k: v[order] for k, v in rows.items()}
     sketch, n, across = rows["sketch"], rows["n"], rows["p"][0] != rows["q"][0]
-    for at in range(0, len(n), 256):
-        i = slice(at, at + 256)
-        may = (rows["id"][i, None] > rows["id"]) & (rows["c"][i, None] != rows["c"])
-        may &= DENOMINATOR * np.minimum(n[i, None], n) >= NUMERATOR * np.maximum(n[i, None], n)
+    first = np.searchsorted(DENOMINATOR * n, NUMERATOR * n)
+    at, total = 0, len(n)
+    while at < total:
+        # as many rows as keep the pairs in bounds, one at least
+        stop = at + 1
+        while stop < total and (stop + 1 - at) * (stop + 1 - first[at]) <= PAIRS:
+            stop += 1
+        i, j = slice(at, stop), slice(int(first[at]), stop)
+        may = (np.arange(at, stop)[:, None] > np.arange(j.start, stop)) & (rows["c"][i, None] != rows["c"][j])
+        may &= DENOMINATOR * n[j] >= NUMERATOR * n[i, None]
         if across:
-            may &= rows["own"][i, None] != rows["own"]
+            may &= rows["own"][i, None] != rows["own"][j]
         x, y = np.nonzero(may)
-        x += at
+        x, y = x + at, y + j.start
+        at = stop
         differ = sketch[x] ^ sketch[y]
         mixed = differ.copy()
         for k in range(1, SKETCH_BITS):
@@ -203,8 +215,8 @@ def _candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         new = np.bitwise_count(rows["novel"][x] & rows["novel"][y]).sum(1).astype(np.int64)
         shared = rows["hub_n"][x] - lost + new + np.minimum(rows["hidden"][x], rows["hidden"][y])
         can = (rows["hub"][x] != rows["hub"][y]) | (DENOMINATOR * shared >= NUMERATOR * (n[x] + n[y] - shared))
-        a_out.append(rows["id"][x[can]])
-        b_out.append(rows["id"][y[can]])
+        a_out.append(np.maximum(rows["id"][x[can]], rows["id"][y[can]]))
+        b_out.append(np.minimum(rows["id"][x[can]], rows["id"][y[can]]))
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
@@ -212,10 +224,11 @@ def compared(open_rows: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) that may be links, among the rows of each key.
 
     Keys of more than ``BUCKET`` rows are dealt into blocks by hash, each pair of blocks to a task
-    of its own, so no task holds more than a few blocks.  Only pairs that may be links leave it.
+    of its own, so no task holds more than a few blocks.  A row of a key of n is sent to n / ``BUCKET``
+    of these, which costs less than the comparisons there.  Only pairs that may be links leave it.
     """
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BUCKET))).cast("int").alias("blocks"))
-    dealt = open_rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BUCKET))).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = open_rows.join(cut(sizes, "sizes"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select(*_OPEN)
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -288,8 +301,8 @@ def _against_hub(met: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, _CHECKED)
 
 
-def with_sets(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(a, b, x, y): the pairs with the full sets of their ends.  Only the texts of these are read into sets."""
+def with_sets(pairs: DataFrame, docs: DataFrame, text: str, key: str, repeats: bool) -> DataFrame:
+    """(a, b, x, y): the pairs with the full sets of their ends.  Only the texts of these are read into sets; ``repeats`` says whether ids do."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).join(ends, "id", "left_semi")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -303,55 +316,51 @@ def with_sets(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
                     flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
-    sets = cut(bodies.mapInArrow(run, out).dropDuplicates(["id"]) if _repeats(docs, key) else bodies.mapInArrow(run, out), "sets")
+    sets = cut(bodies.mapInArrow(run, out).dropDuplicates(["id"]) if repeats else bodies.mapInArrow(run, out), "sets")
     return pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, text: str, key: str, repeats: bool) -> DataFrame:
     """The pairs (a, b) whose full sets pass the threshold."""
-    met = with_sets(pairs, docs, text, key).withColumn("both", F.size(F.array_intersect("x", "y")))
+    met = with_sets(pairs, docs, text, key, repeats).withColumn("both", F.size(F.array_intersect("x", "y")))
     return met.filter(f"{DENOMINATOR} * both >= {NUMERATOR} * (size(x) + size(y) - both)").select("a", "b")
 
 
-def _repeats(docs: DataFrame, key: str) -> bool:
-    return not docs.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``.
 
     A row without words, or with a null text, is linked with nothing.  A row with a null id can't
     be named by a component: it is linked with nothing, has a null component and is kept.  Ids
     are expected to be unique: rows that share one are linked through it, and of their different
-    texts one is compared with other documents.
+    texts one is compared with other documents.  An empty table gives no rows; other columns are left.
     """
     signed = cut(signatures(docs, text, key), "signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    groups = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    member = cut(
-        signed.join(groups, ["d1", "d2"], "left").select(
-            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"), "sketch", F.when(F.col("doc_id") == F.col("id"), F.col("signature")).alias("signature")
-        ),
-        "members",
-    )
-    nodes = member.filter("signature is not null").select("id", F.col("n_shingles").alias("n"), "sketch", "signature").dropDuplicates(["id"])
+    repeats = not usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    # written out, as both sides of a join can only be split where a key is hot if neither is still being grouped
+    groups = cut(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "groups")
+    named = usable.join(groups, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"), "sketch", "signature")
+    # rows without a digest don't meet under the null one
+    others = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("id"), "sketch", F.lit(None).cast("binary").alias("signature"))
+    member = cut(named.unionByName(others).withColumn("signature", F.when(F.col("doc_id") == F.col("id"), F.col("signature"))), "members")
+    nodes = member.filter("signature is not null").select("id", F.col("n_shingles").alias("n"), "sketch", "signature")
+    nodes = nodes.dropDuplicates(["id"]) if repeats else nodes
     keyed = chunk_keys(nodes)
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
+    hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub"), "hubs")
     buckets = cut(keyed.join(hubs, "key"), "buckets")
     narrow = nodes.select("id", "n", "sketch")
     met = buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     x, y = narrow.withColumnRenamed("id", "a"), narrow.withColumnRenamed("id", "b")
     near = met.alias("p").join(x.alias("x"), "a").join(y.alias("y"), "b").filter(_near("x", "y"))
     first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
-    checked = cut(_against_hub(with_sets(first, docs, text, key)), "checked")
+    checked = cut(_against_hub(with_sets(first, docs, text, key, repeats)), "checked")
     links = checked.filter("linked").select("a", "b")
-    shared = usable.select("doc_id", "d1", "d2").distinct().join(groups, ["d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    if _repeats(docs, key):
-        links = links.unionByName(shared)
+    if repeats:
+        links = links.unionByName(member.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     parts = cut(components(links), "components")
 
     known = buckets.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    open_keys = cut(known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"), "open_keys")
     zero = F.array_repeat(F.lit(0).cast("long"), MARKS // 64)
     marks = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "hub_n", "lost", "novel", "hidden")
     about = narrow.join(marks, "id", "left").select(
@@ -361,7 +370,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pairs = compared(rest).join(first, ["a", "b"], "left_anti")
     more = cut(pairs, "pairs")
     if not more.isEmpty():
-        added = cut(confirm(more, docs, text, key), "links")
+        added = cut(confirm(more, docs, text, key, repeats), "links")
         parts = components(links.unionByName(added))
 
     out = member.select("doc_id", "n_shingles", "id").join(parts, "id", "left")
@@ -369,13 +378,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
-    gone = near_duplicates(docs, text, key).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
-    if _repeats(docs, key):
-        left = left.filter(F.col(key).isNull()).unionByName(left.filter(F.col(key).isNotNull()).dropDuplicates([key]))
-    return left
+    """The rows of ``docs`` that stay: one document of each component, the one with the smallest id.
+
+    Where an id is null or repeats, all rows are told apart by their place in the table instead
+    of their ids, so unlike texts under one id, or under none, stay.  Rows without words stay.
+    """
+    unnamed = docs.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
+    if unnamed.isEmpty():
+        gone = near_duplicates(docs, text, key).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    mark = next(m for m in ("_mark" + "_" * i for i in range(len(docs.columns) + 1)) if m not in docs.columns)
+    placed = cut(docs.withColumn(mark, F.monotonically_increasing_id()), "marked")
+    gone = near_duplicates(placed, text, mark).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    return placed.join(gone, placed[mark] == gone["_gone"], "left_anti").drop(mark)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component; ``near_duplicates`` states nulls, empty texts, repeats and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -61,8 +61,3 @@ def batches_out(rows: Iterable[tuple], schema: T.StructType, weight: Callable[[t
             kept, size = [], 0
     if kept:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), arrow, strict=True)], schema=arrow)
-
-
-def spread(df: DataFrame, column: str = "text") -> DataFrame:
-    """Deal whole rows to tasks evenly, so that a few large files or row groups don't bound the parallelism."""
-    return df
