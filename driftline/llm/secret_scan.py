@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over words.
 
 Words stand between white space.  Each is tagged outside, begin or inside from its shape, the
-shapes of its two neighbours, and features of the whole text, and the tags are decoded by
-Viterbi.  The field is trained on generated lines and on at most ``SAMPLE_ROWS`` texts whose
+shapes of its two neighbours, whether a telling name stands up to ``REACH`` words before or after
+it, and features of the whole text, and the tags are decoded by Viterbi.  The field is trained on generated lines and on at most ``SAMPLE_ROWS`` texts whose
 words the fixed patterns label.
 
 A word whose tag scores stay so far below "outside" that no choice of neighbours can make up
@@ -18,7 +18,7 @@ import re
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,9 @@ HEX = re.compile(r"[0-9a-f]+")
 MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 
 SAMPLE_ROWS = 300
-GENERATED = 400
+GENERATED = 1000
+#: Words between which a telling name counts.
+REACH = 3
 ROUNDS, RATE, DECAY = 100, 0.1, 1e-3
 #: Distinct words whose scores a worker keeps.
 CACHE_WORDS = 200_000
@@ -47,11 +49,17 @@ CACHE_WORDS = 200_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CORE = re.compile(r"[A-Za-z0-9+/_.~-]+")
-_KEY = re.compile(r"pass(?:word|wd)|secret|token|api_?key|credential|private|access", re.IGNORECASE)
+_KEY = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|credential|private|access", re.IGNORECASE)
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
+_TURNS = re.compile(r"[a-z][A-Z]")
+_SYMBOLS = re.compile(r"[!@#$%^&*+=~?_]")
 _PLAIN = r"^[\pL'’]{1,24}[.,;:!?]{0,3}$"
 #: Words, but for those of _KEY and "www.", whose features are bias and plain alone.
-_BARE = r"^(?:[A-Za-z]{1,16}|[A-Za-z]{2,7}[.,;!?]{1,3})$"
+_BARE = r"^(?:[A-Za-z]{1,15}|[A-Za-z]{2,7}[.,;!?]{1,3})$"
+#: Letters of a word from which on their order counts, and the share of all pairs of letters that makes a pair usual.
+LONG, USUAL = 16, 4e-4
 _VOWELS = set("aeiouyAEIOUY")
+_SELDOM = set("jqvwxzkJQVWXZK")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -68,7 +76,8 @@ def ordered(spans: list[tuple[str, int, int]]) -> str:
 
 FEATURES = (
     "bias plain plain_long key key_ends assign_inside sign_only sign_ends core_8 core_16 core_24 core_40 digits_only mixed switches "
-    "hex upper_lower entropy_3 entropy_35 entropy_4 few_vowels at_sign url dots_only_number long_prefix quoted"
+    "hex upper_lower entropy_3 entropy_35 entropy_4 few_vowels at_sign url dots_only_number long_prefix quoted "
+    "consonants seldom case_turns odd_pairs odder_pairs short_mixed symbols_inside uuid"
 ).split()
 _AT = {f: i for i, f in enumerate(FEATURES)}
 FILE_FEATURES = ("mostly_plain", "odd_words")
@@ -81,8 +90,26 @@ def core(word: str) -> tuple[int, int]:
     return max(runs, key=lambda r: (r[1] - r[0], -r[0])) if runs else (0, len(word))
 
 
-def features(word: str) -> list[int]:
-    """The features of a word's shape."""
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+
+def secret_part(word: str) -> tuple[int, int]:
+    """Where the value stands in a word: behind a sign of assignment, within quotes, brackets and final punctuation."""
+    inner = word.rstrip("\"'`)]}>.,;:!?")
+    at = max(inner.rfind("="), inner.rfind(":"))
+    at = 0 if at < 0 or at + 1 >= len(inner) or not inner[:at].replace("_", "").replace("-", "").strip("\"'").isalpha() else at + 1
+    start = at + len(inner[at:]) - len(inner[at:].lstrip("\"'`([{<"))
+    return (start, len(inner)) if len(inner) > start else core(word)
+
+
+def usual_pairs(words: Iterable[str]) -> frozenset[str]:
+    """Pairs of letters that words of letters have often."""
+    seen = Counter(x for w in words if w.isalpha() and len(w) < LONG for x in map(str.__add__, w.lower(), w.lower()[1:]))
+    return frozenset(x for x, n in seen.items() if n >= USUAL * seen.total())
+
+
+def features(word: str, usual: frozenset[str] = frozenset()) -> list[int]:
+    """The features of a word's shape; ``usual`` pairs of letters are those of ordinary words."""
     out = ["bias"]
     if _KEY.search(word):
         out.append("key")
@@ -100,7 +127,20 @@ def features(word: str) -> list[int]:
     body = word[a:b].strip(".")
     n = len(body)
     if n and body.isalpha():
-        out.append("plain_long" if n > 16 else "plain")
+        out.append("plain_long" if n >= LONG else "plain")
+        if n >= LONG:
+            if sum(c in _VOWELS for c in body) * 5 < n:
+                out.append("few_vowels")
+            if _CONSONANTS.search(body.lower()):
+                out.append("consonants")
+            if sum(c in _SELDOM for c in body) * 6 >= n:
+                out.append("seldom")
+            if len(_TURNS.findall(body)) >= 3:
+                out.append("case_turns")
+            low = body.lower()
+            odd = sum(x not in usual for x in map(str.__add__, low, low[1:])) / (n - 1) if usual else 0
+            if odd >= 0.15:
+                out.append("odd_pairs" if odd < 0.3 else "odder_pairs")
     if "@" in word:
         out.append("at_sign")
     if "://" in word or word.startswith("www."):
@@ -117,14 +157,25 @@ def features(word: str) -> list[int]:
                 out.append("switches")
             if all(c in string.hexdigits for c in body):
                 out.append("hex")
+            if _UUID.search(word):
+                out.append("uuid")
         if letters and body != body.lower() and body != body.upper() and body[1:] != body[1:].lower():
             out.append("upper_lower")
         bits = -sum(c / n * math.log2(c / n) for c in Counter(body).values())
         out.append("entropy_4" if bits >= 4 else "entropy_35" if bits >= 3.5 else "entropy_3")
-        if letters and sum(c in _VOWELS for c in body) * 5 < letters:
+        if letters and digits and sum(c in _VOWELS for c in body) * 5 < letters:
             out.append("few_vowels")
         if re.match(r"[A-Za-z]{2,8}[_-]", body) and digits:
             out.append("long_prefix")
+    if not word.isalpha():
+        a, b = secret_part(word)
+        value = word[a:b]
+        kinds = (value != value.upper()) + (value != value.lower()) + any(c.isdigit() for c in value)
+        if len(value) >= 6 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            if kinds == 3 and len(value) < 16:
+                out.append("short_mixed")
+            if _SYMBOLS.search(value[:-1]) and "@" not in value[1:]:
+                out.append("symbols_inside")
     return [_AT[f] for f in out]
 
 
@@ -134,18 +185,33 @@ def file_features(n_words: int, n_odd: int) -> tuple[float, float]:
 
 @dataclass
 class Field:
-    """Tag weights: own, previous and next word's features, the file's, and between tags."""
+    """Tag weights: own, previous and next word's features, a telling name's distance, the file's, and between tags."""
 
     own: np.ndarray
     before: np.ndarray
     after: np.ndarray
+    near: np.ndarray
     file: np.ndarray
     between: np.ndarray
+    usual: frozenset[str]
 
     def margin(self) -> float:
         return 2 * float(self.between.max() - self.between.min())
 
 
+#: Places before and after a word where a telling name counts; the next ones are features of the neighbours.
+SHIFTS = (*range(2, REACH + 1), *range(-REACH, -1))
+
+
+def name_near(named: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each word, whether a telling name stands at each of ``SHIFTS`` places before it, in the same text."""
+    out = np.zeros((len(named), len(SHIFTS)), bool)
+    for i, k in enumerate(SHIFTS):
+        there, here = (slice(None, -k), slice(k, None)) if k > 0 else (slice(-k, None), slice(None, k))
+        out[here, i] = named[there] & (owner[there] == owner[here])
+    return out
+
+
 def viterbi(scores: np.ndarray, between: np.ndarray) -> list[int]:
     """The best tags of a stretch whose neighbours are outside."""
     best = scores[0] + between[OUTSIDE]
@@ -168,20 +234,23 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(lines: list[tuple[list[str], list[int]]]) -> Field:
     """Maximum likelihood by gradient ascent over all lines at once, forward-backward in log space."""
     lines = [(w, t) for w, t in lines if w]
+    usual = usual_pairs(w.strip(".,") for words, tags in lines for w, t in zip(words, tags, strict=True) if t == OUTSIDE)
     count, longest, k = len(lines), max(len(w) for w, _ in lines), len(FEATURES)
     x = np.zeros((count, longest, k), np.float32)
     y = np.zeros((count, longest), np.int64)
     live = np.zeros((count, longest), bool)
+    near = np.zeros((count, longest, len(SHIFTS)), np.float32)
     file = np.zeros((count, len(FILE_FEATURES)), np.float32)
     for i, (words, tags) in enumerate(lines):
         for j, (w, t) in enumerate(zip(words, tags, strict=True)):
-            x[i, j, features(w)] = 1
+            x[i, j, features(w, usual)] = 1
             y[i, j] = t
             live[i, j] = True
+        near[i, : len(words)] = name_near(np.array([bool(_KEY.search(w)) for w in words]), np.zeros(len(words), int))
         file[i] = file_features(len(words), sum(not re.fullmatch(r"[^\W\d_]+[.,;:!?]*", w) for w in words))
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[:, 1:], after[:, :-1] = x[:, :-1], x[:, 1:]
-    parts = [p.reshape(-1, k) for p in (x, before, after)] + [np.repeat(file, longest, 0)]
+    parts = [p.reshape(-1, k) for p in (x, before, after)] + [near.reshape(-1, len(SHIFTS)), np.repeat(file, longest, 0)]
     stacked = np.concatenate(parts, 1)
     weights, between = np.zeros((stacked.shape[1], 3)), np.zeros((3, 3))
     gold = np.eye(3)[y] * live[..., None]
@@ -210,47 +279,79 @@ def train(lines: list[tuple[list[str], list[int]]]) -> Field:
             m += 0.1 * (slope - m)
             v += 0.001 * (slope * slope - v)
             value += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(weights[:k], weights[k : 2 * k], weights[2 * k : 3 * k], weights[3 * k :], between)
+    return Field(*np.split(weights, [k, 2 * k, 3 * k, 3 * k + len(SHIFTS)]), between, usual)
 
 
 def generated(n: int = GENERATED, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """Lines with and without secrets, for training: invented words, numbers, addresses, and keys of usual forms."""
     r = random.Random(seed)
     pick = lambda letters, a, b: "".join(r.choices(letters, k=r.randint(a, b)))
-    text = lambda: "".join(r.choice("bcdfghlmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 5))) + r.choice(["", "", "", ",", "."])
+    syllables = ("b c d f g h l m n p r s t v w z ch sch st tr pl".split(), "a e i o u ei au ie ou".split(), ["", "", "", "n", "r", "s", "l", "t", "nd", "rt", "ng", "cht", "lts"])
+    stem = lambda a, b: "".join("".join(r.choice(part) for part in syllables) for _ in range(r.randint(a, b)))
+    text = lambda: r.choice([stem, stem, lambda a, b: stem(a, b).capitalize()])(1, 4) + r.choice(["", "", "", "", ",", "."])
+    mixed = string.ascii_letters + string.digits
     other = [
         lambda: pick(string.digits, 1, 16),
-        lambda: f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}",
-        lambda: f"{text()}.{r.randint(1, 99)}@{text().strip('.,')}.example.org",
-        lambda: f"https://{text().strip('.,')}.org/{text()}/{r.randint(1, 999)}",
+        lambda: f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}" + r.choice(["", "", ".", "!!"]),
+        lambda: f"{stem(1, 3)}.{r.randint(1, 99)}@{stem(1, 3)}{r.choice(['', str(r.randint(1, 9))])}.example.{r.choice(['org', 'com'])}" + r.choice(["", ",", "."]),
+        lambda: f"https://{stem(1, 3)}.org/{stem(1, 2)}/{r.randint(1, 999)}",
         lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
         lambda: f"({r.randint(200, 999)})",
         lambda: f"555-{r.randint(1000, 9999)}",
-        lambda: text() + r.choice(["###", "&&&", "***", "%%%", "$$$", "!!"]),
-        lambda: text() + text() + text() + text(),
-        lambda: f"{text().strip('.,')}_{text().strip('.,')}",
+        lambda: stem(1, 4) + r.choice(["", "", ",", "."]) + r.choice(["###", "&&&", "***", "%%%", "$$$", "!!"]),
+        lambda: stem(4, 8),
+        lambda: stem(5, 8).capitalize(),
+        lambda: f"{stem(1, 2)}_{stem(1, 3)}",
+        lambda: f"{stem(1, 2)}-{stem(1, 3)}",
+        lambda: stem(1, 2) + "".join(stem(1, 2).capitalize() for _ in range(r.randint(1, 3))),
+        lambda: f"{stem(1, 2)}_{stem(1, 2)}".upper(),
+        lambda: f"{stem(1, 2).capitalize()}{r.randint(1, 99)}",
+        lambda: r.choice(["GB", "DE", "FR"]) + pick(string.digits, 2, 2),
+        lambda: pick(string.digits, 4, 4),
+        lambda: f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
+        lambda: f"{r.randint(1, 99)}.{r.randint(0, 99)}.{r.randint(0, 9)}",
+        lambda: f"{r.randint(1, 9)},{pick(string.digits, 3, 3)}.{pick(string.digits, 2, 2)}",
+        lambda: "|",
+        lambda: pick(string.ascii_uppercase, 2, 6),
     ]
-    secret = [
+    letters = [lambda: pick(string.ascii_letters, 18, 40), lambda: pick(string.ascii_lowercase, 20, 40), lambda: pick(string.ascii_uppercase, 20, 40)]
+    keys = [
         lambda: pick(string.hexdigits[:16], 32, 64),
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16, 16),
-        lambda: pick(string.ascii_letters + string.digits, 20, 48),
-        lambda: pick(string.ascii_letters + string.digits + "+/", 40, 44),
-        lambda: r.choice(["ghp_", "sk-", "xoxb-", "pk_live_"]) + pick(string.ascii_letters + string.digits, 24, 40),
+        lambda: pick(mixed, 20, 48),
+        lambda: pick(string.ascii_lowercase + string.digits, 20, 40),
+        lambda: pick(mixed + "+/", 40, 44),
+        lambda: pick(mixed + "-_", 30, 44),
+        lambda: r.choice(["ghp_", "sk-", "xoxb-", "pk_live_"]) + pick(mixed, 24, 40),
+        lambda: "-".join(pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)),
+        lambda: r.choice(letters)(),
+        lambda: r.choice(letters)(),
+    ]
+    # a short one is told from other words by the name beside it, or by its mixture
+    short = [
+        lambda: "".join(r.sample(pick(string.ascii_lowercase, 3, 5) + pick(string.ascii_uppercase, 1, 3) + pick(string.digits, 2, 4) + pick("!@#$%^&*+?", 1, 2), k=7)),
+        lambda: stem(1, 2).capitalize() + r.choice("!#$%&*?") + pick(string.digits, 2, 4),
+        lambda: pick(mixed, 8, 14),
+        lambda: stem(2, 3) + pick(string.digits, 2, 4),
     ]
-    wrap = [lambda s: s, lambda s: f'"{s}"', lambda s: f"'{s}'", lambda s: f"{s},"]
-    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_token", "SECRET_KEY", "Token", "credential"]
+    wrap = [lambda s: s, lambda s: s, lambda s: f'"{s}"', lambda s: f"'{s}'", lambda s: f"{s},", lambda s: f"{s}."]
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_token", "SECRET_KEY", "Token", "credential", "pwd", "passphrase", "passcode"]
+    verbs = ["is", "ist", "est", "es", "was", "of", "now", "here", "with"]
     out = []
     for i in range(n):
-        words = [r.choice(other)() if r.random() < 0.12 else text() for _ in range(r.randint(3, 24))]
+        words = [r.choice(other)() if r.random() < 0.15 else text() for _ in range(r.randint(3, 24))]
         tags = [OUTSIDE] * len(words)
         if i % 2:
-            at, value, name = r.randint(0, len(words)), r.choice(wrap)(r.choice(secret)()), r.choice(names)
-            form = r.randint(0, 4)
-            new = [[value], [name, "=", value], [f"{name}:", value], [f"{name}={value}"], [name, ":", value]][form]
+            at, name = r.randint(0, len(words)), r.choice(names)
+            alone = r.random() < 0.3
+            value = r.choice(wrap)(r.choice(keys if alone or r.random() < 0.5 else short)())
+            forms = [[value]] if alone else [[name, "=", value], [f"{name}:", value], [f"{name}={value}"], [name, ":", value], [name, value], [name, r.choice(verbs), value], [name, r.choice(verbs), r.choice(verbs), value], [value, "as", "the", name]]
+            new = r.choice(forms)
+            place = new.index(value) if value in new else 0
             words[at:at] = new
-            tags[at:at] = [OUTSIDE] * (len(new) - 1) + [BEGIN]
-        elif r.random() < 0.3:
-            words.insert(r.randint(0, len(words)), r.choice(names))
+            tags[at:at] = [BEGIN if j == place else OUTSIDE for j in range(len(new))]
+        elif r.random() < 0.4:
+            words.insert(r.randint(0, len(words)), r.choice(names) + r.choice(["", "", ".", ","]))
             tags.append(OUTSIDE)
         out.append((words, tags))
     return out
@@ -295,7 +396,7 @@ class Scanner:
     def _row(self, word: bytes) -> np.ndarray:
         row = self.rows.get(word)
         if row is None:
-            f = features(word.decode())
+            f = features(word.decode(), self.field.usual)
             row = self.rows[word] = np.concatenate([w[f].sum(0) for w in (self.field.own, self.field.before, self.field.after)])
         return row
 
@@ -323,6 +424,9 @@ class Scanner:
         joined = owner[1:] == owner[:-1]
         scores[1:][joined] += per_word[:-1, 3:6][joined]
         scores[:-1][joined] += per_word[1:, 6:][joined]
+        named = key.to_numpy(zero_copy_only=False)[found.codes]
+        if named.any():
+            scores += name_near(named, owner) @ self.field.near
         doubtful = scores[:, 1:].max(1) - scores[:, OUTSIDE] > -self.margin
         at = np.flatnonzero(doubtful)
         if not len(at):
@@ -358,7 +462,7 @@ class Scanner:
                 last = -2
                 for place, tag in tagged[i]:
                     a, b = words[place]
-                    x, y = core(text[a:b])
+                    x, y = secret_part(text[a:b])
                     if tag == INSIDE and place == last + 1:
                         merged[-1][1] = a + y
                     else:
@@ -433,6 +537,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans: a null text has none, repeated rows are scanned one by one, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return digest(scan(docs, fit(docs)))
 
