@@ -57,42 +57,37 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The steps are separate projections so that no array is computed twice.  Repeated
     windows are found by hashing: a text whose window hashes are all distinct, as most
-    are, is done; only the others sort theirs.
+    are, is done; only the others sort theirs.  Columns in between have a prefix that no
+    column of ``docs`` begins with.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_body": body})
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    body, words, lines, hashes, grams, ordered, twice = (f"{mark}{n}" for n in ("body", "words", "lines", "hashes", "grams", "sorted", "twice"))
+    out = docs.withColumns({body: F.coalesce(F.col(text), F.lit(""))})
     out = out.withColumns(
         {
-            "_words": F.array_remove(F.split("_body", SPACES), ""),
-            "_lines": F.filter(F.split("_body", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "n_symbols": F.size(F.regexp_extract_all("_body", F.lit(SYMBOLS), F.lit(0))).cast("long"),
+            words: F.array_remove(F.split(body, SPACES), ""),
+            lines: F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            "n_symbols": F.size(F.regexp_extract_all(body, F.lit(SYMBOLS), F.lit(0))).cast("long"),
         }
     )
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long"),
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+            hashes: F.transform(words, lambda w: F.xxhash64(w)),
         }
     )
-    at = lambda i: [F.get("_hashes", i + k) for k in range(WINDOW)]
-    out = out.withColumns(
-        {"_grams": F.when(F.size("_hashes") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*at(i)))).otherwise(F.array().cast("array<bigint>"))}
-    )
-    out = out.withColumns(
-        {
-            "_sorted": F.when(
-                F.size(F.array_distinct("_grams")) < F.size("_grams"),
-                F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
-            )
-        }
-    )
-    same = lambda x, j: F.coalesce(F.get("_sorted", j)["g"] == x["g"], F.lit(False))
-    out = out.withColumns({"_twice": F.sort_array(F.transform(F.filter("_sorted", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))})
-    covered = F.transform("_twice", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_twice", j + 1) - p, F.lit(WINDOW))))
+    at = lambda i: [F.get(hashes, i + k) for k in range(WINDOW)]
+    out = out.withColumns({grams: F.when(F.size(hashes) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*at(i)))).otherwise(F.array().cast("array<bigint>"))})
+    out = out.withColumns({ordered: F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))))})
+    same = lambda x, j: F.coalesce(F.get(ordered, j)["g"] == x["g"], F.lit(False))
+    out = out.withColumns({twice: F.sort_array(F.transform(F.filter(ordered, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))})
+    covered = F.transform(twice, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(twice, j + 1) - p, F.lit(WINDOW))))
     out = out.withColumns({"n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")})
     out = out.withColumns(
         {
@@ -103,7 +98,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "repeat_word_ratio": _ratio("n_repeat_words", "n_words"),
         }
     )
-    return out.drop("_body", "_words", "_lines", "_hashes", "_grams", "_sorted", "_twice")
+    return out.drop(body, words, lines, hashes, grams, ordered, twice)
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
@@ -120,7 +115,7 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
 
 
 def rate(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every measure, ``base_failed``, ``failed_rules`` (names, comma-joined) and ``kept``."""
+    """``docs`` with every measure, ``base_failed``, ``failed_rules`` (names, comma-joined) and ``kept``; an empty table gives no rows."""
     out = measures(docs, text)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     failed = F.concat_ws(",", *[F.when(~passed, F.lit(name)) for name, passed in compiled(rules).items()])
@@ -129,6 +124,7 @@ def rate(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict; null and empty texts have no words and fail."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rate(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
@@ -155,7 +151,7 @@ m as (
          cast(len(lines) as bigint) as n_lines,
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
          cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
-         len(list_filter(words, lambda x: x in ({stop_words}))) as n_stop
+         len(list_filter(words, lambda x: lower(x) in ({stop_words}))) as n_stop
   from g left join r using (doc_id)),
 v as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
