@@ -14,6 +14,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,11 @@ from . import words as W
 from .shared import batches_out, table
 
 ROUNDS = 8
-#: For tests and examples; pass a secret one in production.
+DIGITS = frozenset("0123456789")
+#: For tests and the registered query only: no function takes it by itself.
 DEMO_KEY = b"driftline demonstration key"
-#: No value has a form without one of these.
-MAY_HOLD = r"@|\d\D{0,3}\d\D{0,3}\d"
+#: No value has a form without one of these.  All digits here and in the forms are 0 to 9.
+MAY_HOLD = r"@|[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]"
 
 
 class Feistel:
@@ -68,13 +70,13 @@ class Feistel:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if c in DIGITS)
 
 
 def _laid(digits: str, form: str) -> str:
     """``digits`` in the places of the form's digits."""
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in form)
+    return "".join(next(rest) if c in DIGITS else c for c in form)
 
 
 def luhn_digit(body: str) -> str:
@@ -90,10 +92,19 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
     return _laid(body + luhn_digit(body), text)
 
 
+_AREAS, _MIDDLES = 1000, 1000
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
+    """Ten digits: an area and an exchange that aren't all zeros, and four more.  A country's code stays."""
     d = _digits(text)
-    body = str(f.permute("phone", 10**10, int(d[-10:]), back)).zfill(10)
-    return _laid(d[:-10] + body, text)
+    area, middle, line = int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+    if not area or not middle or (len(d) > 10 and d[0] == "0"):
+        return None
+    value = f.permute("phone", (_AREAS - 1) * (_MIDDLES - 1) * 10_000, ((area - 1) * (_MIDDLES - 1) + middle - 1) * 10_000 + line, back)
+    value, line = divmod(value, 10_000)
+    area, middle = divmod(value, _MIDDLES - 1)
+    return _laid(f"{d[:-10]}{area + 1:03}{middle + 1:03}{line:04}", text)
 
 
 def _address(f: Feistel, text: str, back: bool) -> str | None:
@@ -120,21 +131,33 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
 
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+#: The days up to a month's twelfth, and those after it.
+_EARLY, _LATE = ([d for d in range(_DAYS) if (datetime.date.fromordinal(_FIRST_DAY + d).day > 12) == late] for late in (False, True))
 
 
 def _date(f: Feistel, text: str, back: bool) -> str | None:
-    sign = next(c for c in text if not c.isdigit())
-    parts = text.split(sign)
-    iso = len(parts[0]) == 4
+    """A day from 1900 to 2099, year first, or day first, or month first where it can't be day first.
+
+    Where day first and month first are both possible a date is read day first.  A pseudonym must
+    be read the same way again, so days after the twelfth are permuted among themselves, in every form.
+    """
+    sign = next(c for c in text if c not in DIGITS)
+    parts = [int(p) for p in text.split(sign)]
+    if text[4] == sign:
+        year, month, day, form = *parts, "{0:04}{s}{1:02}{s}{2:02}"
+    elif parts[1] <= 12:
+        day, month, year, form = *parts, "{2:02}{s}{1:02}{s}{0:04}"
+    else:
+        month, day, year, form = *parts, "{1:02}{s}{2:02}{s}{0:04}"
     try:
-        day = datetime.date(*(int(p) for p in (parts if iso else parts[::-1]))).toordinal() - _FIRST_DAY
+        at = datetime.date(year, month, day).toordinal() - _FIRST_DAY
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    if not 0 <= at < _DAYS:
         return None
-    new = datetime.date.fromordinal(_FIRST_DAY + f.permute("date", _DAYS, day, back))
-    out = [f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"]
-    return sign.join(out if iso else out[::-1])
+    days = _LATE if day > 12 else _EARLY
+    new = datetime.date.fromordinal(_FIRST_DAY + days[f.permute(f"date{day > 12}", len(days), bisect_left(days, at), back)])
+    return form.format(new.year, new.month, new.day, s=sign)
 
 
 def _email(f: Feistel, text: str, back: bool) -> str | None:
@@ -159,10 +182,20 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(n.upper() if c.isupper() else n for n, c in zip(new, whole, strict=True)) + f".{top}"
 
 
+# The length of an account number by country.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+
+
 def _iban(f: Feistel, text: str, back: bool) -> str | None:
     plain = text.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    if not 15 <= len(plain) <= 34 or _IBAN_LENGTHS.get(plain[:2], len(plain)) != len(plain) or number(plain[4:] + plain[:4]) % 97 != 1:
         return None
     body = plain[4:]
     d = _digits(body)
@@ -175,22 +208,34 @@ def _iban(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(rest) for c in text)
 
 
+def _shorter(text: str) -> list[str]:
+    """An account number of its country's length where a word of capitals or digits follows it."""
+    n = _IBAN_LENGTHS.get(text[:2], 0)
+    while " " in text:
+        text = text.rpartition(" ")[0]
+        if len(text) - text.count(" ") == n:
+            return [text]
+    return []
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
     form: re.Pattern[str]
     change: Callable[[Feistel, str, bool], str | None]
+    #: Shorter values to try where a value of this form fails its rule.
+    shorter: Callable[[str], list[str]] = lambda text: []
 
 
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 KINDS = (
     Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
-    Kind("iban", re.compile(rf"{_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{_AFTER}"), _iban),
-    Kind("ip", re.compile(r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)"), _address),
-    Kind("date", re.compile(rf"{_BEFORE}(?:\d{{4}}([-/.])\d{{2}}\1\d{{2}}|\d{{2}}([-/.])\d{{2}}\2\d{{4}}){_AFTER}"), _date),
-    Kind("ssn", re.compile(rf"(?<![A-Za-z0-9-])\d{{3}}-\d{{2}}-\d{{4}}(?![A-Za-z0-9-])"), _ssn),
-    Kind("card", re.compile(rf"{_BEFORE}(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\1\d{{4}}\1\d{{1,7}}|\d{{4}}([ -])\d{{6}}\2\d{{5}}){_AFTER}"), _card),
-    Kind("phone", re.compile(rf"(?<![A-Za-z0-9+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_AFTER}"), _phone),
+    Kind("iban", re.compile(rf"{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{_AFTER}"), _iban, _shorter),
+    Kind("ip", re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"), _address),
+    Kind("date", re.compile(rf"{_BEFORE}(?:[0-9]{{4}}([-/.])[0-9]{{2}}\1[0-9]{{2}}|[0-9]{{2}}([-/.])[0-9]{{2}}\2[0-9]{{4}}){_AFTER}"), _date),
+    Kind("ssn", re.compile(rf"(?<![A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![A-Za-z0-9-])"), _ssn),
+    Kind("card", re.compile(rf"{_BEFORE}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}|[0-9]{{4}}([ -])[0-9]{{6}}\2[0-9]{{5}}){_AFTER}"), _card),
+    Kind("phone", re.compile(rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_AFTER}"), _phone),
 )
 
 
@@ -199,9 +244,11 @@ def found(f: Feistel, text: str, back: bool = False) -> list[tuple[int, int, str
     hits = []
     for rank, kind in enumerate(KINDS):
         for m in kind.form.finditer(text):
-            new = kind.change(f, m[0], back)
-            if new is not None:
-                hits.append((m.start(), -m.end(), rank, new))
+            for value in (m[0], *kind.shorter(m[0])):
+                new = kind.change(f, value, back)
+                if new is not None:
+                    hits.append((m.start(), -m.start() - len(value), rank, new))
+                    break
     out, end = [], 0
     for start, minus_end, rank, new in sorted(hits):
         if start >= end:
@@ -218,7 +265,7 @@ def replaced(text: str, hits: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def recover(text: str, key: bytes = DEMO_KEY) -> str:
+def recover(text: str, key: bytes) -> str:
     """The text before ``pseudonymise`` with the same key."""
     return replaced(text, found(Feistel(key), text, back=True))
 
@@ -226,8 +273,12 @@ def recover(text: str, key: bytes = DEMO_KEY) -> str:
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """id, text with pseudonyms, and the (kind, start, end) of the values in the old text, for every row; a null text stays null."""
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """id, text with pseudonyms, and the (kind, start, end) of the values in the old text, for every row; a null text stays null.
+
+    The key is the caller's to keep: who has it can undo the pseudonyms.  Repeated rows and null
+    ids are rows like others, an empty table gives no rows, other columns are left.
+    """
     out = T.StructType([docs.schema[id_column], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -246,6 +297,8 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", id_
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(table(spark, sf_dir, "documents"))
+    """Every document with pseudonyms under the session's ``spark.driftline.pii.key``, or the demonstration key where it is unset, and counts by kind."""
+    key = spark.conf.get("spark.driftline.pii.key", None)
+    done = pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else DEMO_KEY)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_found"), *[count(k.name).alias(f"n_{k.name}") for k in KINDS])
