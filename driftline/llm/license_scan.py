@@ -4,8 +4,9 @@ The automaton holds every run of words of every template.  Words of a text are s
 it, which gives at each word the longest run ending there that some template contains (the
 matching statistics).  Maximal runs of ``LEAST_RUN`` words or more are chained, in order, within
 one template, across gaps of at most ``MOST_GAP`` words on either side; a chain that covers
-``LEAST_COVER`` of its template is a span with the template's label.  Of chains with one label
-that overlap the best is emitted; all others are, wherever they are in the text.
+``LEAST_COVER`` of its template is a span with the template's label.  Of chains that overlap, in
+licenses that share their words, the one with the most words is emitted; all others are, wherever
+they are in the text.
 
 A text's words that no template has can't be part of a run, so only stretches of known words
 that are long enough pass through the automaton.
@@ -36,17 +37,52 @@ BASE_SCORE = 0.5
 # Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Notices of public licenses.
+# Notices and texts of public licenses.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, what: str, version: str) -> str:
+    return (
+        f"{what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later version. {what} is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        f"the {name} for more details."
+    )
+
+
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
-    (
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.",
-    ),
+    ("mit", _MIT_GRANT),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     (
         "apache",
@@ -55,27 +91,43 @@ TEMPLATES = (
         "writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either "
         "express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
     (
-        "gpl",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
-        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-        "PURPOSE. See the GNU General Public License for more details.",
-    ),
-    (
-        "bsd",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
-        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution.",
+        "apache",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+        "no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, "
+        "sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", _gnu("GNU General Public License", "This program", "3")),
+    ("gpl", _gnu("GNU General Public License", "This program", "2")),
+    ("lgpl", _gnu("GNU Lesser General Public License", "This library", "2.1")),
+    ("lgpl", _gnu("GNU Lesser General Public License", "This program", "3")),
+    ("agpl", _gnu("GNU Affero General Public License", "This program", "3")),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("bsd", _BSD_TWO),
+    ("bsd-2-clause", f"{_BSD_TWO} {_BSD_WARRANTY}"),
+    ("bsd-3-clause", f"{_BSD_TWO} {_BSD_THIRD}"),
+    ("bsd-3-clause", f"{_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     (
         "isc",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely.",
+    ),
 )
 
 
@@ -161,7 +213,7 @@ class Automaton:
         return [(i + 1, n, s) for i, ((n, s), (after, _)) in enumerate(zip(seen, seen[1:], strict=False)) if n >= least and after <= n]
 
     def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, words covered, share of the template) of the chains that cover enough; of those of a label that overlap, the best."""
+        """(label, start, end, words covered, share of the template) of the chains that cover enough; of those that overlap, the one with the most words."""
         by_template: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for end, n, s in runs:
             for template, at in self.states[s].ends:
@@ -184,17 +236,16 @@ class Automaton:
                 share = min(1.0, covered / self.lengths[template])
                 if share >= LEAST_COVER:
                     found[self.labels[template]].append((self.labels[template], first, end, covered, share))
-        kept = []
-        for spans in found.values():
-            # chosen spans don't overlap, so the nearest on either side decide
-            starts: list[int] = []
-            ends: list[int] = []
-            for span in sorted(spans, key=lambda s: (-s[4], -s[3])):
-                at = bisect_left(starts, span[2])
-                if not at or ends[at - 1] <= span[1]:
-                    starts.insert(at, span[1])
-                    ends.insert(at, span[2])
-                    kept.append(span)
+        kept: list[tuple[str, int, int, int, float]] = []
+        # chosen spans don't overlap, so the nearest on either side decide
+        starts: list[int] = []
+        ends: list[int] = []
+        for span in sorted((x for spans in found.values() for x in spans), key=lambda s: (-s[3], -s[4], s[0])):
+            at = bisect_left(starts, span[2])
+            if not at or ends[at - 1] <= span[1]:
+                starts.insert(at, span[1])
+                ends.insert(at, span[2])
+                kept.append(span)
         return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
@@ -286,4 +337,5 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places and labels: a null text is empty, repeated rows are scanned one by one, an empty table gives no rows."""
     return digest(scan(table(spark, sf_dir, "documents")))
