@@ -31,6 +31,8 @@ SAMPLE_ROWS = 12_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
+#: As if so many rows more had been seen, one of them toxic: a few labels don't condemn every text.
+PRIOR_ROWS = 20
 #: The score where there is nothing to learn from.
 NO_PRIOR = 1e-6
 
@@ -76,8 +78,8 @@ def fit(rows: Iterator[tuple[np.ndarray, int]], bits: int = BITS) -> Iterator[tu
     """FTRL-proximal with a rate of its own for each coordinate; yields (place, weight), and (-1, bias) first."""
     rows = list(rows)
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    share = sum(y for _, y in rows) / len(rows) if rows else NO_PRIOR
-    bias, seen = float(np.log(np.clip(share, NO_PRIOR, 0.5) / (1 - np.clip(share, NO_PRIOR, 0.5)))), 1.0
+    share = (sum(y for _, y in rows) + 1) / (len(rows) + PRIOR_ROWS) if rows else NO_PRIOR
+    bias, seen = float(np.log(min(share, 0.5) / (1 - min(share, 0.5)))), 1.0
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
@@ -168,7 +170,10 @@ def predict(docs: DataFrame, weights: Weights, text: str = "text", key: str = "d
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose whole text scores under the threshold; columns as they are."""
+    """The rows of ``docs`` whose whole text scores under the threshold; columns as they are.
+
+    Null and empty texts score as the prior does and stay; without labels all rows stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
@@ -182,5 +187,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; ``train`` and ``predict`` state null labels, texts and keys, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs, table(spark, sf_dir, "labels")))

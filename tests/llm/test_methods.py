@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tables import TESTDATA, duck, same_rows
 
-from driftline.llm import chat_tree, decontamination, license_scan, packing, pii, registry, secret_scan, token_counts, toxicity
+from driftline.llm import chat_tree, decontamination, license_scan, packing, pii, quality_rules, registry, secret_scan, token_counts, toxicity
 from driftline.llm.components import components
 from driftline.llm.word_bpe import WordBpe
 
@@ -364,6 +364,24 @@ def test_toxicity_learns_words_and_ignores_held_out_rows(spark):
     assert toxicity.clean(docs.drop("toxic"), docs).count() == 480
 
 
+def test_the_query_tells_held_out_rows(spark):
+    """On the test table: scores of all rows, learned without the held out labels, which they rank well."""
+    sf = f"{TESTDATA}/sf0.01"
+    got = registry.queries()["op6_toxicity"](spark, sf).toPandas().set_index("doc_id")
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id"]).column(0).to_pylist()
+    assert sorted(got.index) == sorted(docs)
+    assert got["score"].between(0, 1).all()
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.index]).all()
+    marks = pq.read_table(f"{sf}/labels.parquet").to_pandas().set_index("doc_id")["toxic"]
+    both = got[got["held_out"]].join(marks, how="inner")
+    bad, good = both[both["toxic"] == 1]["score"].to_numpy(), both[both["toxic"] == 0]["score"].to_numpy()
+    assert np.mean([(b > good).mean() for b in bad]) > 0.8
+    assert (good >= 0.3).mean() < 0.02
+
+
 def brute_components(rows):
     sets = {}
     for i, text in rows:
@@ -448,7 +466,7 @@ def test_pseudonyms_permute_and_return():
     hits = pii.found(pii.Feistel(pii.DEMO_KEY), text)
     assert [k for _, _, k, _ in hits] == ["phone", "card", "card", "date", "date", "ssn", "iban", "email", "ip"]
     new = pii.replaced(text, hits)
-    assert pii.recover(new) == text
+    assert pii.recover(new, pii.DEMO_KEY) == text
     cards = re.findall(r"\d{16}", hits[1][3].replace(" ", "") + " " + hits[2][3])
     assert cards[0] == cards[1]
     assert "10.0.0.256" in new
@@ -456,6 +474,54 @@ def test_pseudonyms_permute_and_return():
     assert [re.sub(r"\d", "0", n) for _, _, k, n in hits if k in ("phone", "date")] == ["+0 (000) 000-0000", "0000-00-00", "00/00/0000"]
 
 
+def test_values_are_validated_and_found_whole():
+    f = pii.Feistel(b"another key")
+    kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.found(f, t)]
+    assert kinds("000 000 0000 and 000-555-1234 and 555-000-1234") == []
+    assert kinds("12/31/1999 31/12/1999 1999-12-31 13/13/1999 0012-01-05") == [("date", "12/31/1999"), ("date", "31/12/1999"), ("date", "1999-12-31")]
+    one, two, three = (new for _, _, _, new in pii.found(f, "12/31/1999 31/12/1999 1999-12-31"))
+    m, d, y = one.split("/")
+    assert (two, three) == (f"{d}/{m}/{y}", f"{y}-{m}-{d}")
+    assert kinds("AT61 1904 3002 3457 3201 EUR and AT611904300234573201 EUR") == [("iban", "AT61 1904 3002 3457 3201"), ("iban", "AT611904300234573201")]
+    arabic = "".join(chr(0x660 + int(c)) for c in "4111111111111111")
+    assert kinds(f"{arabic} 12 {arabic[:3]}-{arabic[:2]}-{arabic[:4]} 4111111111111111") == [("card", "4111111111111111")]
+    r = random.Random(2)
+    for _ in range(2000):
+        day = f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+        y, m, d = day.split("-")
+        for text in (day, f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"({r.randint(1, 999):03}) {r.randint(1, 999):03}-{r.randint(0, 9999):04}"):
+            hits = pii.found(f, text)
+            assert len(hits) == 1
+            assert pii.recover(pii.replaced(text, hits), b"another key") == text
+
+
+def test_the_pii_query_equals_the_method(spark):
+    got = registry.queries()["op9_pii"](spark, SF).toPandas().set_index("doc_id")
+    f = pii.Feistel(pii.DEMO_KEY)
+    for d in documents(spark).itertuples():
+        hits = pii.found(f, d.text or "")
+        assert got.loc[d.doc_id, "text"] == pii.replaced(d.text, hits)
+        assert got.loc[d.doc_id, "n_found"] == len(hits)
+        assert pii.recover(got.loc[d.doc_id, "text"], pii.DEMO_KEY) == d.text
+
+
+def test_licenses_that_share_words_have_one_label():
+    automaton = license_scan.Automaton()
+    for label, text in license_scan.TEMPLATES:
+        words = license_scan.words_of(f"first some other words {text} and the rest")
+        spans = automaton.spans(automaton.runs([automaton.number.get(w, 0) for w in words]))
+        assert [s[0] for s in spans] == [label], (label, spans)
+        assert spans[0][4] == 1
+
+
+def test_columns_that_clash_stay_and_stop_words_have_any_case(spark):
+    names = ["_body", "_words", "_lines", "_hashes", "_grams", "_sorted", "_twice", "__x"]
+    docs = spark.createDataFrame([(1, "The Of And other words that are long enough for it", *names)], ["doc_id", "text", *names])
+    got = quality_rules.rate(docs).first()
+    assert [got[n] for n in names] == names
+    assert got["n_stop_words"] == 7
+
+
 def test_shared_turns_are_emitted_once(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {'all' if t < 3 else c}") for c in range(40) for t in range(5)]
     packed = chat_tree.sequences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()

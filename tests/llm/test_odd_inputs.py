@@ -22,7 +22,7 @@ CASES = {
     "toxicity": lambda s, d: toxicity.predict(d, toxicity.train(d, labels(s))),
     "near": lambda s, d: near_dedup.near_duplicates(d),
     "quality": lambda s, d: quality_rules.rate(d),
-    "pii": lambda s, d: pii.pseudonymise(d),
+    "pii": lambda s, d: pii.pseudonymise(d, pii.DEMO_KEY),
 }
 
 
@@ -34,6 +34,14 @@ def test_a_row_for_each_row(spark, odd_docs, no_docs, name):
     assert CASES[name](spark, no_docs).count() == 0
 
 
+def test_cleaning_takes_every_row(spark, odd_docs, no_docs):
+    left = toxicity.clean(odd_docs, labels(spark))
+    assert left.columns == odd_docs.columns
+    assert left.count() == 12
+    assert toxicity.clean(no_docs, labels(spark)).count() == 0
+    assert toxicity.clean(odd_docs, labels(spark).limit(0)).count() == 12
+
+
 def test_packing_takes_every_row(spark, odd_docs, no_docs):
     got = packing.digest(odd_docs).toPandas()
     first = got[got["piece"] == 0]
