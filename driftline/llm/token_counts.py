@@ -12,15 +12,19 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii
 from . import words as W
-from .shared import batches_out, table
+from .shared import batches_out, cut, table
 
 #: Pre-tokens in a leaf when a tree is built.
 LEAF = 32
@@ -57,52 +61,98 @@ class Counter:
 
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
+        try:
+            return list(map(known.__getitem__, pieces))
+        except KeyError:
+            pass
         if len(known) > CACHE_PIECES:
             known.clear()
-        new = {p for p in set(pieces) if p not in known}
         passing = {}
-        for p in new:
+        for p in set(pieces).difference(known):
             n = len(self.coding.encode_ordinary(p))
             if len(p) <= CACHE_CHARS:
                 known[p] = n
             else:
                 passing[p] = n
-        if passing:
-            return [passing[p] if p in passing else known[p] for p in pieces]
-        return list(map(known.__getitem__, pieces))
+        return [passing[p] if p in passing else known[p] for p in pieces]
+
+
+@dataclass
+class Leaf:
+    """Sums of a run of pre-tokens, and the pre-tokens where they have been needed; ``start`` is their place in the text as it was kept."""
+
+    tokens: int
+    chars: int
+    pieces: list[str] | None = None
+    counts: list[int] | None = None
+    start: int = 0
+
+
+def leaf_sums(values: list[int]) -> np.ndarray:
+    """Sums over runs of ``LEAF``."""
+    return np.add.reduceat(np.array(values, np.int64), np.arange(0, len(values), LEAF)) if values else np.zeros(0, np.int64)
 
 
 class Tree:
     """A document's pre-tokens in leaves, under sums of their tokens and characters."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        self._build(counter.pattern(text).findall(text))
-
-    def _build(self, pieces: list[str], counts: list[int] | None = None) -> None:
-        counts = self.counter.counts(pieces) if counts is None else counts
-        n = max(1, -(-len(pieces) // LEAF))
-        self.width = 1 << (n - 1).bit_length()
-        self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
+    def __init__(self, text: str, counter: Counter, kept: tuple[list[int], list[int]] | None = None):
+        """From a text; ``kept`` are its leaves' (tokens, characters), whose pre-tokens are then read only where an edit comes near."""
+        self.counter, self.kept_text = counter, text
+        #: pre-tokens read from kept leaves, and by how many edits have made them more
+        self.loaded = self.grown = 0
+        if kept is None:
+            pieces = counter.pattern(text).findall(text)
+            self.leaves = self._cut(pieces, counter.counts(pieces))
+        else:
+            starts = np.cumsum([0, *kept[1]]).tolist()
+            self.leaves = [Leaf(t, c, start=at) for t, c, at in zip(*kept, starts, strict=False)] or [Leaf(0, 0, [], [])]
+        self._sum()
+
+    @staticmethod
+    def _cut(pieces: list[str], counts: list[int]) -> list[Leaf]:
+        parts = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
+        return [Leaf(sum(c), sum(map(len, p)), p, c) for p, c in parts]
+
+    def _sum(self) -> None:
+        self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.tokens = [0] * (2 * self.width)
         self.chars = [0] * (2 * self.width)
-        for i, (p, c) in enumerate(self.leaves):
-            self.tokens[self.width + i], self.chars[self.width + i] = sum(c), sum(map(len, p))
+        for i, leaf in enumerate(self.leaves):
+            self.tokens[self.width + i], self.chars[self.width + i] = leaf.tokens, leaf.chars
         for i in range(self.width - 1, 0, -1):
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
 
+    def _at(self, i: int) -> tuple[list[str], list[int]]:
+        """A leaf's pre-tokens and their counts.  The pattern runs on in the kept text, as what follows decides where white space is cut."""
+        leaf = self.leaves[i]
+        if leaf.pieces is None:
+            leaf.pieces, end = [], leaf.start + leaf.chars
+            for m in self.counter.pattern(self.kept_text[leaf.start : end + 1]).finditer(self.kept_text, leaf.start):
+                leaf.pieces.append(m[0])
+                if m.end() >= end:
+                    break
+            leaf.counts = self.counter.counts(leaf.pieces)
+            self.loaded += len(leaf.pieces)
+        return leaf.pieces, leaf.counts or []
+
     @property
     def total(self) -> int:
         return self.tokens[1]
 
     def text(self) -> str:
-        return "".join(p for leaf, _ in self.leaves for p in leaf)
+        return "".join(p for i in range(len(self.leaves)) for p in self._at(i)[0])
+
+    def sums(self) -> tuple[list[int], list[int]]:
+        """(tokens, characters) of the leaves that hold any: what is kept of the tree."""
+        held = [leaf for leaf in self.leaves if leaf.chars]
+        return [leaf.tokens for leaf in held], [leaf.chars for leaf in held]
 
-    def _set(self, leaf: int, pieces: list[str], counts: list[int]) -> None:
-        self.leaves[leaf] = (pieces, counts)
-        at = self.width + leaf
-        self.tokens[at], self.chars[at] = sum(counts), sum(map(len, pieces))
+    def _set(self, i: int, pieces: list[str], counts: list[int]) -> None:
+        self.leaves[i] = Leaf(sum(counts), sum(map(len, pieces)), pieces, counts)
+        at = self.width + i
+        self.tokens[at], self.chars[at] = self.leaves[i].tokens, self.leaves[i].chars
         while at > 1:
             at //= 2
             self.tokens[at] = self.tokens[2 * at] + self.tokens[2 * at + 1]
@@ -125,14 +175,14 @@ class Tree:
         first, before = self._leaf_at(max(0, start - 2))
         leaf, pieces = first, []
         kept, at = 0, before
-        own = self.leaves[first][0]
+        own, own_counts = self._at(first)
         while kept < len(own) and at + len(own[kept]) <= start - 2:
             at += len(own[kept])
             kept += 1
         shift = len(new) - (end - start)
         origin = at
         old: list[str] = own[kept:]
-        old_counts: list[int] = self.leaves[first][1][kept:]
+        old_counts: list[int] = own_counts[kept:]
         while True:
             more = leaf + 1 < len(self.leaves)
             window = "".join(old)
@@ -161,15 +211,16 @@ class Tree:
                     joined = len(old)
                     break
             leaf += 1
-            old = old + self.leaves[leaf][0]
-            old_counts = old_counts + self.leaves[leaf][1]
+            old = old + self._at(leaf)[0]
+            old_counts = old_counts + self._at(leaf)[1]
         counts = self.counter.counts(pieces)
-        head, head_counts = own[:kept], self.leaves[first][1][:kept]
-        self._set(first, head + pieces + old[joined:], head_counts + counts + old_counts[joined:])
+        self.grown += len(pieces) - joined
+        self._set(first, own[:kept] + pieces + old[joined:], own_counts[:kept] + counts + old_counts[joined:])
         for i in range(first + 1, leaf + 1):
             self._set(i, [], [])
-        if len(self.leaves[first][0]) > 8 * LEAF:
-            self._build([p for leaf, _ in self.leaves for p in leaf], [c for _, cs in self.leaves for c in cs])
+        if len(self.leaves[first].pieces or []) > 8 * LEAF:
+            self.leaves[first : first + 1] = self._cut(*self._at(first))
+            self._sum()
         return len(pieces)
 
 
@@ -187,31 +238,118 @@ def redactions(text: str) -> list[Edit]:
 _SIGNS = pii.Feistel(pii.DEMO_KEY)
 
 
-def recount(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """key, n_tokens, and after the edits n_tokens_edited; n_edits, and n_reencoded pre-tokens, of n_pieces.
+_TREE = (T.StructField("checksum", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("leaf_chars", T.ArrayType(T.IntegerType())))
+_EDIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def checksum(text: str) -> int:
+    """64 bits that tell the texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
-    ``edits`` gives (start, end, replacement) in the old text, sorted and without overlap; they are
-    made from the last to the first.  A null text counts as empty, with no tokens.
+
+def trees(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """The trees of all rows as a table: key, checksum of the text, n_pieces, n_tokens, and tokens and characters of the leaves.
+
+    A null text counts as empty, with no tokens.  Repeated rows and null keys are rows like others.
     """
     where = path or vocabulary_path()
-    out = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pieces", "n_edits", "n_reencoded", "n_tokens_edited"))])
+    out = T.StructType([docs.schema[key], *_TREE])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         counter = Counter(where)
         for whole in batches:
             for batch in W.chunks(whole):
                 for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    tree = Tree(body or "", counter)
-                    before, pieces = tree.total, sum(len(p) for p, _ in tree.leaves)
-                    wanted = edits(body) if body else []
-                    again = sum(tree.edit(*e) for e in reversed(wanted))
-                    yield k, before, pieces, len(wanted), again, tree.total
+                    body = body or ""
+                    pieces = counter.pattern(body).findall(body)
+                    tokens = leaf_sums(counter.counts(pieces))
+                    yield k, checksum(body), len(pieces), int(tokens.sum()), tokens, leaf_sums(list(map(len, pieces)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_out(rows(batches), out)
+        return batches_out(rows(batches), out, lambda r: 8 * len(r[4]))
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, out)
 
 
+def edits_of(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A table of edits: key, text and edits (start, end, text) of the rows that have any."""
+    out = T.StructType([docs.schema[key], T.StructField("text", T.StringType()), T.StructField("edits", T.ArrayType(_EDIT))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for batch in W.chunks(whole):
+                may = pc.match_substring_regex(W.plain(batch.column(1)), pii.MAY_HOLD).to_numpy(zero_copy_only=False) if edits is redactions else np.ones(batch.num_rows, bool)
+                for i in np.flatnonzero(may).tolist():
+                    body = batch.column(1)[i].as_py()
+                    if body and (found := edits(body)):
+                        yield batch.column(0)[i].as_py(), body, [{"start": a, "end": b, "text": t} for a, b, t in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_out(rows(batches), out, lambda r: len(r[1]))
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, out)
+
+
+def _with_checksum(rows: DataFrame) -> DataFrame:
+    """``rows`` with the checksum of ``text``."""
+    out = T.StructType([*rows.schema.fields, T.StructField("checksum", T.LongType())])
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([checksum(t or "") for t in batch.column(at).to_pylist()], pa.int64())], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def edited(edits: DataFrame, kept: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """The kept trees of edited documents after their edits: key, the old checksum as ``was``, the new text, its tree's columns, n_edits and n_reencoded.
+
+    ``edits`` has key, text and edits: (start, end, replacement) in the old text, sorted and
+    without overlap, made from the last to the first.  ``kept`` is a table of ``trees``; only rows
+    that edits name, by key and checksum, are read into trees.  Rows that repeat key and text give
+    one row.
+    """
+    where = path or vocabulary_path()
+    out = T.StructType([edits.schema[key], T.StructField("was", T.LongType()), T.StructField("text", T.StringType()), *_TREE, T.StructField("n_edits", T.LongType()), T.StructField("n_reencoded", T.LongType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        counter = Counter(where)
+        for batch in batches:
+            for k, body, wanted, was, pieces, tokens, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = Tree(body, counter, (tokens, chars))
+                parts, at = [], 0
+                for e in wanted:
+                    parts += [body[at : e["start"]], e["text"]]
+                    at = e["end"]
+                now = "".join([*parts, body[at:]])
+                new = sum(tree.edit(e["start"], e["end"], e["text"]) for e in reversed(wanted))
+                yield k, was, now, checksum(now), pieces + tree.grown, tree.total, *tree.sums(), len(wanted), new + tree.loaded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_out(rows(batches), out, lambda r: len(r[2]))
+
+    named = _with_checksum(edits.select(key, "text", "edits")).dropDuplicates([key, "checksum"])
+    once = kept.select(F.col(key).alias("_key"), F.col("checksum").alias("_checksum"), "n_pieces", "leaf_tokens", "leaf_chars").dropDuplicates(["_key", "_checksum"])
+    met = named.join(once, named[key].eqNullSafe(once["_key"]) & (named["checksum"] == once["_checksum"]))
+    return met.select(key, "text", "edits", "checksum", "n_pieces", "leaf_tokens", "leaf_chars").mapInArrow(run, out)
+
+
+def recount(docs: DataFrame, edits: DataFrame | None = None, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """key, n_tokens, n_pieces, n_edits, n_reencoded and n_tokens_edited for every row of ``docs``.
+
+    The trees of all rows are written once; then the edits (those of ``edits_of`` if none are
+    given) are made on the trees of the documents they name.  An empty table gives no rows, other
+    columns are left.
+    """
+    kept = cut(trees(docs, text, key, path), "trees")
+    wanted = cut(edits_of(docs, text=text, key=key) if edits is None else edits, "edits")
+    done = edited(wanted, kept, key, path).select(F.col(key).alias("_key"), "was", "n_edits", "n_reencoded", F.col("n_tokens").alias("n_tokens_edited"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    met = kept.join(done, kept[key].eqNullSafe(done["_key"]) & (kept["checksum"] == done["was"]), "left")
+    return met.select(key, "n_tokens", "n_pieces", zero("n_edits"), zero("n_reencoded"), F.coalesce("n_tokens_edited", "n_tokens").alias("n_tokens_edited"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens before and after its personal values are named; ``trees`` and ``recount`` state nulls, repeats and empty tables."""
     return recount(table(spark, sf_dir, "documents"))

@@ -88,9 +88,73 @@ def test_edited_counts_equal_counting_again():
             assert tree.total == len(counter.coding.encode_ordinary(text))
 
 
+def test_kept_trees_take_edits_as_whole_texts_do():
+    counter, r = token_counts.Counter(token_counts.vocabulary_path()), random.Random(6)
+    letters = " \n\t\t  abc'sre ve12ll,.!é　日 x'"
+    some = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for _ in range(300):
+        text = some(r.randint(0, 600))
+        kept = token_counts.Tree(text, counter).sums()
+        places = sorted(r.randint(0, len(text)) for _ in range(8))
+        edits = [(a, b, some(r.choice([0, 1, 2, 8, 300]))) for a, b in zip(places[::2], places[1::2], strict=True) if b - a < 40]
+        tree = token_counts.Tree(text, counter, kept)
+        new, at = [], 0
+        for a, b, t in edits:
+            new += [text[at:a], t]
+            at = b
+        new = "".join([*new, text[at:]])
+        for e in reversed(edits):
+            tree.edit(*e)
+        assert tree.total == len(counter.coding.encode_ordinary(new))
+        again = token_counts.Tree(new, counter, tree.sums())
+        again.edit(0, 0, "x")
+        assert again.total == len(counter.coding.encode_ordinary("x" + new))
+        assert tree.text() == new
+
+
 def test_an_edit_in_a_long_text_encodes_little_again():
-    tree = token_counts.Tree("some words in a row. " * 5000, token_counts.Counter(token_counts.vocabulary_path()))
+    counter = token_counts.Counter(token_counts.vocabulary_path())
+    text = "some words in a row. " * 5000
+    tree = token_counts.Tree(text, counter)
     assert tree.edit(50_000, 50_003, "other") < 20
+    kept = token_counts.Tree(text, counter, token_counts.Tree(text, counter).sums())
+    assert kept.edit(50_000, 50_003, "other") + kept.loaded < 3 * token_counts.LEAF
+
+
+def test_the_counts_query_equals_whole_encoding(spark):
+    coding = token_counts.Counter(token_counts.vocabulary_path()).coding
+    got = registry.queries()["op2_token_counts"](spark, SF).toPandas().set_index("doc_id")
+    docs = documents(spark)
+    assert sorted(got.index) == sorted(docs["doc_id"])
+    for d in docs.itertuples():
+        x, edits = got.loc[d.doc_id], token_counts.redactions(d.text)
+        new = d.text
+        for a, b, t in reversed(edits):
+            new = new[:a] + t + new[b:]
+        assert (x.n_tokens, x.n_edits, x.n_tokens_edited) == (len(coding.encode_ordinary(d.text)), len(edits), len(coding.encode_ordinary(new)))
+        assert x.n_reencoded <= len(edits) * 4 * token_counts.LEAF
+    assert got["n_edits"].sum() > 0
+    long = got[(got["n_edits"] > 0) & (got["n_pieces"] > 3000)]
+    assert (long["n_reencoded"] < long["n_pieces"] / 4).all()
+
+
+def test_edits_follow_edits_on_kept_trees(spark):
+    counter = token_counts.Counter(token_counts.vocabulary_path())
+    docs = spark.createDataFrame([(1, "one two three " * 40), (2, "left alone"), (None, "no id " * 20), (1, "the same id")], "doc_id long, text string")
+    kept = token_counts.trees(docs)
+    first = spark.createDataFrame([(1, "one two three " * 40, [(0, 3, "1"), (8, 13, "")]), (None, "no id " * 20, [(0, 0, "x")]), (7, "nobody", [(0, 1, "")])], "doc_id long, text string, edits array<struct<start: long, end: long, text: string>>")
+    once = token_counts.edited(first, kept)
+    rows = {r["doc_id"]: r for r in once.collect()}
+    assert set(rows) == {1, None}
+    assert rows[1]["text"] == "1 two " + " " + "one two three " * 39
+    second = once.filter("doc_id = 1").selectExpr("doc_id", "text", "array(struct(2L as start, 5L as end, 'deux' as text)) as edits")
+    twice = token_counts.edited(second, once.select(*kept.columns)).first()
+    assert twice["text"] == "1 deux " + " " + "one two three " * 39
+    for r in (*rows.values(), twice):
+        assert r["n_tokens"] == len(counter.coding.encode_ordinary(r["text"]))
+        assert r["n_pieces"] == len(counter.pattern(r["text"]).findall(r["text"]))
+        assert sum(r["leaf_tokens"]) == r["n_tokens"]
+        assert sum(r["leaf_chars"]) == len(r["text"])
 
 
 @pytest.fixture(scope="module")
