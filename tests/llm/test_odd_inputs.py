@@ -71,12 +71,13 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs):
 
 
 def test_chats_of_odd_rows(spark):
-    rows = [(1, None, None, None), (1, 0, "user", "<|im_end|>\\n"), (1, 0, "user", "<|im_end|>\\n"), (None, 1, "assistant", ""), (2, 0, "a\nb\\", "<"), (2, 1, "assistant", "|x")]
+    rows = [(1, None, None, None), (1, 0, "user", "<|im_end|>\\n"), (1, 0, "user", "<|im_end|>\\n"), (None, 1, "assistant", ""), (None, 0, "user", "x"), (2, 0, "a\nb\\", "<"), (2, 1, "assistant", "|x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "'x' as ids")
     got = chat_tree.digest(chat_tree.sequences(turns)).toPandas().set_index("conv_id")
     assert got["n_turns"].to_dict()[1] == 3
     assert got.loc[2, "loss_chars"] == 2
-    assert len(got) == 3
+    assert len(got) == 4
+    assert got[got.index.isna()]["n_turns"].tolist() == [1, 1]
     assert chat_tree.digest(chat_tree.sequences(turns.limit(0))).count() == 0
 
 
