@@ -17,6 +17,7 @@ import random
 import re
 import string
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -40,6 +41,8 @@ MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f
 
 SAMPLE_ROWS = 300
 GENERATED = 1000
+#: Of a sampled text: stretches, and characters of a stretch.
+MOST_STRETCHES, MOST_CHARS = 20, 4000
 #: Words between which a telling name counts.
 REACH = 3
 ROUNDS, RATE, DECAY = 100, 0.1, 1e-3
@@ -358,29 +361,54 @@ def generated(n: int = GENERATED, seed: int = 7) -> list[tuple[list[str], list[i
 
 
 def labelled(texts: list[str], around: int = 24) -> list[tuple[list[str], list[int]]]:
-    """Stretches of words of whole texts, labelled by the fixed patterns: those with matches, and one more of each text, chosen by its checksum."""
+    """Stretches of words of whole texts, labelled by the fixed patterns: those with matches, and one more of each text, chosen by its checksum.
+
+    Of a text's stretches the first ``MOST_STRETCHES`` that hold no more than ``MOST_CHARS`` characters are taken.
+    """
     out = []
     for text in texts:
         marks = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [(a, b) for k, a, b in base_spans(text) if k != "assign"]
+        marks.sort()
+        ends = np.maximum.accumulate([b for _, b in marks]).tolist()
         words, tags = [], []
         for m in _WORD.finditer(text):
             words.append(m[0])
-            hit = any(a < m.end() and m.start() < b for a, b in marks)
+            # the last mark that begins before the word's end, and the farthest end up to it
+            at = bisect_left(marks, (m.end(), 0))
+            hit = at > 0 and ends[at - 1] > m.start()
             tags.append((INSIDE if tags and tags[-1] != OUTSIDE else BEGIN) if hit else OUTSIDE)
         more = around * (zlib.crc32(text.encode()) % max(1, -(-len(words) // around)))
+        taken = 0
         for at in range(0, len(words), around):
-            if any(tags[at : at + around]) or at == more:
-                out.append((words[at : at + around], tags[at : at + around]))
+            part = words[at : at + around]
+            if taken < MOST_STRETCHES and (any(tags[at : at + around]) or at == more) and sum(map(len, part)) <= MOST_CHARS:
+                out.append((part, tags[at : at + around]))
+                taken += 1
     return out
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Field:
-    """A field from generated lines and the ``sample_rows`` texts with the smallest hash of their id."""
+    """A field from generated lines and the ``sample_rows`` texts with the smallest hash of their id.
+
+    The texts are cut into stretches on the workers; a bounded number of bounded size reaches the driver.
+    """
     order = F.xxhash64("k")
     ids = docs.select(F.col(key).alias("k")).filter("k is not null").distinct().orderBy(order, "k").limit(sample_rows)
     # at most sample_rows ids
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(ids), "k").groupBy("k").agg(F.min("t").alias("t")).orderBy(order, "k")
-    return train(generated() + labelled([r["t"] for r in chosen.select("t").collect()]))
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(ids), "k").groupBy("k").agg(F.min("t").alias("t"))
+    out = T.StructType([chosen.schema["k"], T.StructField("nth", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.IntegerType()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for nth, (words, tags) in enumerate(labelled([body])):
+                    yield k, nth, words, tags
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_out(rows(batches), out)
+
+    lines = chosen.mapInArrow(run, out).orderBy(order, "k", "nth").collect()
+    return train(generated() + [(list(r["words"]), list(r["tags"])) for r in lines])
 
 
 class Scanner:

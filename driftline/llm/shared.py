@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Only a local session without it gets a temporary one."""
+    """The folder in ``spark.checkpoint.dir``.  Only a session within one process and without it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: lineage is cut in a folder that all executors share")
         root = tempfile.mkdtemp(prefix="driftline-")
         spark.sparkContext.setCheckpointDir(root)

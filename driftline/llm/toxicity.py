@@ -7,7 +7,7 @@ hashed to ``2 ** BITS`` places, each with the value 1, so a few telling words co
 a long text as in a short one.  L1 leaves few weights, which are broadcast: at most ``2 ** BITS``.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash
-of their id; scoring covers every row and whole texts.
+of their id, as far as their features fill ``SAMPLE_BYTES``; scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from .shared import table
 BITS = 22
 BEGINNINGS = (3, 4, 5, 6)
 SAMPLE_ROWS = 12_000
+SAMPLE_BYTES = 256 << 20
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
@@ -75,8 +76,16 @@ class Weights:
 
 
 def fit(rows: Iterator[tuple[np.ndarray, int]], bits: int = BITS) -> Iterator[tuple[int, float]]:
-    """FTRL-proximal with a rate of its own for each coordinate; yields (place, weight), and (-1, bias) first."""
-    rows = list(rows)
+    """FTRL-proximal with a rate of its own for each coordinate; yields (place, weight), and (-1, bias) first.
+
+    Rows are held for the second epoch, so they are taken until their places fill ``SAMPLE_BYTES``.
+    """
+    rows, offered, size = [], rows, 0
+    for places, y in offered:
+        size += places.nbytes
+        if rows and size > SAMPLE_BYTES:
+            break
+        rows.append((places, y))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     share = (sum(y for _, y in rows) + 1) / (len(rows) + PRIOR_ROWS) if rows else NO_PRIOR
     bias, seen = float(np.log(min(share, 0.5) / (1 - min(share, 0.5)))), 1.0
