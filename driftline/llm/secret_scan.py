@@ -57,8 +57,10 @@ _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
 _TURNS = re.compile(r"[a-z][A-Z]")
 _SYMBOLS = re.compile(r"[!@#$%^&*+=~?_]")
 _PLAIN = r"^[\pL'’]{1,24}[.,;:!?]{0,3}$"
+#: Final punctuation that says nothing of a word's shape.
+_STOPS = ".,;!?"
 #: Words, but for those of _KEY and "www.", whose features are bias and plain alone.
-_BARE = r"^(?:[A-Za-z]{1,15}|[A-Za-z]{2,7}[.,;!?]{1,3})$"
+_BARE = r"^(?:[A-Za-z]{2,15}[.,;!?]{0,3}|[A-Za-zÀ-ÖØ-öø-ɏ]{1,15}|[A-Za-zÀ-ÖØ-öø-ɏ]{0,6}[A-Za-z]{2}[A-Za-zÀ-ÖØ-öø-ɏ]{0,6}[.,;!?])$"
 #: Letters of a word from which on their order counts, and the share of all pairs of letters that makes a pair usual.
 LONG, USUAL = 16, 4e-4
 _VOWELS = set("aeiouyAEIOUY")
@@ -128,7 +130,7 @@ def features(word: str, usual: frozenset[str] = frozenset()) -> list[int]:
         out.append("quoted")
     a, b = core(word)
     body = word[a:b].strip(".")
-    n = len(body)
+    n, letters_alone = len(body), word.rstrip(_STOPS).isalpha()
     if n and body.isalpha():
         out.append("plain_long" if n >= LONG else "plain")
         if n >= LONG:
@@ -148,7 +150,7 @@ def features(word: str, usual: frozenset[str] = frozenset()) -> list[int]:
         out.append("at_sign")
     if "://" in word or word.startswith("www."):
         out.append("url")
-    if n >= 8 and not word.isalpha():
+    if n >= 8 and not letters_alone:
         out.append("core_40" if n >= 40 else "core_24" if n >= 24 else "core_16" if n >= 16 else "core_8")
         digits = sum(c.isdigit() for c in body)
         letters = sum(c.isalpha() for c in body)
@@ -170,7 +172,7 @@ def features(word: str, usual: frozenset[str] = frozenset()) -> list[int]:
             out.append("few_vowels")
         if re.match(r"[A-Za-z]{2,8}[_-]", body) and digits:
             out.append("long_prefix")
-    if not word.isalpha():
+    if not letters_alone:
         a, b = secret_part(word)
         value = word[a:b]
         kinds = (value != value.upper()) + (value != value.lower()) + any(c.isdigit() for c in value)

@@ -243,6 +243,7 @@ def test_every_word_is_scored_by_its_features(field):
 
 def test_the_shortcut_is_for_words_of_two_features_only():
     words = ["".join(w) for n in range(1, 5) for w in itertools.product("aB.,:!'w", repeat=n)] + ["a" * n + e for n in range(5, 26) for e in ("", ".", ",", ":", "!!!", "?,;")] + ["xqzkvwjxqzkvwjx", "aBaBaBaBaBaBaBa"]
+    words += ["".join(w) for n in range(1, 6) for w in itertools.product("éaß.,!", repeat=n)] + ["é" * n + "ab" + "ñ" * n + e for n in range(8) for e in ("", ".", ",")]
     for w in words:
         if re.search(secret_scan._BARE, w) and not secret_scan._KEY.search(w) and not w.startswith("www."):
             assert secret_scan.features(w, frozenset({"th"})) == [secret_scan._AT["bias"], secret_scan._AT["plain"]], w
