@@ -299,6 +299,27 @@ def test_packed_pieces_hold_the_library_ids(spark):
     assert whole.filter("length <> length(ids) / 4").count() == 0
 
 
+def laid_out(rows):
+    """The pieces stand in their sequences without gaps; the number of sequences."""
+    bins = defaultdict(list)
+    for r in rows.itertuples():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    return len(bins)
+
+
+def test_the_packing_query_fills_few_sequences(spark):
+    rows = registry.queries()["op4_best_fit_packing"](spark, f"{TESTDATA}/sf0.01").toPandas()
+    assert not rows.duplicated(["doc_id", "piece"]).any()
+    least = -(-rows["length"].sum() // 4096)
+    assert laid_out(rows) <= least + 1
+
+
 def test_unusual_texts_have_the_library_ids():
     coder = WordBpe(packing.vocabulary_path())
     texts = ["", "a's B'LL don't''s", "ΑΣ Σας <|endoftext|> x", "İstanbul ﬁ é \x1c\x85\xa0z", "½²3 10", "日本語", "tab\tx\x0by", "😀😀 ok", "\x7f\x00 q", "ǅ ǆ ß ẞ K", "  lead  ", "\n"]
@@ -599,17 +620,54 @@ def test_shared_turns_are_emitted_once(spark):
             assert all(s["end"] <= n["start"] for s in n["ancestors"])
 
 
-def test_pipeline_keeps_whole_rows(spark):
+def test_every_stage_of_the_pipeline_equals_brute_force(spark):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from driftline.llm.shared import cut
+
+    table, r = spark.read.parquet(f"{SF}/documents.parquet"), random.Random(21)
+    more = [(10**6 + i, " ".join(f"{r.choice('bdfgl')}o{r.choice('mnrst')}a{r.choice('kp')}" for _ in range(200)) + f' token = "{r.getrandbits(160):040x}" and more', "en", "x", 0) for i in range(5)]
+    kept = [cut(table.unionByName(spark.createDataFrame(more, table.schema)), "docs")]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
-        assert after.columns == docs.columns, name
-        from driftline.llm.shared import cut
-
-        docs = cut(after, name)
-    left = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
-    assert set(packed["doc_id"]) == left
-    assert 0.7 * 200 < len(left) <= 200
+        after = stage(spark, kept[-1], SF)
+        assert after.columns == kept[-1].columns, name
+        kept.append(cut(after, name))
+    docs, mild, single, clean, safe = ({r["doc_id"]: r for r in k.collect()} for k in kept)
+    assert [len(k) for k in (docs, mild, single, clean, safe)] == [k.count() for k in kept]
+
+    weights = toxicity.train(kept[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = toxicity.Scorer(weights)(pa.array([r["text"] for r in docs.values()]))
+    assert set(mild) == {i for i, s in zip(docs, scores, strict=True) if s < 0.3}
+
+    groups = brute_components([(i, r["text"] or "") for i, r in mild.items()])
+    assert set(single) == {i for i, (n, c) in groups.items() if c == i}
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = [decontamination.hashed_words(pa.array([t]))[0] for _, t in items]
+    for i, r in single.items():
+        own = decontamination.hashed_words(pa.array([r["text"] or ""]))[0]
+        met = any(len(w) and len(np.intersect1d(w, own)) and decontamination.align(w, own)[0] >= 0.45 * 2 * len(w) for w in words)
+        assert (i in clean) == (not met)
+
+    changed = 0
+    for i, r in clean.items():
+        left = safe[i]["text"]
+        assert not secret_scan.base_spans(left)
+        spans = secret_scan.base_spans(r["text"])
+        if not spans:
+            continue
+        changed += 1
+        assert left == secret_scan.redacted(r["text"], spans)
+        assert safe[i]["n_chars"] == len(left)
+    assert set(safe) == set(clean)
+    assert changed >= 5
+
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).toPandas()
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    want = {}
+    for i, r in safe.items():
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 1]
+        want |= {(i, at // 4096): zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()) for at in range(0, len(ids), 4096)}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in packed.itertuples()} == want
+    assert laid_out(packed) <= -(-packed["length"].sum() // 4096) + 1

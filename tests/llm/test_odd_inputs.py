@@ -83,3 +83,17 @@ def test_chats_of_odd_rows(spark):
 
 def test_a_cut_table_reads_back(spark, odd_docs):
     assert cut(odd_docs, "docs").count() == 12
+
+
+def test_the_pipeline_takes_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for docs, rows in ((odd_docs, 10), (no_docs, 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = docs.columns
+            docs = cut(stage(spark, docs, sf), name)
+            assert docs.columns == columns
+        assert docs.count() == rows
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert packed.filter("piece = 0").count() == rows
