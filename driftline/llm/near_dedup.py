@@ -396,3 +396,22 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component; ``near_duplicates`` states nulls, empty texts, repeats and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of documents that share a shingle, so for small tables.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: md5_number(list_aggregate(words[i:i + 4], 'string_agg', ' ')))
+    when len(words) > 0 then [md5_number(list_aggregate(words, 'string_agg', ' '))] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+near(a, b) as (
+  select a, b from link union select b, a from link
+  union
+  select near.a, l.b from near join (select a, b from link union all select b, a from link) l on near.b = l.a)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(doc_id, coalesce(c, doc_id)) as component_id, least(doc_id, coalesce(c, doc_id)) = doc_id as kept
+from documents left join n using (doc_id) left join (select a as doc_id, min(b) as c from near group by a) using (doc_id)
+"""

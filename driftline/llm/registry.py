@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE, "op10_chat_formatting": chat_tree.ORACLE}
+    return {"op7_minhash_near_dedup": near_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_chat_formatting": chat_tree.ORACLE}
