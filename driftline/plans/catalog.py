@@ -24,7 +24,7 @@ from driftline.operators import voyages as V
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
 from driftline.sources import ais
 
-from .oracles import GREEDY, LABELS, MERGES, direct, inverse, on, sampling
+from .oracles import DENDROGRAM, GREEDY, MERGES, assigned, direct, evaluated, inverse, labels, on, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -724,17 +724,26 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return C.Cure(sample_size=150).sampled(vectors(s, d)).select("vec_id", "nth")
 
 
-@query("cure_predict")
+@query("cure_predict", "select vec_id, case when d > 1.2e0 then -1 else label end as label, round(d, 6) as dist from near", assigned((5,)))
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _cure(s, d).predict(vectors(s, d), 5, 1.2)
+    return rounded(_cure(s, d).predict(vectors(s, d), 5, 1.2))
 
 
-@query("noise_grid_whole")
+_KS = tuple(range(2, 13, 2))
+_THRESHOLDS = [0.2, 0.22, 0.24, 0.26, 0.28, 0.3]
+
+
+@query(
+    "noise_grid_whole",
+    f"""select cast(k as integer) as n_clusters, threshold, round(100e0 * count(*) filter (d > threshold) / count(*), 6) as noise_pct
+    from near, (select unnest({[f"{t}e0" for t in _THRESHOLDS]}) as threshold) group by k, threshold""".replace("'", ""),
+    assigned(_KS),
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    """The noise for 2, 4, .., 12 clusters of the fitted model and all thresholds; farthest-first choice is beyond SQL."""
+    """The noise for 2, 4, .., 12 clusters of the fitted model and all thresholds."""
     rows, model = vectors(s, d), _cure(s, d)
-    near = [C.assign(rows, model.representatives(k), None).select(F.lit(k).alias("n_clusters"), "dist") for k in range(2, 13, 2)]
-    return rounded(E.noise_grid(functools.reduce(DataFrame.unionByName, near), [0.2, 0.22, 0.24, 0.26, 0.28, 0.3]), 6, "noise_pct")
+    near = [C.assign(rows, model.representatives(k), None).select(F.lit(k).alias("n_clusters"), "dist") for k in _KS]
+    return rounded(E.noise_grid(functools.reduce(DataFrame.unionByName, near), _THRESHOLDS), 6, "noise_pct")
 
 
 @query("ahc_merges", "select cast(step as integer) as step, cast(c1 as integer) as c1, cast(c2 as integer) as c2, round(dist, 6) as dist, cast(size as integer) as size from merges", MERGES)
@@ -742,25 +751,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(_cure(s, d).model.linkage_frame(s))
 
 
-@query("ahc_labels", "select nth, cast(case when name is null then -1 else dense_rank() over (order by name nulls last) - 1 end as integer) as label from smp left join tops on p = nth", LABELS)
+@query("ahc_labels", "select smp.nth, coalesce(label, -1) as label from smp left join grp using (nth)", labels((5,)))
 def _(s: SparkSession, d: str) -> DataFrame:
-    labels = _cure(s, d).model.labels(5)
-    return s.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "nth int, label int")
+    found = _cure(s, d).model.labels(5)
+    return s.createDataFrame([(i, int(x)) for i, x in enumerate(found)], "nth int, label int")
 
 
-@query("dendrogram")
+@query("dendrogram", "select cast(step - greatest(last - 29, 0) as integer) as step, cast(c1 as integer) as c1, cast(c2 as integer) as c2, round(dist, 6) as dist, cast(size as integer) as size from renamed where step > last - 30", DENDROGRAM)
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = _cure(s, d).model.dendrogram(30)
-    return s.createDataFrame([(i, int(a), int(b), float(x), int(n)) for i, (a, b, x, n) in enumerate(rows)], "step int, c1 int, c2 int, dist double, size int")
+    return rounded(s.createDataFrame([(i, int(a), int(b), float(x), int(n)) for i, (a, b, x, n) in enumerate(rows)], "step int, c1 int, c2 int, dist double, size int"))
 
 
-@query("cure_labels")
+@query("cure_labels", "select vec_id, label from near", assigned((5,)))
 def _(s: SparkSession, d: str) -> DataFrame:
     """The labels of the rows that the model was fitted on."""
     return _cure(s, d).labels(5)
 
 
-@query("cure_evaluate")
+@query(
+    "cure_evaluate",
+    "select cast(k as integer) as n_clusters, round(w, 6) as davies_bouldin, round(noise, 6) as noise_pct from index_of join (select k, 100e0 * count(*) filter (label = -1) / count(*) as noise from lab3 group by k) using (k)",
+    evaluated((2, 5, 10, 20), 1.2),
+)
 def _(s: SparkSession, d: str) -> DataFrame:
     """Davies-Bouldin index and noise for 2, 5, 10 and 20 clusters."""
     model = _cure(s, d)

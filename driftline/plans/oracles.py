@@ -197,13 +197,57 @@ steps(step, x, y, d, nx, ny, bx, bz, bd, bn) as (
   where step <> (select n - n // 5 from sized) or (nx > 1 and ny > 1)),
 merges as (select distinct step, bx as c1, bz as c2, bd as dist, bn as size from steps)"""
 
-LABELS = MERGES + """,
-lost as (select nth from smp where nth not in (select c1 from merges) and nth not in (select c2 from merges)),
-up(p, name) as (
-  select nth, nth from smp
+_LOST = """lost as (select nth from smp where nth not in (select c1 from merges) and nth not in (select c2 from merges))"""
+
+DENDROGRAM = f"""{MERGES},
+{_LOST},
+live as (select nth, row_number() over (order by nth) - 1 as r from smp where nth not in (select nth from lost)),
+renamed as (select step, a.name as c1, b.name as c2, dist, size, max(step) over () as last
+  from merges join (select nth as old, r as name from live union all select n + step, step + (select count(*) from live) from merges, sized) a on a.old = c1
+  join (select nth as old, r as name from live union all select n + step, step + (select count(*) from live) from merges, sized) b on b.old = c2)"""
+
+
+def _way(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(z[1] - z[2], 2))))"
+
+
+def labels(ks: tuple[int, ...]) -> str:
+    """The sample's labels ``grp`` (k, nth, label, v) for each number of clusters."""
+    return f"""{MERGES},
+{_LOST},
+ks as (select unnest({list(ks)}) as k),
+up(k, p, name) as (
+  select k, nth, nth from smp, ks
+  union all
+  select up.k, p, n + step from up join merges on name in (c1, c2), sized where step < n - (select count(*) from lost) - up.k),
+grp as (select k, p as nth, cast(dense_rank() over (partition by k order by name) - 1 as integer) as label, embedding::double[] as v
+  from (select k, p, max(name) as name from up where p not in (select nth from lost) group by k, p) join smp on nth = p)"""
+
+
+def assigned(ks: tuple[int, ...], compression: float = 0.6, most: int = 20) -> str:
+    """``near`` (k, vec_id, label, d): each vector's nearest of up to ``most`` representatives a cluster, chosen farthest first."""
+    return f"""{labels(ks)},
+mid as (select k, label, list(m order by pos) as c, any_value(size) as size from (
+  select k, label, pos, avg(x) as m, count(*) as size from (select k, label, generate_subscripts(v, 1) as pos, unnest(v) as x from grp) group by all) group by k, label),
+ff(step, k, label, nth, v, d, pick) as (
+  select 0, k, label, nth, v, d, arg_max(nth, (d, -nth)) over (partition by k, label) from (select g.k, g.label, g.nth, g.v, {_way("g.v", "c")} as d from grp g join mid using (k, label) where size > {most})
   union all
-  select p, n + step from up join merges on name in (c1, c2), sized where step < n - (select count(*) from lost) - 5),
-tops as (select p, max(name) as name from up where p not in (select nth from lost) group by p)"""
+  select step, k, label, nth, v, d, arg_max(nth, (d, -nth)) over (partition by k, label) from (
+    select f.step + 1 as step, f.k, f.label, f.nth, f.v, case when f.step = 0 then {_way("f.v", "p.v")} else least(f.d, {_way("f.v", "p.v")}) end as d
+    from ff f join grp p on p.k = f.k and p.nth = f.pick where f.step < {most - 1})),
+reps as (select k, label, list_transform(list_zip(v, c), lambda z: z[1] + {compression!r} * (z[2] - z[1])) as x from grp join mid using (k, label)
+  where size <= {most} or (k, nth) in (select k, pick from ff)),
+near as (select k, vec_id, arg_min(label, (d, label)) as label, min(d) as d from (select r.k, vec_id, r.label, {_way("embedding::double[]", "r.x")} as d from embeddings, reps r) group by k, vec_id)"""
+
+
+def evaluated(ks: tuple[int, ...], threshold: float) -> str:
+    """``index_of`` (k, w, noise): the Davies-Bouldin index and the share of noise beyond the threshold."""
+    return f"""{assigned(ks)},
+lab3 as (select k, vec_id, case when d > {threshold!r} then -1 else near.label end as label, embedding::double[] as v from near join embeddings using (vec_id)),
+cen3 as (select k, label, list(m order by pos) as c from (select k, label, pos, avg(x) as m from (select k, label, generate_subscripts(v, 1) as pos, unnest(v) as x from lab3 where label <> -1) group by all) group by k, label),
+rad3 as (select k, label, c, avg({_way("v", "c")}) as r from lab3 join cen3 using (k, label) group by k, label, c),
+index_of as (select k, avg(w) as w from (
+  select x.k, x.label, coalesce(max((x.r + y.r) / nullif({_way("x.c", "y.c")}, 0)), 0) as w from rad3 x left join rad3 y on x.k = y.k and x.label <> y.label group by x.k, x.label) group by k)"""
 
 
 def on(sql: str, more: str = "") -> str:
