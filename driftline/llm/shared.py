@@ -6,8 +6,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,21 +34,49 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folder within the application's scratch folder that tables are written to just now.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/driftline-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, where: str) -> tuple[JavaObject, JavaObject]:
+    """A path of Hadoop's and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lost executors lose nothing of it.
 
     The application's scratch folder is removed when the application ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    home = f"{scratch_root(spark)}/driftline-{sc.applicationId}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(home)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    at = f"{home}/{name}-{uuid.uuid4().hex}"
+    home = _home(spark)
+    path, files = _path(spark, home)
+    files.deleteOnExit(path)
+    at = f"{home}/{_SCOPE.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, as ``cut`` writes it; the scratch tables that it was made from are removed."""
+    outer = _SCOPE.get()
+    inner = f"{outer}{name}-{uuid.uuid4().hex}-parts/"
+    entered = _SCOPE.set(inner)
+    try:
+        made = build()
+    finally:
+        _SCOPE.reset(entered)
+    out = cut(made, name)
+    path, files = _path(spark, f"{_home(spark)}/{inner}")
+    files.delete(path, True)
+    return out
+
+
 def batches_out(rows: Iterable[tuple], schema: T.StructType, weight: Callable[[tuple], int] | None = None) -> Iterator[pa.RecordBatch]:
     """Gather row tuples into Arrow batches of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -671,3 +671,11 @@ def test_every_stage_of_the_pipeline_equals_brute_force(spark):
         want |= {(i, at // 4096): zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()) for at in range(0, len(ids), 4096)}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in packed.itertuples()} == want
     assert laid_out(packed) <= -(-packed["length"].sum() // 4096) + 1
+
+
+def test_the_pipeline_as_a_whole(spark):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert 0.7 * 200 < packed["doc_id"].nunique() <= 200
+    assert laid_out(packed) <= -(-packed["length"].sum() // 4096) + 1

@@ -2,7 +2,7 @@
 
 import pytest
 
-from driftline.llm import chat_tree, decontamination, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, token_counts, toxicity
+from driftline.llm import chat_tree, decontamination, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, shared, token_counts, toxicity
 from driftline.llm.shared import cut
 
 
@@ -85,6 +85,18 @@ def test_a_cut_table_reads_back(spark, odd_docs):
     assert cut(odd_docs, "docs").count() == 12
 
 
+def test_scratch_tables_of_a_stage_go_with_it(spark, odd_docs):
+    import os
+
+    home = shared._home(spark).removeprefix("file:")
+    cut(odd_docs, "docs")
+    before = set(os.listdir(home))
+    left = shared.settled(spark, lambda: near_dedup.deduplicate(odd_docs), "left")
+    new = set(os.listdir(home)) - before
+    assert {n.rpartition("-")[0] for n in new} == {"left"}
+    assert left.filter("doc_id = 6").count() == 1
+
+
 def test_the_pipeline_takes_odd_rows(spark, odd_docs, no_docs):
     import corpus_pipeline
 
