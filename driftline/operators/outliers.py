@@ -7,7 +7,7 @@ the counts of its neighbours only, so stretches of a voyage that no edge connect
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ from .voyages import indexed
 SPHERE, MARGIN = 6371008.8, 0.01
 
 
+Choice = Callable[[list[tuple[int, int]]], list[int]]
+
+
 def greedy(edges: list[tuple[int, int]]) -> list[int]:
     """The outliers among the ends of ``edges``."""
     nodes = sorted({n for e in edges for n in e})
@@ -44,23 +47,23 @@ def greedy(edges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _fast(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _fast(rows: dict[str, np.ndarray], speed_max: float = SPEED_MAX) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) of messages of a voyage, at most ``EDGE_REACH`` apart, between which the speed is infeasible.
 
     The distance on a sphere decides but near the limit, where the geodesic does.
     """
-    starts, ends = [], []
+    starts, ends, limit = [], [], speed_max * KNOT
     lat, lon = np.radians(rows["lat"]), np.radians(rows["lon"])
     for reach in range(1, EDGE_REACH + 1):
         a, b = slice(None, -reach), slice(reach, None)
         dt = rows["ts_s"][b] - rows["ts_s"][a]
         half = np.sin((lat[b] - lat[a]) / 2) ** 2 + np.cos(lat[a]) * np.cos(lat[b]) * np.sin((lon[b] - lon[a]) / 2) ** 2
         round_way = 2 * SPHERE * np.arcsin(np.sqrt(np.minimum(half, 1)))
-        may = (rows["mmsi"][a] == rows["mmsi"][b]) & (rows["voyage"][a] == rows["voyage"][b]) & (dt > EDGE_LEAST_S) & (round_way * (1 + MARGIN) > SPEED_MAX * KNOT * dt)
+        may = (rows["mmsi"][a] == rows["mmsi"][b]) & (rows["voyage"][a] == rows["voyage"][b]) & (dt > EDGE_LEAST_S) & (round_way * (1 + MARGIN) > limit * dt)
         at = np.flatnonzero(may)
-        near = at[round_way[at] * (1 - MARGIN) <= SPEED_MAX * KNOT * dt[at]]
+        near = at[round_way[at] * (1 - MARGIN) <= limit * dt[at]]
         way = inverse(rows["lat"][near], rows["lon"][near], rows["lat"][near + reach], rows["lon"][near + reach])
-        at = np.setdiff1d(at, near[~(way / dt[near] > SPEED_MAX * KNOT)], assume_unique=True)
+        at = np.setdiff1d(at, near[~(way / dt[near] > limit)], assume_unique=True)
         starts.append(at)
         ends.append(at + reach)
     a, b = np.concatenate(starts), np.concatenate(ends)
@@ -68,19 +71,21 @@ def _fast(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
-def _outliers(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """The greedy choice in each stretch that edges (sorted by ``a``, then ``b``) connect."""
+def _outliers(a: np.ndarray, b: np.ndarray, choose: Choice) -> list[int]:
+    """The choice in each stretch that edges (sorted by ``a``, then ``b``) connect."""
     out: list[int] = []
     if len(a):
         apart = np.flatnonzero(a[1:] > np.maximum.accumulate(b)[:-1]) + 1
         for part in np.split(np.arange(len(a)), apart):
-            out += greedy(list(zip(a[part].tolist(), b[part].tolist(), strict=True)))
+            out += choose(list(zip(a[part].tolist(), b[part].tolist(), strict=True)))
     return out
 
 
-def marked(voyages: DataFrame) -> DataFrame:
+def marked(voyages: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = greedy) -> DataFrame:
     """The messages with ``idx``, their place in the voyage, and ``outlier``, in one pass over the partitioning by vessel.
 
+    ``speed_max`` is in knots; ``choose`` names the outliers among the ends of a stretch's infeasible pairs.
+
     A task reads its messages in order and keeps back only the stretch that messages to come may
     still be connected with.
     """
@@ -105,7 +110,7 @@ def marked(voyages: DataFrame) -> DataFrame:
         for batch in batches:
             one = pa.Table.from_batches([batch])
             kept = one if kept is None else pa.concat_tables([kept, one])
-            a, b = _fast(facts(kept))
+            a, b = _fast(facts(kept), speed_max)
             sure = max(0, kept.num_rows - EDGE_REACH)
             covered = np.zeros(kept.num_rows + 1, np.int64)
             np.add.at(covered, a + 1, 1)
@@ -113,20 +118,24 @@ def marked(voyages: DataFrame) -> DataFrame:
             free = np.flatnonzero(np.cumsum(covered)[: sure + 1] == 0)
             at = int(free[-1]) if len(free) else 0
             if at:
-                yield from done(kept.slice(0, at), [i for i in _outliers(a[a < at], b[a < at])])
+                yield from done(kept.slice(0, at), _outliers(a[a < at], b[a < at], choose))
                 kept = kept.slice(at).combine_chunks()
         if kept is not None and kept.num_rows:
-            yield from done(kept, _outliers(*_fast(facts(kept))))
+            yield from done(kept, _outliers(*_fast(facts(kept), speed_max), choose))
 
     return rows.sortWithinPartitions("mmsi", "voyage", "idx").mapInArrow(run, out)
 
 
-def flagged(voyages: DataFrame) -> DataFrame:
+def flagged(voyages: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = greedy) -> DataFrame:
     """(mmsi, voyage, idx) of the outliers."""
-    return marked(voyages).filter("outlier").select("mmsi", "voyage", "idx")
+    return marked(voyages, speed_max, choose).filter("outlier").select("mmsi", "voyage", "idx")
 
 
-def clean(voyages: DataFrame) -> DataFrame:
-    """The messages that aren't outliers; a voyage of fewer than two messages, or of outliers only, goes."""
-    counted = voyages.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi", "voyage")))
-    return marked(counted.filter("_n >= 2").drop("_n")).filter("not outlier").drop("idx", "outlier")
+def clean(voyages: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = greedy) -> DataFrame:
+    """The messages that aren't outliers; a voyage of fewer than two messages, or of outliers only, goes.
+
+    Messages that report more than ``speed_max`` knots go first.
+    """
+    slow = voyages.filter(F.coalesce(F.col("sog") <= speed_max, F.lit(True)))
+    counted = slow.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi", "voyage")))
+    return marked(counted.filter("_n >= 2").drop("_n"), speed_max, choose).filter("not outlier").drop("idx", "outlier")

@@ -199,6 +199,17 @@ def test_marks_equal_the_edges_and_the_greedy_choice(spark):
     assert kept == len(rows) - len(want) - single
 
 
+def test_the_speed_limit_and_the_choice_can_be_changed(spark):
+    # 7 knots, but the third message is 2 km off, too far from the two before (43 and 79 knots) and the one after (65, then 29); the fifth reports 25 knots
+    rows = [(1, 60 * i, i, 55.0 + 0.002 * i + (0.02 if i == 2 else 0), 10.0, 25.0 if i == 4 else 9.0, 1.0, None, 0.0, 0) for i in range(8)]
+    voyage = spark.createDataFrame(rows, COLUMNS).withColumn("voyage", voyages.F.lit(0).cast("long"))
+    seqs = lambda d: sorted(r["seq"] for r in d.collect())
+    assert seqs(outliers.clean(voyage)) == [0, 1, 3, 4, 5, 6, 7]
+    assert seqs(outliers.clean(voyage, speed_max=20.0)) == [0, 1, 3, 5, 6, 7]
+    assert seqs(outliers.clean(voyage, speed_max=200.0)) == list(range(8))
+    assert seqs(outliers.clean(voyage, choose=lambda edges: sorted({n for e in edges for n in e}))) == [4, 5, 6, 7]
+
+
 def test_a_sample_is_the_same_at_any_size_and_partitioning(spark):
     import hashlib
 
