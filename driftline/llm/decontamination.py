@@ -153,12 +153,11 @@ class Seeds:
         return int(np.minimum(np.bincount(at[distinct[at] == words], minlength=len(distinct)), counts).sum())
 
 
-def _windows(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator[tuple[int, int]]:
-    """Merged (start, end) windows that an item of ``length`` words can fill around its hits (position, place in the item)."""
-    slack = max(4, length // 4)
+def _windows(hits: list[tuple[int, int]], length: int, n_words: int, spare: int) -> Iterator[tuple[int, int]]:
+    """Merged (start, end) windows that an item of ``length`` words, with ``spare`` words put between them, can fill around its hits (position, place in the item)."""
     start = end = -1
     for position, place in sorted(hits):
-        a, b = max(0, position - place - slack), min(n_words, position - place + length + slack)
+        a, b = max(0, position - place - spare), min(n_words, position - place + length + spare)
         if end >= 0 and a > end:
             yield start, end
             end = -1
@@ -210,7 +209,9 @@ class Aligner:
         for (o, item), hits in sorted(self.index.met(h, offsets).items()):
             a, b = offsets[o], offsets[o + 1]
             length = len(self.index.words[item])
-            for start, end in _windows(hits, length, int(b - a)):
+            # each word put in costs one, and no more than all words of the item match
+            spare = math.floor(MATCH * length * (1 - self.index.threshold) + 1e-9)
+            for start, end in _windows(hits, length, int(b - a), spare):
                 words = h[a + start : a + end]
                 if self.index.in_common(item, words) / length >= self.index.threshold:
                     score, first, last = self._aligned(item, words)

@@ -401,6 +401,27 @@ def local_score(item, words):
     return best
 
 
+def test_words_put_into_a_copy_leave_no_part_of_it_out():
+    r, met, wide = random.Random(23), 0, 0
+    for _ in range(300):
+        item = [f"word{i}" for i in range(r.randint(8, 40))]
+        new = (f"new{i}" for i in range(10**6))
+        words = [next(new) if r.random() < 0.15 else w for w in item]
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(words))
+            words[at:at] = [next(new) for _ in range(r.randint(0, len(item)))]
+        words = [next(new) for _ in range(30)] + words + [next(new) for _ in range(30)]
+        seeds = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (item, words)]
+        if not seeds[0] & seeds[1]:
+            continue
+        want = local_score(item, words) / (2 * len(item))
+        got = [score for _, _, score, _, _ in decontamination.Aligner([(1, " ".join(item))])(pa.array([" ".join(words)]))]
+        assert max(got, default=0) == pytest.approx(want if want >= 0.45 else 0)
+        met += want >= 0.45
+        wide += want >= 0.45 and len(words) - 60 > len(item) * 1.5
+    assert met > 100 and wide > 10
+
+
 def test_decontamination_equals_brute_force(spark):
     cut_words = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower())
     items = {r.item_id: cut_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().itertuples()}
