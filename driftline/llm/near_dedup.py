@@ -316,7 +316,7 @@ def with_sets(pairs: DataFrame, docs: DataFrame, text: str, key: str, repeats: b
                     flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
-    sets = cut(bodies.mapInArrow(run, out).dropDuplicates(["id"]) if repeats else bodies.mapInArrow(run, out), "sets")
+    sets = cut(bodies.mapInArrow(run, out).dropDuplicates(["id"]) if repeats else bodies.mapInArrow(run, out), "sets", gather=True)
     return pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
 
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     are expected to be unique: rows that share one are linked through it, and of their different
     texts one is compared with other documents.  An empty table gives no rows; other columns are left.
     """
-    signed = cut(signatures(docs, text, key), "signatures")
+    signed = cut(signatures(docs, text, key), "signatures", gather=True)
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     repeats = not usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     # written out, as both sides of a join can only be split where a key is hot if neither is still being grouped
@@ -342,18 +342,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     named = usable.join(groups, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"), "sketch", "signature")
     # rows without a digest don't meet under the null one
     others = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("id"), "sketch", F.lit(None).cast("binary").alias("signature"))
-    member = cut(named.unionByName(others).withColumn("signature", F.when(F.col("doc_id") == F.col("id"), F.col("signature"))), "members")
+    member = cut(named.unionByName(others).withColumn("signature", F.when(F.col("doc_id") == F.col("id"), F.col("signature"))), "members", gather=True)
     nodes = member.filter("signature is not null").select("id", F.col("n_shingles").alias("n"), "sketch", "signature")
     nodes = nodes.dropDuplicates(["id"]) if repeats else nodes
     keyed = chunk_keys(nodes)
-    hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub"), "hubs")
-    buckets = cut(keyed.join(hubs, "key"), "buckets")
+    hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub"), "hubs", gather=True)
+    buckets = cut(keyed.join(hubs, "key"), "buckets", gather=True)
     narrow = nodes.select("id", "n", "sketch")
     met = buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     x, y = narrow.withColumnRenamed("id", "a"), narrow.withColumnRenamed("id", "b")
     near = met.alias("p").join(x.alias("x"), "a").join(y.alias("y"), "b").filter(_near("x", "y"))
     first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
-    checked = cut(_against_hub(with_sets(first, docs, text, key, repeats)), "checked")
+    checked = cut(_against_hub(with_sets(first, docs, text, key, repeats)), "checked", gather=True)
     links = checked.filter("linked").select("a", "b")
     if repeats:
         links = links.unionByName(member.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pairs = compared(rest).join(first, ["a", "b"], "left_anti")
     more = cut(pairs, "pairs")
     if not more.isEmpty():
-        added = cut(confirm(more, docs, text, key, repeats), "links")
+        added = cut(confirm(more, docs, text, key, repeats), "links", gather=True)
         parts = components(links.unionByName(added))
 
     out = member.select("doc_id", "n_shingles", "id").join(parts, "id", "left")

@@ -48,17 +48,20 @@ def _path(spark: SparkSession, where: str) -> tuple[JavaObject, JavaObject]:
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lost executors lose nothing of it.
 
-    The application's scratch folder is removed when the application ends.
+    The application's scratch folder is removed when the application ends.  With ``gather``, many
+    tasks' small results are first brought together into files of the size that adaptive execution
+    aims at: on a local or mounted folder Hadoop starts three processes (chmod) for each file, and
+    until such a process has its own program, its memory is counted as another whole executor.
     """
     spark = df.sparkSession
     home = _home(spark)
     path, files = _path(spark, home)
     files.deleteOnExit(path)
     at = f"{home}/{_SCOPE.get()}{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.hint("rebalance") if gather else df).write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -97,6 +97,19 @@ def test_scratch_tables_of_a_stage_go_with_it(spark, odd_docs):
     assert left.filter("doc_id = 6").count() == 1
 
 
+def test_near_duplicates_write_few_files_for_many_tasks(spark):
+    import os
+
+    home = shared._home(spark).removeprefix("file:")
+    texts = [" ".join(f"t{i // 2}w{j}" for j in range(40 - i % 2)) for i in range(64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    before = set(os.listdir(home)) if os.path.exists(home) else set()
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(64)}
+    files = {n.rpartition("-")[0]: sum(f.endswith(".parquet") for f in os.listdir(f"{home}/{n}")) for n in set(os.listdir(home)) - before}
+    assert {n: files[n] for n in ("signatures", "members", "hubs", "buckets", "sets", "checked")} == dict.fromkeys(("signatures", "members", "hubs", "buckets", "sets", "checked"), 1)
+
+
 def test_the_pipeline_takes_odd_rows(spark, odd_docs, no_docs):
     import corpus_pipeline
 
