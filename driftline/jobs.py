@@ -9,7 +9,7 @@ import logging
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from driftline.operators import clustering, encoding, features, ingest, outliers, voyages
+from driftline.operators import clustering, counters, encoding, features, ingest
 from driftline.session import session
 from driftline.sources import ais, landing
 
@@ -43,9 +43,13 @@ def _write_messages(rows: DataFrame, target: str) -> None:
 
 
 def run_voyages(a: argparse.Namespace) -> None:
-    """Messages to normalised voyage steps."""
-    rows = session("voyages").read.parquet(f"{a.source}/messages")
-    ais.write_voyages(voyages.processed(outliers.clean(voyages.long_voyages(voyages.split(rows)))), a.target)
+    """Messages to normalised voyage steps, and a table of what each stage kept, counted in the same run."""
+    spark = session("voyages")
+    run = counters.Observed(spark.read.parquet(f"{a.source}/messages"))
+    ais.write_voyages(run.steps, a.target)
+    run.table(spark).write.mode("overwrite").parquet(a.counters or f"{a.target.rstrip('/')}_counters")
+    for name, value in run.counters().items():
+        log.info("%s: %s", name, value)
 
 
 def run_split(a: argparse.Namespace) -> None:
@@ -88,6 +92,8 @@ def main(argv: list[str] | None = None) -> None:
         if name == "unzip":
             p.add_argument("--first", help="the first day that should be there")
             p.add_argument("--last")
+        if name == "voyages":
+            p.add_argument("--counters", help="where the table of counters goes; by default beside the target, with _counters behind its name")
         if name == "embeddings":
             p.add_argument("--weights", required=True)
             p.add_argument("--batch-size", type=int, default=512)

@@ -1,14 +1,15 @@
-"""Counters of the stages from reports to final voyages, in two passes."""
+"""Counters of the stages from reports to final voyages: observed in the run that makes them, or found apart in two passes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.schema import CHUNK_TICKS, GAP_S, LEAST_ROWS, LEAST_S, LEAST_TICKS, SLOW_KNOTS, SLOW_SHARE, TICK_S
+from driftline.schema import CHUNK_TICKS, GAP_S, LEAST_ROWS, LEAST_S, LEAST_TICKS, SLOW_KNOTS, SLOW_SHARE, SPEED_MAX, TICK_S
 
-from .ingest import within
-from .outliers import marked
+from . import slots, voyages
+from .ingest import in_range, within
+from .outliers import Choice, candidates, greedy, marked
 
 
 def of_reports(raw: DataFrame) -> DataFrame:
@@ -81,3 +82,63 @@ def of_voyages(long_voyages: DataFrame) -> DataFrame:
 def stacked(wide: DataFrame) -> DataFrame:
     """(counter, value) from one row of counters."""
     return wide.selectExpr(f"stack({len(wide.columns)}, {', '.join(f"'{c}', {c}" for c in wide.columns)}) as (counter, value)")
+
+
+NAMES = (
+    "num_segments",
+    "num_messages",
+    "num_discarded_filtered",
+    "num_initial_voyages",
+    "num_voyages_after_duration_filter",
+    "num_messages_removed",
+    "num_voyages_after_outlier_removal",
+    "num_outlier_removal_errors",
+    "num_voyages_after_sampling",
+    "num_sampling_errors",
+    "num_resampled_rows",
+    "num_final_voyages",
+    "num_final_rows",
+)
+
+
+class Observed:
+    """Final voyage steps that count their own stages: write ``steps``, then ask for ``counters``.
+
+    Rows are counted where they pass; a voyage or chunk is counted at its first row, and voyages
+    before any message is moved at their first hour.  So nothing is read, moved or aggregated again.
+    A stage that is run again after an executor is lost may count its rows twice, as all
+    observed metrics may; ``of_reports`` and ``of_voyages`` count exactly then too.
+    """
+
+    def __init__(self, raw: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = greedy):
+        self._seen: list[tuple[Observation, tuple[str, ...]]] = []
+        ok = F.coalesce(within() & F.col("ts_s").isNotNull(), F.lit(False))
+        kept = self._count(raw, num_messages=ok, num_discarded_filtered=~ok).filter(ok)
+        day = F.floor(F.col("slot") * slots.SLOT_S / 86400)
+        hours = slots.folded(slots.slots(in_range(raw))).withColumn("_day", day)
+        hours = hours.withColumn("_new_day", ~F.coalesce(F.lag("_day").over(Window.partitionBy("mmsi").orderBy("slot")) == F.col("_day"), F.lit(False)))
+        first = F.col("back").isNull()
+        hours = self._count(hours, num_segments=F.col("_new_day"), num_initial_voyages=first, num_voyages_after_duration_filter=first & slots.is_long())
+        long = slots.joined(kept, hours.filter(slots.is_long()), "voyage").drop("_slot")
+        cleaned = self._count(marked(candidates(long, speed_max), speed_max, choose), num_messages_removed=F.col("outlier")).filter("not outlier").drop("idx", "outlier")
+        fine = F.col("_worst") <= GAP_S
+        begun = F.col("_first")
+        facts = self._count(voyages.gap_facts(cleaned.repartition("mmsi")), num_voyages_after_outlier_removal=begun, num_voyages_after_sampling=begun & fine, num_sampling_errors=begun & ~fine)
+        ticks = self._count(voyages.positions(voyages.brackets(facts.filter(fine).drop("_first", "_worst"))), num_resampled_rows=F.lit(True))
+        self.steps = self._count(voyages.final_steps(ticks), num_final_voyages=F.col("step") == 0, num_final_rows=F.lit(True))
+
+    def _count(self, rows: DataFrame, **what: Column) -> DataFrame:
+        seen = Observation()
+        self._seen.append((seen, tuple(what)))
+        return rows.observe(seen, *[F.count(F.when(c, 1)).alias(n) for n, c in what.items()])
+
+    def counters(self) -> dict[str, int]:
+        """The counters, once ``steps`` has been written or collected; it waits for that."""
+        # adaptive execution may find that a stage has no rows and leave it out, with its metrics
+        got = {n: seen.get[n] if seen._jo.getRow().size() else 0 for seen, names in self._seen for n in names}
+        got["num_outlier_removal_errors"] = got["num_voyages_after_duration_filter"] - got["num_voyages_after_outlier_removal"]
+        return {n: got[n] for n in NAMES}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(counter, value), as ``stacked`` has them."""
+        return spark.createDataFrame(list(self.counters().items()), "counter string, value long")

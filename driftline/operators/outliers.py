@@ -131,11 +131,16 @@ def flagged(voyages: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = g
     return marked(voyages, speed_max, choose).filter("outlier").select("mmsi", "voyage", "idx")
 
 
+def candidates(voyages: DataFrame, speed_max: float = SPEED_MAX) -> DataFrame:
+    """The messages without those that report more than ``speed_max`` knots, and without voyages of fewer than two."""
+    slow = voyages.filter(F.coalesce(F.col("sog") <= speed_max, F.lit(True)))
+    counted = slow.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi", "voyage")))
+    return counted.filter("_n >= 2").drop("_n")
+
+
 def clean(voyages: DataFrame, speed_max: float = SPEED_MAX, choose: Choice = greedy) -> DataFrame:
     """The messages that aren't outliers; a voyage of fewer than two messages, or of outliers only, goes.
 
     Messages that report more than ``speed_max`` knots go first.
     """
-    slow = voyages.filter(F.coalesce(F.col("sog") <= speed_max, F.lit(True)))
-    counted = slow.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("mmsi", "voyage")))
-    return marked(counted.filter("_n >= 2").drop("_n"), speed_max, choose).filter("not outlier").drop("idx", "outlier")
+    return marked(candidates(voyages, speed_max), speed_max, choose).filter("not outlier").drop("idx", "outlier")

@@ -1,4 +1,8 @@
-"""Voyage rules as windows over one partitioning by vessel."""
+"""Voyage rules.
+
+Voyages are made over hours of a vessel (``slots``), so that a vessel of any size is spread over tasks;
+rules over voyages whose messages have been chosen already are windows over a voyage.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftline.functions.geodesic import with_inverse
+from driftline.operators import slots
 from driftline.schema import (
     CHUNK_TICKS,
     EDGE_LEAST_S,
@@ -32,13 +37,17 @@ def by_voyage() -> WindowSpec:
 
 def gaps(messages: DataFrame) -> DataFrame:
     """Seconds since the vessel's message before; null for the first."""
-    return messages.withColumn("gap_s", F.col("ts_s") - F.lag("ts_s").over(by_vessel()))
+    return slots.with_gaps(messages).drop("voyage")
 
 
 def split(messages: DataFrame) -> DataFrame:
     """A voyage number for each message: a new one after a gap of more than two hours."""
-    cut = F.when(F.col("gap_s") > GAP_S, 1).otherwise(0)
-    return gaps(messages).withColumn("voyage", F.sum(cut).over(by_vessel().rowsBetween(Window.unboundedPreceding, 0)))
+    return slots.with_gaps(messages)
+
+
+def long_messages(messages: DataFrame) -> DataFrame:
+    """The messages of long voyages with their voyage, neither sorted nor dealt by vessel."""
+    return slots.placed(messages, "voyage", only_long=True).drop("_slot")
 
 
 def stats(voyages: DataFrame) -> DataFrame:
@@ -74,6 +83,14 @@ def speed_edges(voyages: DataFrame) -> DataFrame:
     return measured.select("mmsi", "voyage", F.explode_outer(fast).alias("e")).filter("e is not null").select("mmsi", "voyage", "e.a", "e.b")
 
 
+_BRACKET = ("ts_s", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status")
+
+
+def _with_ticks(rows: DataFrame) -> DataFrame:
+    k = lambda c: F.ceil((F.col(c) - F.col("t0")) / F.lit(float(TICK_S)))
+    return rows.withColumns({"k0": k("ts_s"), "k1": k("ts_s2") - 1}).filter("k1 >= k0")
+
+
 def brackets(voyages: DataFrame) -> DataFrame:
     """Each message with its follower and the numbers ``k0`` to ``k1`` of the five-minute ticks from it on and before the follower.
 
@@ -81,10 +98,14 @@ def brackets(voyages: DataFrame) -> DataFrame:
     messages at one time only the last can have any.
     """
     w = Window.partitionBy("mmsi", "voyage")
-    follower = [F.lead(x).over(by_voyage()).alias(f"{x}2") for x in ("ts_s", "lat", "lon", "sog", "cog", "heading", "rot", "nav_status")]
+    follower = [F.lead(x).over(by_voyage()).alias(f"{x}2") for x in _BRACKET]
     rows = voyages.select("*", F.min("ts_s").over(w).alias("t0"), F.max("ts_s").over(w).alias("tn"), *follower).filter("ts_s2 is not null")
-    k = lambda c: F.ceil((F.col(c) - F.col("t0")) / F.lit(float(TICK_S)))
-    return rows.withColumns({"k0": k("ts_s"), "k1": k("ts_s2") - 1}).filter("k1 >= k0")
+    return _with_ticks(rows)
+
+
+def long_brackets(messages: DataFrame) -> DataFrame:
+    """``brackets`` of the long voyages of messages that no step has thinned, hour by hour; all are within the gap."""
+    return _with_ticks(slots.with_followers(messages, _BRACKET))
 
 
 def at_ticks(bracketed: DataFrame) -> DataFrame:
@@ -105,20 +126,29 @@ def linear(ticked: DataFrame) -> DataFrame:
     return ticked.withColumn("share", share).withColumns({**mid, "nav_status": nav})
 
 
+def gap_facts(voyages: DataFrame) -> DataFrame:
+    """The messages with ``_worst``, the longest bracket of their voyage (0 for a single message), and ``_first``, whether they begin it."""
+    rows = voyages.withColumns({"_next": F.lead("ts_s").over(by_voyage()), "_first": F.lag("ts_s").over(by_voyage()).isNull()})
+    worst = F.max(F.col("_next") - F.col("ts_s")).over(Window.partitionBy("mmsi", "voyage"))
+    return rows.withColumn("_worst", F.coalesce(worst, F.lit(0))).drop("_next")
+
+
 def sampled(voyages: DataFrame) -> DataFrame:
     """Voyages without a bracket over two hours: one with such a bracket is lost as a whole."""
-    follower = F.lead("ts_s").over(by_voyage())
-    rows = voyages.withColumn("_next", follower)
-    worst = F.max(F.col("_next") - F.col("ts_s")).over(Window.partitionBy("mmsi", "voyage"))
-    return rows.withColumn("_worst", worst).filter(F.coalesce(F.col("_worst"), F.lit(0)) <= GAP_S).drop("_next", "_worst")
+    return gap_facts(voyages).filter(F.col("_worst") <= GAP_S).drop("_first", "_worst")
 
 
 def resample(voyages: DataFrame) -> DataFrame:
     """A row for each tick, positions on the geodesic between the two messages around it."""
+    return positions(brackets(sampled(voyages)))
+
+
+def positions(bracketed: DataFrame) -> DataFrame:
+    """A row for each tick of each bracket, with its position."""
     from driftline.functions.geodesic import with_direct
 
     # the geodesic of a bracket is found once, before its ticks are made
-    rows = with_inverse(brackets(sampled(voyages)), "lat", "lon", "lat2", "lon2", "_d", "_az")
+    rows = with_inverse(bracketed, "lat", "lon", "lat2", "lon2", "_d", "_az")
     rows = linear(at_ticks(rows)).withColumn("_part", F.col("_d") * F.col("share"))
     rows = with_direct(rows, "lat", "lon", "_az", "_part", "_lat", "_lon")
     same = F.col("_d") == 0

@@ -20,6 +20,7 @@ from driftline.operators import features as P
 from driftline.operators import frames as G
 from driftline.operators import ingest as I
 from driftline.operators import outliers as O
+from driftline.operators import slots
 from driftline.operators import voyages as V
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
 from driftline.sources import ais
@@ -56,7 +57,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_voyages(spark: SparkSession, d: str) -> DataFrame:
-    return V.long_voyages(V.split(messages(spark, d)))
+    return V.long_messages(messages(spark, d))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +178,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("voyages_long", "select mmsi, voyage, n, t0, tn from longstat")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return V.long_stats(V.split(messages(s, d)))
+    return slots.stats(messages(s, d), only_long=True)
 
 
 @query("speed_edges", "select mmsi, voyage, a, b from edges")
@@ -197,12 +198,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("ticks", "select mmsi, voyage, t from tick")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return V.ticks(V.sampled(long_voyages(s, d))).select("mmsi", "voyage", "t")
+    return V.at_ticks(V.long_brackets(messages(s, d))).select("mmsi", "voyage", "t")
 
 
 @query("resample", f"select mmsi, voyage, tick, t, {_r('sog', 'cog', 'heading', 'rot', places=9)}, nav_status from tick")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    rows = V.linear(V.at_ticks(V.long_brackets(messages(s, d))))
     return rounded(rows.select("mmsi", "voyage", "tick", "t", "sog", "cog", "heading", "rot", "nav_status"), 9)
 
 
@@ -211,18 +212,18 @@ _MOVING = ("sog", "cog", "heading", "rot")
 
 @query("resample_positions", f"select mmsi, voyage, tick, t, {_r('lat', 'lon', places=7)}, {_r(*_MOVING, places=9)}, nav_status from l_at", sampling("longv", "l_"))
 def _(s: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(V.resample(long_voyages(s, d)), 7, "lat", "lon"), 9, *_MOVING)
+    return rounded(rounded(V.positions(V.long_brackets(messages(s, d))), 7, "lat", "lon"), 9, *_MOVING)
 
 
 @query("resplit", "select mmsi, voyage, chunk, n_ticks, k from chstat")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    rows = V.linear(V.at_ticks(V.long_brackets(messages(s, d))))
     return V.chunk_stats(V.chunks(rows)).select("mmsi", "voyage", "chunk", "n_ticks", "k")
 
 
 @query("low_speed", "select mmsi, voyage, chunk, k, round(slow_share, 6) as slow_share from chstat where slow_share > 8e-1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = V.linear(V.ticks(V.sampled(long_voyages(s, d))))
+    rows = V.linear(V.at_ticks(V.long_brackets(messages(s, d))))
     return rounded(V.chunk_stats(V.chunks(rows)).filter("slow_share > 0.8").select("mmsi", "voyage", "chunk", "k", "slow_share"))
 
 
@@ -254,8 +255,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     raw = ais.from_events(s, d)
-    kept = V.split(I.in_range(raw))
-    by_voyage = V.stats(kept)
+    by_voyage = slots.stats(I.in_range(raw))
     long = (F.col("n") >= 20) & (F.col("tn") - F.col("t0") >= 14400)
     counts = by_voyage.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_messages"), F.count_distinct("mmsi").alias("num_vessels"), F.count(F.lit(1)).alias("num_initial_voyages"), F.count(F.when(long, 1)).alias("num_voyages_after_duration_filter"))
     return raw.agg(F.count(F.lit(1)).alias("num_raw")).crossJoin(F.broadcast(counts))  # one row each
@@ -339,7 +339,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("sample_index", "select mmsi, k, mmsi || '_' || k || '_processed.pkl' as file_name, cast(row_number() over (order by mmsi || '_' || k || '_processed.pkl') - 1 as bigint) as sample_idx from (select mmsi, cast(voyage as integer) as k from vstat)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return P.sample_index(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
+    return P.sample_index(slots.stats(messages(s, d)).select("mmsi", F.col("voyage").cast("int").alias("k")))
 
 
 #: A feature in millionths, and a row of four as text.
@@ -436,7 +436,7 @@ _SPLIT = """run as (select mmsi, n, sum(n) over (order by o, mmsi) - n as before
 
 @query("split", "select mmsi, n, case when before < total - 2 * part then 'train' when before - (select min(before) from run where before >= total - 2 * part) < part then 'val' else 'test' end as split from run", _SPLIT)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return P.split_vessels(V.stats(V.split(messages(s, d))).select("mmsi", F.col("voyage").cast("int").alias("k")))
+    return P.split_vessels(slots.stats(messages(s, d)).select("mmsi", F.col("voyage").cast("int").alias("k")))
 
 
 # Evaluation

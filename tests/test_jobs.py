@@ -17,6 +17,8 @@ def test_reports_become_voyages_and_splits(spark, tmp_path):
     jobs.main(["ingest", str(tmp_path / "csv"), str(tmp_path / "in")])
     jobs.main(["voyages", str(tmp_path / "in"), str(tmp_path / "voyages")])
     jobs.main(["split", str(tmp_path / "voyages"), str(tmp_path / "split"), "--val", "0.25", "--test", "0.25"])
+    counted = {r["counter"]: r["value"] for r in spark.read.parquet(str(tmp_path / "voyages_counters")).collect()}
+    assert (counted["num_segments"], counted["num_messages"], counted["num_final_voyages"], counted["num_final_rows"]) == (4, 320, 4, 4 * 79)
     steps = spark.read.parquet(str(tmp_path / "split"))
     assert steps.count() == 4 * 79
     assert {r["split"] for r in steps.select("split").distinct().collect()} == {"train", "val", "test"}
