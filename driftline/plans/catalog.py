@@ -22,6 +22,7 @@ from driftline.operators import ingest as I
 from driftline.operators import outliers as O
 from driftline.operators import slots
 from driftline.operators import voyages as V
+from driftline.operators.asof import asof_join
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
 from driftline.sources import ais
 
@@ -299,6 +300,35 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _stages(s, d)
 
 
+# Tables in time order
+
+
+@query(
+    "asof_join",
+    """select l.mmsi, l.ts_s, l.seq, l.nav_status, r.ts_s as ts_s_right, r.seq as seq_right, r.lat, r.lon
+    from (select * from msg where seq % 3 = 0) l asof left join (select * from msg where seq % 3 <> 0 qualify row_number() over (partition by mmsi, ts_s order by seq desc) = 1) r on l.mmsi = r.mmsi and l.ts_s >= r.ts_s""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every third message with the last position of the others at or before it; of those at one time, the one with the largest number."""
+    rows = messages(s, d)
+    left = rows.filter("seq % 3 = 0").select("mmsi", "ts_s", "seq", "nav_status")
+    return asof_join(left, rows.filter("seq % 3 <> 0").select("mmsi", "ts_s", "seq", "lat", "lon"), "mmsi", order="seq")
+
+
+@query(
+    "asof_join_last_view",
+    """select o.event_id, o.user_id, o.s as at_s, p.event_id as view_id, p.value from (select *, cast(floor(epoch(ts)) as bigint) as s from events where event_type = 'purchase') o
+    asof join (select *, cast(floor(epoch(ts)) as bigint) as s from events where event_type = 'view' qualify row_number() over (partition by user_id, cast(floor(epoch(ts)) as bigint) order by event_id desc) = 1) p
+    on o.user_id = p.user_id and o.s > p.s where o.s - p.s <= 86400""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Each purchase with its user's last view strictly before it and at most a day old."""
+    rows = s.read.parquet(f"{d}/events.parquet").withColumn("at_s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    buys = rows.filter("event_type = 'purchase'").select("event_id", "user_id", "at_s")
+    views = rows.filter("event_type = 'view'").select("user_id", "at_s", F.col("event_id").alias("view_id"), "value")
+    return asof_join(buys, views, "user_id", "at_s", "view_id", "inner", strict=True, tolerance=86400, slot=21600).drop("at_s_right")
+
+
 # Geodesics
 
 
