@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.hashing import first_by_hash
+from driftline.scratch import kept
 
 #: Rows of vectors that are compared with each other in one task.
 BLOCK = 2048
+#: Clusters that are compared with each other in one value, at most.
+MOST_IN_ONE = 1000
+#: Blocks of clusters, each pair of which meets under one key.
+PAIR_BLOCKS = 16
 LINKAGES = ("ward", "single", "average")
 #: Numbers of a block of differences between vectors.
 PAIR_NUMBERS = 1 << 20
@@ -341,13 +346,21 @@ def radii(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return with_centroid_distance(vectors, vector).groupBy("label").agg(F.avg("dist").alias("radius"))
 
 
-def davies_bouldin(vectors: DataFrame, vector: str = "embedding", include_noise: bool = False) -> DataFrame:
-    """One row: the mean over clusters of the worst (r_i + r_j) / d_ij; 0 for one cluster.  Coincident centroids are left out."""
+def davies_bouldin(vectors: DataFrame, vector: str = "embedding", include_noise: bool = False, most: int = MOST_IN_ONE) -> DataFrame:
+    """One row: the mean over clusters of the worst (r_i + r_j) / d_ij; 0 for one cluster.  Coincident centroids are left out.
+
+    Up to ``most`` clusters are compared with each other in one value; more, whose labels must be
+    numbers, by cells, which measure only pairs that can be a cluster's worst.
+    """
     from driftline.functions.vectors import distance
 
     rows = vectors if include_noise else vectors.filter("label <> -1")
     facts = with_centroid_distance(rows, vector).groupBy("label").agg(F.avg("dist").alias("r"), F.any_value("centroid").alias("c"))
-    # a row for each cluster, all pairs of which are compared within one value
+    if rows.select("label").distinct().limit(most + 1).count() > most:
+        from . import cells
+
+        clusters = kept(facts.select(F.col("label").cast("long").alias("label"), F.col("c").alias("centroid"), F.col("r").alias("radius")))
+        return cells.worst_ratios(clusters).agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("davies_bouldin"))
     all_of = facts.agg(F.collect_list(F.struct("label", "r", "c")).alias("f"))
     gap = lambda x, y: distance(x["c"], y["c"])
     ratio = lambda x, y: F.try_divide(x["r"] + y["r"], gap(x, y))
@@ -362,7 +375,12 @@ def ward(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     facts = centroids(vectors, vector)
     x = facts.select(F.col("label").alias("i"), F.col("centroid").alias("ci"), F.col("n").alias("ni"))
     y = facts.select(F.col("label").alias("j"), F.col("centroid").alias("cj"), F.col("n").alias("nj"))
-    both = x.join(F.broadcast(y), F.col("i") < F.col("j")).withColumn("d", distance("ci", "cj"))
+    # every pair meets under one pair of blocks: an equal join, whose sides are as large as the clusters ask for
+    every = F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(PAIR_BLOCKS)).cast("int")
+    x = x.select("*", of("i").alias("p"), F.explode(every).alias("q"))
+    y = y.select("*", F.explode(every).alias("p"), of("j").alias("q"))
+    both = x.join(y, ["p", "q"]).filter("i < j").withColumn("d", distance("ci", "cj"))
     return both.select("i", "j", (F.col("d") * F.col("d") * F.col("ni") * F.col("nj") / (F.col("ni") + F.col("nj"))).alias("ward"))
 
 

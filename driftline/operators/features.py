@@ -91,16 +91,16 @@ def sample_index(trajectories: DataFrame) -> DataFrame:
     """
     named = trajectories.select("mmsi", "k", F.concat_ws("_", "mmsi", "k", F.lit("processed.pkl")).alias("file_name")).withColumn("_begin", F.substring("file_name", 1, BEGINNING))
     within = F.row_number().over(Window.partitionBy("_begin").orderBy("file_name"))
-    placed = _shifted(named.withColumn("_at", within), named, "_begin", F.count(F.lit(1)))
+    placed = shifted(named.withColumn("_at", within), named, "_begin", F.count(F.lit(1)))
     return placed.select("mmsi", "k", "file_name", (F.col("_at") + F.col("_before") - 1).cast("long").alias("sample_idx"))
 
 
-def _shifted(rows: DataFrame, counted: DataFrame, group: str, size: Column) -> DataFrame:
+def shifted(rows: DataFrame, counted: DataFrame, group: str, size: Column) -> DataFrame:
     """``rows`` with ``_before``: the sizes of all groups before its own."""
     sizes = counted.groupBy(group).agg(size.alias("_n"))
-    # one row for each beginning or hash prefix: at most some hundred thousand, two columns
+    # one row for each beginning, hash prefix or length: two columns, joined as their size asks for
     before = sizes.select(group, F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), group)
+    return rows.join(before, group)
 
 
 def sample_items(steps: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def split_vessels(trajectories: DataFrame, val: float = 0.1, test: float = 0.1,
     n_test, n_val = int(facts["n"] * test), int(facts["n"] * val)
     n_train = facts["n"] - n_test - n_val
     within = F.sum("n").over(Window.partitionBy("_begin").orderBy("o", "mmsi")) - F.col("n")
-    run = _shifted(vessels.withColumn("_within", within), vessels, "_begin", F.sum("n")).select("mmsi", "n", (F.col("_within") + F.col("_before")).alias("before"))
+    run = shifted(vessels.withColumn("_within", within), vessels, "_begin", F.sum("n")).select("mmsi", "n", (F.col("_within") + F.col("_before")).alias("before"))
     first = run.filter(F.col("before") >= n_train).agg(F.min("before")).first()[0]
     in_val = F.lit(False) if first is None else F.col("before") - first < n_val
     return run.select("mmsi", "n", F.when(F.col("before") < n_train, "train").when(in_val, "val").otherwise("test").alias("split"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geodesic import with_direct, with_inverse
 from driftline.functions.hashing import first_by_hash
 from driftline.functions.vectors import norm, normalised
+from driftline.operators import cells, slots, spanning
 from driftline.operators import clustering as C
 from driftline.operators import counters as N
 from driftline.operators import encoding as X
@@ -20,7 +21,6 @@ from driftline.operators import features as P
 from driftline.operators import frames as G
 from driftline.operators import ingest as I
 from driftline.operators import outliers as O
-from driftline.operators import slots
 from driftline.operators import voyages as V
 from driftline.operators.asof import asof_join
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
@@ -694,7 +694,7 @@ def _first_reps(rows: DataFrame) -> DataFrame:
 
     far = C.with_centroid_distance(rows)
     first = far.groupBy("label").agg(F.max_by("embedding", F.struct("dist", -F.col("vec_id"))).alias("rep"))
-    return far.join(F.broadcast(first), "label").withColumn("d", distance("embedding", "rep"))  # a row for each cluster
+    return far.join(first, "label").withColumn("d", distance("embedding", "rep"))  # a row for each cluster
 
 
 @query("farthest_first", "select label, arg_max(vec_id, (d, -vec_id)) as vec_id, round(max(d), 6) as dist from tofirst group by label", _TO_FIRST)
@@ -745,6 +745,30 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(E.noise_grid(rows, [0.9, 1.0, 1.1, 1.2]), 6, "noise_pct")
 
 
+@query("nearest_by_cells", "select vec_id, case when d > 1.1e0 then -1 else c end as label, round(d, 6) as dist from best", _NEAREST)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Each vector's nearest representative, searched by cells, the representatives being a table of any size."""
+    rows = vectors(s, d)
+    reps = _reps(rows).select(F.col("vec_id").alias("rep_id"), "label", F.col("x").alias("embedding"))
+    return rounded(cells.nearest(rows, reps, 1.1).drop("measured"))
+
+
+_TREE_CUT = 1.0
+
+
+@query(
+    "single_linkage",
+    "select vec_id, least(vec_id, coalesce(low, vec_id)) as label from embeddings left join (select a as vec_id, min(b) as low from reached group by a) using (vec_id)",
+    f"""close as (select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id <> y.vec_id
+      where sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: pow(z[1]::double - z[2]::double, 2)))) <= {_TREE_CUT}e0),
+    reached(a, b) as (select a, b from close union select reached.a, close.b from reached join close on reached.b = close.a) /* union all */""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Single linkage of all vectors up to a distance, from the minimum spanning tree."""
+    rows = vectors(s, d)
+    return spanning.cut_at(spanning.spanning_tree(rows), rows, _TREE_CUT)
+
+
 def _cure(s: SparkSession, d: str) -> C.Cure:
     return C.Cure(sample_size=150, linkage="ward", n_representatives=20, compression=0.6, pruning_fraction=0.2, pruning_min_size=1).fit(vectors(s, d))
 
