@@ -21,6 +21,7 @@ from driftline.operators import features as P
 from driftline.operators import frames as G
 from driftline.operators import ingest as I
 from driftline.operators import outliers as O
+from driftline.operators import sketches as K
 from driftline.operators import voyages as V
 from driftline.operators.asof import asof_join
 from driftline.schema import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, MAX_LEN, SPEED_MAX
@@ -300,6 +301,25 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _stages(s, d)
 
 
+# Summaries by day
+
+
+@query(
+    "sketch_union",
+    """select d.file_date, count(*) as n_messages, true as vessels_in_bound, true as median_in_bound
+    from (select distinct file_date from msg) d join msg m on m.file_date between d.file_date - 2 and d.file_date group by d.file_date""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Three days at a time, from a sketch of each: messages, and whether vessels and the median speed are as near to exact ones as the bounds say."""
+    rows = messages(s, d)
+    three = K.rolling(K.daily(rows), 3).select("file_date", K.n_values("sogs").alias("n_messages"), K.n_vessels().alias("_n"), K.quantile("sogs", 0.5).alias("_m"))
+    # each message counts for three days; the exact figures are only there to be compared with
+    exact = rows.select(F.explode(F.sequence("file_date", F.date_add("file_date", 2))).alias("file_date"), "mmsi", "sog").join(three.select("file_date", "_m"), "file_date")
+    exact = exact.groupBy("file_date").agg(F.count_distinct("mmsi").alias("_v"), F.avg((F.col("sog") < F.col("_m")).cast("int")).alias("_below"), F.avg((F.col("sog") <= F.col("_m")).cast("int")).alias("_upto"))
+    near = F.abs(F.col("_n") - F.col("_v")) <= F.greatest(F.col("_v") * K.COUNT_ERROR, F.lit(1.0))
+    return three.join(exact, "file_date").select("file_date", "n_messages", near.alias("vessels_in_bound"), ((F.col("_below") <= 0.5 + K.RANK_ERROR) & (F.col("_upto") >= 0.5 - K.RANK_ERROR)).alias("median_in_bound"))
+
+
 # Tables in time order
 
 
