@@ -1,7 +1,7 @@
 """Daily report files as they land: zip archives of one CSV file each.
 
-Fetching them is left to other tools; a day that isn't there, an archive that can't be read and
-one with any other number of members are rows of ``problems``, not exceptions.
+Fetching them is left to other tools; a day that isn't there, an archive or member that can't be read,
+any other number of members and rows of another width are rows of ``problems``, not exceptions.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,37 +36,74 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _member(raw: bytes) -> tuple[zipfile.ZipFile, str]:
-    """The archive and its one member; raises ``ValueError`` for any other."""
+    """The archive and its one member, read through once; raises ``ValueError`` for any other."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(raw))
     except zipfile.BadZipFile:
         raise ValueError("not a zip archive") from None
     if len(archive.namelist()) != 1:
         raise ValueError(f"one member expected, {len(archive.namelist())} found")
+    try:
+        broken = archive.testzip()
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as why:
+        raise ValueError(f"its member can't be read: {why}") from None
+    if broken is not None:
+        raise ValueError("its member can't be read: the checksum differs")
     return archive, archive.namelist()[0]
 
 
+def _text(column: pa.Array) -> pa.Array:
+    """Bytes as text; what isn't UTF-8 is replaced by its mark."""
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.to_pylist()], pa.string())
+
+
+def _parts(raw: bytes, wrong: list[str]) -> Iterator[list[pa.Array]]:
+    """The columns of an archive's rows, some at a time; what can't be used of it is said in ``wrong``.
+
+    A row of another width than the header's is left out.  Where a row can't be parsed at all, the rows
+    before it are kept.
+    """
+    try:
+        archive, member = _member(raw)
+    except ValueError as why:
+        wrong.append(str(why))
+        return
+    ragged = 0
+
+    def skip(row: pa.csv.InvalidRow) -> str:
+        nonlocal ragged
+        ragged += 1
+        return "skip"
+
+    # one thread: the handler counts
+    convert = pa.csv.ConvertOptions(column_types=dict.fromkeys(NAMES, pa.binary()), include_columns=NAMES, include_missing_columns=True, strings_can_be_null=True, null_values=[""])
+    read, parse = pa.csv.ReadOptions(block_size=BLOCK, use_threads=False), pa.csv.ParseOptions(invalid_row_handler=skip)
+    n = 0
+    with archive.open(member) as lines:
+        try:
+            for part in pa.csv.open_csv(lines, read, parse, convert):
+                n += part.num_rows
+                yield [_text(c) for c in part.columns]
+        except pa.ArrowInvalid as why:
+            wrong.append(f"unreadable behind row {n}: {why}" if n else f"no rows: {why}")
+    if ragged:
+        wrong.append(f"{ragged} rows of another width")
+
+
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """Reports of all sound archives, as ``ais.read_csv`` gives them; the others are left to ``problems``."""
+    """Reports of all archives, as ``ais.read_csv`` gives them; what can't be used of them is left to ``problems``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.csv.ConvertOptions(column_types=dict.fromkeys(NAMES, pa.string()), include_columns=NAMES, include_missing_columns=True, strings_can_be_null=True, null_values=[""])
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    archive, member = _member(raw)
-                except ValueError:
-                    continue
-                with archive.open(member) as lines:
-                    try:
-                        reader = pa.csv.open_csv(lines, pa.csv.ReadOptions(block_size=BLOCK), convert_options=options)
-                    except pa.ArrowInvalid:  # an empty member
-                        continue
-                    at = 0
-                    for part in reader:
-                        n = part.num_rows
-                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([name] * n, pa.string()), pa.array(range(at, at + n), pa.int64())], names=_OUT.names)
-                        at += n
+                at = 0
+                for columns in _parts(raw, []):
+                    n = len(columns[0])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * n, pa.string()), pa.array(range(at, at + n), pa.int64())], names=_OUT.names)
+                    at += n
 
     rows = _archives(spark, path).mapInArrow(run, _OUT)
     typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in RAW.fields]
@@ -73,16 +111,19 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
 
 
 def problems(spark: SparkSession, path: str, first: datetime.date | None = None, last: datetime.date | None = None) -> DataFrame:
-    """(file_name, error): archives that can't be used, and, with bounds, the days between them (inclusive) without a file."""
+    """(file_name, error): what can't be used of archives, and, with bounds, the days between them (inclusive) without a file.
+
+    Every archive is read through as ``read_zipped`` reads it, so what is not named here is sound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    _member(raw)
-                except ValueError as why:
-                    bad.append((name, str(why)))
+                wrong: list[str] = []
+                for _ in _parts(raw, wrong):
+                    pass
+                bad += [(name, why) for why in wrong]
             if bad:
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in bad]), pa.array([e for _, e in bad])], names=_PROBLEM.names)
 
