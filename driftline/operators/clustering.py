@@ -196,17 +196,26 @@ def assign(vectors: DataFrame, reps: list[tuple[int, np.ndarray]], threshold: fl
 
     The representatives come from a bounded sample, so they are sent to every worker.
     """
-    reps = sorted(((c, np.asarray(r, float)) for c, r in reps), key=lambda x: x[0])
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array([c for c, _ in reps]), np.array([r for _, r in reps])))
-    out = T.StructType([vectors.schema[key], T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    return assign_each(vectors, {0: reps}, threshold, vector, key).drop("n_clusters")
+
+
+def assign_each(vectors: DataFrame, reps: dict[int, list[tuple[int, np.ndarray]]], threshold: float | None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """``assign`` for several sets of representatives, by their name ``n_clusters``, in one pass over the vectors."""
+    each = {}
+    for k, of in reps.items():
+        of = sorted(((c, np.asarray(r, float)) for c, r in of), key=lambda x: x[0])
+        each[k] = np.array([c for c, _ in of]), np.array([r for _, r in of])
+    sent = vectors.sparkSession.sparkContext.broadcast(each)
+    out = T.StructType([T.StructField("n_clusters", T.IntegerType()), vectors.schema[key], T.StructField("label", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clusters, points = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                label, near = nearest(matrix(batch.column(1)), clusters, points, threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.int32()), pa.array(near)], names=out.names)
+                x = matrix(batch.column(1))
+                for k, (clusters, points) in sent.value.items():
+                    label, near = nearest(x, clusters, points, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), batch.column(0), pa.array(label, pa.int32()), pa.array(near)], names=out.names)
 
     return vectors.select(key, vector).mapInArrow(run, out)
 

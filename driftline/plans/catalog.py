@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -815,9 +814,9 @@ _THRESHOLDS = [0.2, 0.22, 0.24, 0.26, 0.28, 0.3]
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     """The noise for 2, 4, .., 12 clusters of the fitted model and all thresholds."""
-    rows, model = vectors(s, d), _cure(s, d)
-    near = [C.assign(rows, model.representatives(k), None).select(F.lit(k).alias("n_clusters"), "dist") for k in _KS]
-    return rounded(E.noise_grid(functools.reduce(DataFrame.unionByName, near), _THRESHOLDS), 6, "noise_pct")
+    model = _cure(s, d)
+    near = C.assign_each(vectors(s, d), {k: model.representatives(k) for k in _KS}, None).select("n_clusters", "dist")
+    return rounded(E.noise_grid(near, _THRESHOLDS), 6, "noise_pct")
 
 
 @query("ahc_merges", "select cast(step as integer) as step, cast(c1 as integer) as c1, cast(c2 as integer) as c2, round(dist, 6) as dist, cast(size as integer) as size from merges", MERGES)

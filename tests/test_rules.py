@@ -252,7 +252,7 @@ def test_archives_and_their_problems(spark, tmp_path):
     got = landing.read_zipped(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r["mmsi"], r["ts_s"], r["lat"], r["rot"], str(r["file_date"])) for r in got] == [(219000001, 1704412810, 55.5, None, "2024-01-05"), (219000001, 1704412820, 55.6, None, "2024-01-05")]
     wrong = {r["file_name"][14:16]: r["error"] for r in landing.problems(spark, str(tmp_path), datetime.date(2024, 1, 4), datetime.date(2024, 1, 9)).collect()}
-    assert wrong == {"04": "not found", "06": "one member expected, 2 found", "07": "not a zip archive", "09": "not found"}
+    assert wrong == {"04": "not found", "06": "one member expected, 2 found", "07": "not a zip archive", "08": "no rows: Empty CSV file", "09": "not found"}
     assert landing.days_between(spark, datetime.date(2024, 1, 2), datetime.date(2024, 1, 1)).count() == 0
 
 
