@@ -6,12 +6,13 @@ import argparse
 import datetime
 import logging
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import clustering, counters, encoding, features, ingest
 from driftline.session import session
 from driftline.sources import ais, landing
+from driftline.sources import vectors as archives
 
 log = logging.getLogger("driftline")
 
@@ -66,12 +67,24 @@ def run_embeddings(a: argparse.Namespace) -> None:
     tokens = features.token_sequences(items, encoding.Config().positions)
     vectors = encoding.embeddings(tokens, encoding.Transformer.load(spark, a.weights), a.batch_size)
     vectors.withColumn("vec_id", F.concat_ws("_", "mmsi", "time_start")).write.mode("overwrite").parquet(a.target)
+    if a.archives:
+        archives.write_npz(spark.read.parquet(a.target).withColumnRenamed("time_start", "start_time"), a.archives, "overwrite")
+
+
+def _vectors(spark: SparkSession, source: str) -> DataFrame:
+    """Vectors with vec_id: Parquet, or a published ``.npz`` archive, whose vectors are known by file and row."""
+    if not source.endswith(".npz"):
+        return spark.read.parquet(source)
+    rows = archives.read_npz(spark, source)
+    for bad in rows.filter("error is not null").collect():  # one archive
+        raise ValueError(f"{bad['file_name']}: {bad['error']}")
+    return rows.withColumn("vec_id", F.concat_ws("_", "file_name", "row"))
 
 
 def run_cluster(a: argparse.Namespace) -> None:
     """Vectors to a saved model and a label for each vector; every option is passed on."""
     spark = session("cluster")
-    vectors = spark.read.parquet(a.source)
+    vectors = _vectors(spark, a.source)
     model = clustering.Cure(a.sample_size, a.linkage, a.representatives, a.compression, a.threshold, a.seed, a.pruning_fraction, a.pruning_min_size).fit(vectors)
     model.save(spark, f"{a.target}/model")
     labels = model.predict(vectors, a.clusters)
@@ -97,6 +110,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "embeddings":
             p.add_argument("--weights", required=True)
             p.add_argument("--batch-size", type=int, default=512)
+            p.add_argument("--archives", help="a folder that also gets the vectors as npz archives")
         if name == "split":
             p.add_argument("--val", type=float, default=0.1)
             p.add_argument("--test", type=float, default=0.1)

@@ -25,7 +25,11 @@ def test_reports_become_voyages_and_splits(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "in" / "vessel_types")).filter("vessel_type = 70").count() == 4
     assert spark.read.parquet(str(tmp_path / "in" / "vessel_types_daily")).count() == 4
     np.savez(tmp_path / "weights.npz", **encoding.Transformer.random(encoding.Config()).weights)
-    jobs.main(["embeddings", str(tmp_path / "voyages"), str(tmp_path / "vectors"), "--weights", str(tmp_path / "weights.npz")])
+    jobs.main(["embeddings", str(tmp_path / "voyages"), str(tmp_path / "vectors"), "--weights", str(tmp_path / "weights.npz"), "--archives", str(tmp_path / "archives")])
+    from driftline.sources.vectors import read_npz
+
+    kept = {tuple(r["embedding"]) for r in read_npz(spark, str(tmp_path / "archives")).collect()}
+    assert kept == {tuple(r["embedding"]) for r in spark.read.parquet(str(tmp_path / "vectors")).collect()}
     assert {len(r["embedding"]) for r in spark.read.parquet(str(tmp_path / "vectors")).collect()} == {256}
 
 
@@ -43,3 +47,6 @@ def test_vectors_become_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
     jobs.main(["cluster", str(tmp_path / "v"), str(tmp_path / "out"), "--clusters", "3", "--sample-size", "20"])
     assert {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "labels")).collect()} == {0, 1, 2}
+    np.savez(tmp_path / "v.npz", embeddings=np.array([v for _, v in rows]), mmsis=np.arange(50), start_times=np.arange(50))
+    jobs.main(["cluster", str(tmp_path / "v.npz"), str(tmp_path / "out2"), "--clusters", "3", "--sample-size", "20"])
+    assert spark.read.parquet(str(tmp_path / "out2" / "labels")).count() == 50
