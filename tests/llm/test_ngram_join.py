@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from driftline.llm import ngram_join as J
 
@@ -53,11 +52,10 @@ def corpus(seed):
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_and_components_equal_brute_force(spark, monkeypatch, seed):
+def test_links_and_components_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(J, "ROWS", 7)
     monkeypatch.setattr(J, "GRAMS", 600)
-    texts = corpus(seed)
+    texts = corpus(1)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in J.similar(docs).collect()}
     assert got == brute(texts)
