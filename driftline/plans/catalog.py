@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geodesic import with_direct, with_inverse
 from driftline.functions.hashing import first_by_hash
 from driftline.functions.vectors import norm, normalised
-from driftline.operators import cells, slots, spanning
+from driftline.operators import cells, layout, neighbours, slots, spanning
 from driftline.operators import clustering as C
 from driftline.operators import counters as N
 from driftline.operators import encoding as X
@@ -858,3 +858,25 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     """Two principal components: linear, whereas the usual plot bends the space."""
     return rounded(G.scatter(vectors(s, d)))
+
+
+@query(
+    "neighbour_recall",
+    """select id as vec_id, count(*) as n_exact, round(max(dist), 6) as far, true as recall_reached from (
+      select x.vec_id as id, sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: pow(z[1]::double - z[2]::double, 2)))) as dist,
+        row_number() over (partition by x.vec_id order by dist, y.vec_id) as place
+      from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id % 20 = 0) where place <= 15 group by id""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The graph of all vectors' 15 nearest, measured by the vectors whose id is divisible by 20: the furthest exact neighbour, and whether nine tenths of all are found."""
+    rows = vectors(s, d)
+    found = neighbours.recall(neighbours.graph(rows), neighbours.exact(rows.filter("vec_id % 20 = 0"), rows))
+    share = found.agg((F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))  # one row
+    return rounded(found.select(F.col("id").alias("vec_id"), "n_exact", "far").crossJoin(F.broadcast(share)))
+
+
+@query("layout_frame")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The plane in which neighbours stay neighbours, with the labels of the points."""
+    rows = vectors(s, d)
+    return rounded(layout.layout(rows).join(rows.select("vec_id", "label"), "vec_id").select("vec_id", "label", "x", "y"))
