@@ -82,11 +82,12 @@ def _vectors(spark: SparkSession, source: str) -> DataFrame:
 
 
 def run_cluster(a: argparse.Namespace) -> None:
-    """Vectors to a saved model and a label for each vector; every option is passed on."""
+    """Vectors to a saved model, a label for each vector and the last merges for a dendrogram; every option is passed on."""
     spark = session("cluster")
     vectors = _vectors(spark, a.source)
     model = clustering.Cure(a.sample_size, a.linkage, a.representatives, a.compression, a.threshold, a.seed, a.pruning_fraction, a.pruning_min_size).fit(vectors)
     model.save(spark, f"{a.target}/model")
+    model.model.dendrogram_frame(spark, a.dendrogram_p).write.mode("overwrite").parquet(f"{a.target}/dendrogram")
     labels = model.predict(vectors, a.clusters)
     labels.write.mode("overwrite").parquet(f"{a.target}/labels")
     for row in model.evaluate(vectors).collect():
@@ -123,8 +124,9 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--compression", type=float, default=0.2)
             p.add_argument("--threshold", type=float)
             p.add_argument("--seed", type=int, default=42)
-            p.add_argument("--pruning-fraction", type=float)
+            p.add_argument("--pruning-fraction", type=float, default=0.05)
             p.add_argument("--pruning-min-size", type=int, default=1)
+            p.add_argument("--dendrogram-p", type=int, default=100, help="how many of the last merges the dendrogram shows")
     args = top.parse_args(argv)
     args.run(args)
 

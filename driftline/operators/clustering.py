@@ -140,6 +140,10 @@ class Agglomeration:
         rows = [(i, int(a), int(b), float(d), int(s)) for i, (a, b, d, s) in enumerate(self.merges)]
         return spark.createDataFrame(rows, "step int, c1 int, c2 int, dist double, size int")
 
+    def dendrogram_frame(self, spark: SparkSession, last: int | None = None) -> DataFrame:
+        rows = [(i, int(a), int(b), float(d), int(s)) for i, (a, b, d, s) in enumerate(self.dendrogram(last))]
+        return spark.createDataFrame(rows, "step int, c1 int, c2 int, dist double, size int")
+
     def dendrogram(self, last: int | None = None) -> list[tuple[int, int, float, int]]:
         """The merges with ids renumbered over the points that aren't noise; the last ones only, if asked."""
         noise = set(self.noise)

@@ -832,8 +832,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("dendrogram", "select cast(step - greatest(last - 29, 0) as integer) as step, cast(c1 as integer) as c1, cast(c2 as integer) as c2, round(dist, 6) as dist, cast(size as integer) as size from renamed where step > last - 30", DENDROGRAM)
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = _cure(s, d).model.dendrogram(30)
-    return rounded(s.createDataFrame([(i, int(a), int(b), float(x), int(n)) for i, (a, b, x, n) in enumerate(rows)], "step int, c1 int, c2 int, dist double, size int"))
+    return rounded(_cure(s, d).model.dendrogram_frame(s, 30))
 
 
 @query("cure_labels", "select vec_id, label from near", assigned((5,)))

@@ -47,6 +47,12 @@ def test_vectors_become_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
     jobs.main(["cluster", str(tmp_path / "v"), str(tmp_path / "out"), "--clusters", "3", "--sample-size", "20"])
     assert {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "labels")).collect()} == {0, 1, 2}
+    drawn = spark.read.parquet(str(tmp_path / "out" / "dendrogram")).orderBy("step").collect()
+    assert drawn[-1]["size"] <= 20
+    assert [r["dist"] for r in drawn] == sorted(r["dist"] for r in drawn)
+    jobs.main(["cluster", str(tmp_path / "v"), str(tmp_path / "out"), "--clusters", "3", "--sample-size", "20", "--dendrogram-p", "4"])
+    few = spark.read.parquet(str(tmp_path / "out" / "dendrogram")).orderBy("step").collect()
+    assert [tuple(r)[1:] for r in few] == [tuple(r)[1:] for r in drawn[-4:]]
     np.savez(tmp_path / "v.npz", embeddings=np.array([v for _, v in rows]), mmsis=np.arange(50), start_times=np.arange(50))
     jobs.main(["cluster", str(tmp_path / "v.npz"), str(tmp_path / "out2"), "--clusters", "3", "--sample-size", "20"])
     assert spark.read.parquet(str(tmp_path / "out2" / "labels")).count() == 50
