@@ -160,26 +160,39 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
     return form.format(new.year, new.month, new.day, s=sign)
 
 
+# Letters beyond ASCII that an address may hold and that have capitals of their own, by alphabet.
+_LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+_GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
+_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+#: What an address is written in, by the sign that stands for it in a form.
+_ALPHABETS = {"a": "abcdefghijklmnopqrstuvwxyz", "0": "0123456789", "à": _LATIN, "α": _GREEK, "а": _CYRILLIC}
+_SIGN = {c: sign for sign, letters in _ALPHABETS.items() for c in letters}
+
+
 def _email(f: Feistel, text: str, back: bool) -> str | None:
+    """Letters and digits of the part before the @ and of the host, each among those of its alphabet; other signs and letters stay."""
     local, _, domain = text.rpartition("@")
     host, _, top = domain.rpartition(".")
     whole = f"{local}@{host}"
     if ".." in whole or whole.startswith(".") or local.endswith(".") or host.startswith("-"):
         return None
-    low = whole.lower()
-    bases = [26 if "a" <= c <= "z" else 10 if "0" <= c <= "9" else 1 for c in low]
+    low = "".join(c.lower() if c.lower() in _SIGN else c for c in whole)
+    form = "".join(_SIGN.get(c, c) for c in low)
     value, bound = 0, 1
-    for c, base in zip(low, bases, strict=True):
-        value = value * base + (ord(c) - (97 if base == 26 else 48) if base > 1 else 0)
-        bound *= base
-    form = "".join("a" if b == 26 else "0" if b == 10 else c for c, b in zip(low, bases, strict=True))
+    for c in low:
+        if c in _SIGN:
+            letters = _ALPHABETS[_SIGN[c]]
+            value, bound = value * len(letters) + letters.index(c), bound * len(letters)
     value = f.permute(f"email:{form}", bound, value, back)
     out = []
-    for c, base in zip(reversed(low), reversed(bases), strict=True):
-        value, n = divmod(value, base)
-        out.append(c if base == 1 else chr(n + (97 if base == 26 else 48)))
+    for c in reversed(low):
+        if c in _SIGN:
+            letters = _ALPHABETS[_SIGN[c]]
+            value, n = divmod(value, len(letters))
+            c = letters[n]
+        out.append(c)
     new = "".join(reversed(out))
-    return "".join(n.upper() if c.isupper() else n for n, c in zip(new, whole, strict=True)) + f".{top}"
+    return "".join(n.upper() if c != d else n for n, c, d in zip(new, whole, low, strict=True)) + f".{top}"
 
 
 # The length of an account number by country.
@@ -227,9 +240,11 @@ class Kind:
     shorter: Callable[[str], list[str]] = lambda text: []
 
 
+#: What stands before the @: Latin, Greek and Cyrillic letters, with marks put on them, whole.  Scripts without spaces between words don't belong to it.
+_LOCAL = r"A-Za-z0-9._%+\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u03ff\u0400-\u04ff-"
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 KINDS = (
-    Kind("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
+    Kind("email", re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9])"), _email),
     Kind("iban", re.compile(rf"{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{_AFTER}"), _iban, _shorter),
     Kind("ip", re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"), _address),
     Kind("date", re.compile(rf"{_BEFORE}(?:[0-9]{{4}}([-/.])[0-9]{{2}}\1[0-9]{{2}}|[0-9]{{2}}([-/.])[0-9]{{2}}\2[0-9]{{4}}){_AFTER}"), _date),

@@ -581,6 +581,24 @@ def test_pseudonyms_permute_and_return():
     assert [re.sub(r"\d", "0", n) for _, _, k, n in hits if k in ("phone", "date")] == ["+0 (000) 000-0000", "0000-00-00", "00/00/0000"]
 
 
+def test_addresses_are_taken_whole_in_several_alphabets():
+    f = pii.Feistel(b"key")
+    for text in ("müller@example.de", "Özgür.Ñandú@mail.example.org", "иван.Петров@example.ru", "νίκος@example.gr", "mu\u0308ller@example.de", "straße_1@example.de", "o'neil.İx@example.com"):
+        (start, end, kind, new), = pii.found(f, text)
+        assert (kind, end) == ("email", len(text))
+        assert start == (2 if "'" in text else 0)
+        assert new != text[start:]
+        assert pii.recover(pii.replaced(text, [(start, end, kind, new)]), b"key") == text
+        assert [c.isupper() for c in new] == [c.isupper() for c in text[start:]]
+    # no letter stays because of where it stands, and who has another name isn't linked
+    names = [pii.found(f, f"{n}@example.de")[0][3] for n in ("müller", "möller", "miller", "mül")]
+    assert len({n.split("@")[0] for n in names}) == 4
+    assert len({pii.found(f, f"{c}иван@example.ru")[0][3][0] for c in "абвгдежз"}) > 1
+    # signs of a script without spaces don't belong to an address
+    plain, after = pii.found(f, "john@example.com"), pii.found(f, "\u8054\u7cfbjohn@example.com")
+    assert plain[0][3] == after[0][3]
+
+
 def test_values_are_validated_and_found_whole():
     f = pii.Feistel(b"another key")
     kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.found(f, t)]
