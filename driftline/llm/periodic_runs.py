@@ -160,7 +160,9 @@ def looped(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_w"), g.alias("_g"))
     n = F.size("_w")
-    rows = rows.withColumns({"_a": (F.col("_g") % n).cast("int"), "_p": (1 + F.floor((n - F.col("_g") % n) / (3 + F.col("_g") % 8))).cast("int")})
+    # a text without words has no place to start from; a remainder by zero would end the run
+    start = F.col("_g") % F.nullif(n, F.lit(0))
+    rows = rows.withColumns({"_a": start.cast("int"), "_p": (1 + F.floor((n - start) / (3 + F.col("_g") % 8))).cast("int")})
 
     def word(i: Column) -> Column:
         return F.get("_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))

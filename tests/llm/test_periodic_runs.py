@@ -101,3 +101,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     named = P.find(odd_docs.selectExpr("cast(doc_id as string) as name", "text"), key="name")
     assert dict(named.dtypes)["name"] == "string"
     assert named.count() == 12
+
+
+def test_texts_without_words_that_are_to_loop(spark):
+    names = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    texts = ["", None, " \t\n", "one", "a b c d e f g h i j k l"]
+    docs = spark.createDataFrame(list(zip(names, texts, strict=True)), "doc_id long, text string")
+    got = P.digest(P.find(P.looped(docs))).toPandas().set_index("doc_id")
+    assert [got.loc[i].n_words for i in names] == [0, 0, 0, 1, 12]
+    empty = hashlib.sha256(b"").hexdigest()
+    for i in names[:3]:
+        assert (got.loc[i].n_runs, got.loc[i].runs_sha256, got.loc[i].collapsed_sha256) == (0, empty, empty)
