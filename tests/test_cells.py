@@ -107,3 +107,20 @@ def test_many_clusters_have_the_index_that_few_have(spark):
     rows = table(spark, x, np.arange(600) // 3)
     few, many = (clustering.davies_bouldin(rows, most=m).first()[0] for m in (1000, 100))
     assert many == pytest.approx(few)
+
+
+@pytest.mark.parametrize("held", [16, 1 << 20])
+def test_the_tree_up_to_a_length_is_the_tree_without_longer_edges(spark, monkeypatch, held):
+    monkeypatch.setattr(spanning, "HELD", held)
+    for name, value in (("FEW", 20), ("ROWS", 7), ("COLUMNS", 11)):
+        monkeypatch.setattr(spanning.blocks, name, value)
+    x, g = blobs(90, 5, 2, seed=3)
+    x[:40] = np.round(x[:40] * 4) / 4  # many ties and copies
+    rows = table(spark, x, g)
+    whole = prim(x)
+    for up_to in (0.0, 0.08, 0.5, 100.0):
+        tree = spanning.spanning_tree(rows, up_to=up_to)
+        assert {(r["dist"], r["a"], r["b"]) for r in tree.edges.collect()} == {e for e in whole if e[0] <= up_to}
+        # all pairs are measured once, not once in each round
+        assert tree.measured <= 90 * 89 / 2
+    assert spanning.spanning_tree(rows.limit(0), up_to=1.0).edges.count() == 0
