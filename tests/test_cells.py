@@ -124,3 +124,22 @@ def test_the_tree_up_to_a_length_is_the_tree_without_longer_edges(spark, monkeyp
         # all pairs are measured once, not once in each round
         assert tree.measured <= 90 * 89 / 2
     assert spanning.spanning_tree(rows.limit(0), up_to=1.0).edges.count() == 0
+
+
+@pytest.mark.parametrize("copied", [False, True])
+def test_linkages_of_clusters_equal_all_pairs(spark, monkeypatch, copied):
+    from driftline.operators import blocks
+
+    for name, value in (("FEW", 40), ("ROWS", 16), ("COLUMNS", 33)):
+        monkeypatch.setattr(blocks, name, value)
+    x, g = blobs(300, 5, 6, seed=4)
+    x = x + 1000  # far from the origin, products lose digits
+    if copied:
+        x[:150] = x[150:]
+    got = {(r["i"], r["j"]): (r["single"], r["average"]) for r in clustering.pair_linkages(table(spark, x, g + 3)).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    assert set(got) == {(i + 3, j + 3) for i in range(5) for j in range(5) if i < j}
+    for (i, j), (least, mean) in got.items():
+        part = d[np.ix_(g == i - 3, g == j - 3)]
+        assert least == part.min()
+        assert mean == pytest.approx(part.mean(), rel=1e-9)
