@@ -94,3 +94,26 @@ def test_layout_keeps_neighbours_better_than_components(spark, monkeypatch):
     flat = np.stack(reduced(rows).toPandas().sort_values("vec_id")["point"])
     assert np.isfinite(plane).all()
     assert trustworthiness(x, plane, 10) > max(0.95, trustworthiness(x, flat, 10))
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_the_nearest_in_a_block_are_the_first_by_distance_and_id(monkeypatch, k):
+    for name, value in (("ROWS", 16), ("COLUMNS", 13)):
+        monkeypatch.setattr(neighbours.blocks, name, value)
+    r = np.random.RandomState(6)
+    x = np.round(r.normal(size=(90, 3)) * 2) / 2 + 100  # many ties, far from the origin
+    ids = r.permutation(90)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    got = [t for part in neighbours._closest(ids, ids, x, x, k) for t in zip(*(c.tolist() for c in part), strict=True)]
+    want = [(i, j, d[i, j]) for i in range(90) for j in sorted((j for j in range(90) if j != i), key=lambda j: (d[i, j], ids[j]))[:k]]
+    assert got == want
+
+
+def test_a_graph_of_no_very_many_vectors_is_exact_and_a_larger_one_is_descended(spark):
+    x = np.random.RandomState(3).normal(size=(300, 24))  # no structure: a descent misses some
+    rows, d = table(spark, x), distances(x)
+    found = neighbours.graph(rows, 5, wider=1).toPandas().sort_values(["id", "place"])
+    assert found["dist"].to_numpy() == pytest.approx(np.sort(d)[:, :5].ravel())
+    near = neighbours.graph(rows, 5, wider=1, most=0).toPandas()
+    assert not near.duplicated(["id", "to"]).any()
+    assert near["dist"].to_numpy() == pytest.approx(d[near["id"], near["to"]])
