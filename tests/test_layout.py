@@ -117,3 +117,12 @@ def test_a_graph_of_no_very_many_vectors_is_exact_and_a_larger_one_is_descended(
     near = neighbours.graph(rows, 5, wider=1, most=0).toPandas()
     assert not near.duplicated(["id", "to"]).any()
     assert near["dist"].to_numpy() == pytest.approx(d[near["id"], near["to"]])
+
+
+def test_layout_needs_no_descent_for_no_very_many_vectors(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("vectors were sent to all that they may meet")
+
+    monkeypatch.setattr(neighbours, "_met", never)
+    rows = table(spark, np.random.RandomState(3).normal(size=(60, 4)))
+    assert layout.layout(rows, k=5, rounds=1, steps=2).count() == 60
