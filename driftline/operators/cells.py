@@ -163,7 +163,8 @@ def search(queries: DataFrame, members: DataFrame, rule: Rule, points: np.ndarra
     """
     if not len(points):
         return queries.select("id", F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("to"), F.lit(None).cast("long").alias("to_g"), F.lit(0).cast("long").alias("measured"))
-    members, queries = celled(members, points), celled(queries, points)
+    # each step in Python ends in a table: chained, each would hold a process of its own beside every running task
+    members, queries = kept(celled(members, points)), kept(celled(queries, points))
     facts = _facts(members, len(points))
     own = _facts(queries, len(points))["n"]
     first = kept(_meet(queries.withColumns({"at": F.col("cell"), "d": F.col("r"), "bound": F.lit(float("inf"))}), members, facts["n"], own, rule))
@@ -188,9 +189,8 @@ def search(queries: DataFrame, members: DataFrame, rule: Rule, points: np.ndarra
                 reach = np.where(some, d + f["far"], np.inf).min(1) * (1 + SLACK) + LEAST
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.divide(reach, w, out=np.full(len(w), np.inf), where=w > 0))], names=bounded.names)
 
-    known = queries.mapInArrow(within, bounded).join(begun.select("id", "value"), "id", "left").withColumn("bound", F.least("bound", "value")).drop("value")
+    known = kept(queries.mapInArrow(within, bounded).join(begun.select("id", "value"), "id", "left").withColumn("bound", F.least("bound", "value")).drop("value"))
     if shared:
-        known = kept(known)
         best = known.groupBy("g").agg(F.min("bound").alias("least"))
         known = known.join(best, "g").withColumn("bound", F.least("bound", "least")).drop("least")
     out = T.StructType([*_ROW.fields, T.StructField("bound", T.DoubleType()), T.StructField("at", T.IntegerType()), T.StructField("d", T.DoubleType())])
@@ -208,8 +208,10 @@ def search(queries: DataFrame, members: DataFrame, rule: Rule, points: np.ndarra
                 may[np.arange(len(cell)), cell] = False
                 if rule.apart:
                     may &= ~((f["low"] == f["high"]) & (f["low"] == g[:, None]))
-                i, j = np.nonzero(may)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in batch.columns[:4]), pa.array(bound[i]), pa.array(j, pa.int32()), pa.array(d[i, j])], names=out.names)
+                to, of = np.nonzero(may)
+                for begin in range(0, len(to), BLOCK):
+                    i, j = to[begin : begin + BLOCK], of[begin : begin + BLOCK]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in batch.columns[:4]), pa.array(bound[i]), pa.array(j, pa.int32()), pa.array(d[i, j])], names=out.names)
 
     spread = kept(known.select("id", "v", "g", "w", "cell", "bound").mapInArrow(others, out))
     counts = np.zeros(len(points), np.int64)

@@ -143,3 +143,20 @@ def test_linkages_of_clusters_equal_all_pairs(spark, monkeypatch, copied):
         part = d[np.ix_(g == i - 3, g == j - 3)]
         assert least == part.min()
         assert mean == pytest.approx(part.mean(), rel=1e-9)
+
+
+def test_a_search_keeps_each_step_in_python_apart(spark, monkeypatch):
+    plans, keep = [], cells.kept
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(cells, "kept", noted)
+    x, g = blobs(60, 5)
+    rows = table(spark, x, g)
+    found = cells.nearest(rows, table(spark, x, g, "rep_id"), n_pivots=8)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert found.count() == 60
+    steps = [sum(p.count(name) for name in ("MapInArrow", "FlatMapCoGroupsInArrow")) for p in plans]
+    assert max(steps) == 1 and sum(steps) >= 5
