@@ -160,3 +160,13 @@ def test_a_search_keeps_each_step_in_python_apart(spark, monkeypatch):
     assert found.count() == 60
     steps = [sum(p.count(name) for name in ("MapInArrow", "FlatMapCoGroupsInArrow")) for p in plans]
     assert max(steps) == 1 and sum(steps) >= 5
+
+
+
+def test_a_vector_is_sent_as_often_in_a_large_table_as_in_a_small_one():
+    from driftline.operators import blocks
+
+    assert blocks.how_many(0, 64) == blocks.how_many(400, 64) == 1
+    assert {blocks.how_many(n, 64) for n in (12_288, 102_560, 615_360, 1_500_000)} == {blocks.SPREAD}
+    # a block's numbers are bounded all the same
+    assert blocks.how_many(100_000_000, 64) * blocks.NUMBERS >= 100_000_000 * 64
