@@ -170,3 +170,60 @@ def test_a_vector_is_sent_as_often_in_a_large_table_as_in_a_small_one():
     assert {blocks.how_many(n, 64) for n in (12_288, 102_560, 615_360, 1_500_000)} == {blocks.SPREAD}
     # a block's numbers are bounded all the same
     assert blocks.how_many(100_000_000, 64) * blocks.NUMBERS >= 100_000_000 * 64
+
+
+@pytest.mark.parametrize("copied", [False, True])
+def test_the_least_distances_of_clusters_are_those_of_all_pairs(spark, monkeypatch, copied):
+    from driftline.operators import blocks
+
+    for name, value in (("FEW", 40), ("ROWS", 16), ("COLUMNS", 33)):
+        monkeypatch.setattr(blocks, name, value)
+    x, g = blobs(300, 5, 6, seed=4)
+    x = x + 1000
+    if copied:
+        x[:150] = x[150:]
+        g[200:] = g[:100]
+    got = {(r["i"], r["j"]): r["single"] for r in clustering.pair_singles(table(spark, x, g + 3)).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    assert got == {(i + 3, j + 3): d[np.ix_(g == i, g == j)].min() for i in range(5) for j in range(5) if i < j}
+
+
+def test_single_linkage_sends_and_measures_copies_once(spark, monkeypatch):
+    from driftline.operators import blocks
+
+    sizes = []
+    monkeypatch.setattr(blocks, "how_many", lambda n, dims, *_: sizes.append(n) or 2)
+    x, g = blobs(50, 4, 3)
+    few = {tuple(r) for r in clustering.pair_singles(table(spark, x, g)).collect()}
+    many = {tuple(r) for r in clustering.pair_singles(table(spark, np.tile(x, (6, 1)), np.tile(g, 6))).collect()}
+    assert few == many and sizes == [50, 50]
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "tiny", "outlier", "huge", "equal"])
+def test_single_precision_leaves_no_least_pair_out(monkeypatch, kind):
+    from driftline.operators import blocks
+
+    for name, value in (("ROWS", 16), ("COLUMNS", 33)):
+        monkeypatch.setattr(blocks, name, value)
+    r = np.random.RandomState(2)
+    x, y = r.normal(size=(90, 7)), r.normal(size=(150, 7))
+    if kind == "far":  # near pairs differ by less than single precision tells apart
+        x, y = 1e-5 * x + 1e3 * (np.arange(90) % 3)[:, None], 1e-5 * y + 1e3 * (np.arange(150) % 3)[:, None]
+    elif kind == "tiny":
+        x, y = x * 1e-30, y * 1e-30
+    elif kind == "outlier":
+        y[40] += 1e7
+    elif kind == "huge":
+        x, y = x * 1e25, y * 1e25
+    elif kind == "equal":
+        x[:], y[:] = 0.3, 0.3
+    of_x, of_y = np.sort(r.randint(0, 6, 90)), np.sort(r.randint(0, 9, 150))
+    asked = r.rand(6, 9) < 0.7
+    made = []
+    quick = blocks.tiles
+    monkeypatch.setattr(blocks, "tiles", lambda *a: made.append(a[3] if len(a) > 3 else 0) or quick(*a))
+    i, j, least = clustering._leasts(x, y, of_x, of_y, asked)
+    d = np.sqrt(((x[:, None] - y) ** 2).sum(-1))
+    assert {(p, q): v for p, q, v in zip(i.tolist(), j.tolist(), least.tolist(), strict=True)} == {(p, q): d[np.ix_(of_x == p, of_y == q)].min() for p in range(6) for q in range(9) if asked[p, q]}
+    # single precision comes first, whatever the scale
+    assert made[0] > 0
