@@ -126,3 +126,31 @@ def test_layout_needs_no_descent_for_no_very_many_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_met", never)
     rows = table(spark, np.random.RandomState(3).normal(size=(60, 4)))
     assert layout.layout(rows, k=5, rounds=1, steps=2).count() == 60
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "tiny", "outlier"])
+def test_single_precision_leaves_no_neighbour_out(monkeypatch, kind):
+    for name, value in (("ROWS", 16), ("COLUMNS", 33)):
+        monkeypatch.setattr(neighbours.blocks, name, value)
+    r = np.random.RandomState(6)
+    x = r.normal(size=(120, 5))
+    if kind == "far":  # neighbours are nearer than single precision tells apart
+        x = 1e-5 * x + 1e3 * (np.arange(120) % 3)[:, None]
+    elif kind == "tiny":
+        x *= 1e-30
+    elif kind == "outlier":
+        x[40] += 1e7
+    ids, kinds, quick = r.permutation(120), [], neighbours.blocks.tiles
+
+    def noted(*a, **named):
+        for tile in quick(*a, **named):
+            kinds.append(tile[2].dtype)
+            yield tile
+
+    monkeypatch.setattr(neighbours.blocks, "tiles", noted)
+    got = [t for part in neighbours._closest(ids, ids, x, x, 4) for t in zip(*(c.tolist() for c in part), strict=True)]
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    assert got == [(i, j, d[i, j]) for i in range(120) for j in sorted((j for j in range(120) if j != i), key=lambda j: (d[i, j], ids[j]))[:4]]
+    # single precision does the work, and double only what that leaves open
+    assert kinds.count(np.dtype(np.float32)) == 8 * 4
+    assert (np.dtype(np.float64) in kinds) == (kind in ("far", "outlier"))
